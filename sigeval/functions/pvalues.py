@@ -6,9 +6,10 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """2 * P(Z >= |z|), NULL for a missing z."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0))).astype("float64")
@@ -32,7 +33,7 @@ def _binomial_two_sided(k: int, n: int) -> float:
     return min(1.0, 2.0 * math.exp(top) * total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mcnemar_exact(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact two-sided binomial p of the two discordant counts; 1 if there are none."""
     return pd.Series([_binomial_two_sided(int(x), int(x) + int(y)) for x, y in zip(a, b)], dtype="float64")
