@@ -18,7 +18,7 @@ from sigeval.functions.columns import (
 )
 from sigeval.operators import metrics as M
 from sigeval.operators import ordering as O
-from sigeval.operators.errors import error_groups, fn_vs_tp, with_quantile_level
+from sigeval.operators.errors import error_groups, fn_vs_tp, with_quantile_levels
 from sigeval.plans import evaluation as E
 from sigeval.session import stage
 
@@ -159,7 +159,7 @@ def _(spark, d):
 def _(spark, d):
     s = fx.scores(spark, d)
     return (
-        with_quantile_level(s, ["split"], "score", ["low", "mid", "high"], "level")
+        with_quantile_levels(s, ["split"], {"level": (F.col("score"), ["low", "mid", "high"])})
         .groupBy("split", "level")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -407,9 +407,12 @@ def _(spark, d):
     s = stage(fx.scores(spark, d))
     t = E.with_threshold(s, s.where("split = 'validation'")).where("split = 'internal_test'")
     x = t.withColumn("confidence", F.abs(F.col("score") - F.col("threshold")))
-    x = with_quantile_level(x, [], F.col("n_windows").cast("double"), ["short", "medium", "long"], "duration_tertile", True)
-    x = with_quantile_level(x, [], "score_b", ["low", "mid", "high"], "snr_proxy_tertile", True)
-    x = with_quantile_level(x, [], "confidence", ["q1 (least)", "q2", "q3", "q4", "q5 (most)"], "confidence_quintile", True)
+    levels = {
+        "duration_tertile": (F.col("n_windows"), ["short", "medium", "long"]),
+        "snr_proxy_tertile": (F.col("score_b"), ["low", "mid", "high"]),
+        "confidence_quintile": (F.col("confidence"), ["q1 (least)", "q2", "q3", "q4", "q5 (most)"]),
+    }
+    x = with_quantile_levels(x, [], levels, drop_duplicates=True)
     groupings = {
         "corpus": F.col("dataset_id"),
         "speaker": F.col("speaker_id").cast("string"),

@@ -12,17 +12,32 @@ from sigeval.operators.inference import mann_whitney
 from sigeval.operators.ordering import quantiles
 
 
-def with_quantile_level(
-    df: DataFrame, keys: Sequence[str], value, labels: Sequence[str], name: str, drop_duplicates: bool = False
+def with_quantile_levels(
+    df: DataFrame, keys: Sequence[str], levels: dict[str, tuple[Column, Sequence[str]]], drop_duplicates: bool = False
 ) -> DataFrame:
-    """Add the quantile bin of a value within its key (right-closed, lowest included)."""
-    work = df.withColumn("_q", as_col(value)).withColumn("_one", F.lit(1))
+    """Add quantile bins within a key (right-closed, lowest included): {new column: (value, labels)}.
+
+    The edges of all values come from one unpivoted pass and are joined back as one row per key.
+    """
     by = list(keys) or ["_one"]
-    k = len(labels)
-    probs = {f"e{i}": i / k for i in range(k + 1)}
-    edges = quantiles(work, by, "_q", probs).select(*by, F.array(*[F.col(e) for e in probs]).alias("_edges"))
+    work = df.withColumns({**({} if keys else {"_one": F.lit(1)}), **{f"_v_{n}": v.cast("double") for n, (v, _) in levels.items()}})
+    long = unpivot(work, by, [f"_v_{n}" for n in levels], "_name", "_value")
+    sizes = sorted({len(labels) for _, labels in levels.values()})
+    probs = {f"q{k}_{i}": i / k for k in sizes for i in range(k + 1)}
+    q = quantiles(long, [*by, "_name"], "_value", probs)
+    edges = q.groupBy(*by).agg(
+        *[
+            F.max(
+                F.when(F.col("_name") == f"_v_{n}", F.array(*[F.col(f"q{len(labels)}_{i}") for i in range(len(labels) + 1)]))
+            ).alias(f"_e_{n}")
+            for n, (_, labels) in levels.items()
+        ]
+    )
     out = work.join(edges, by, "left")
-    return out.withColumn(name, edge_cut("_q", F.col("_edges"), labels, drop_duplicates)).drop("_q", "_one", "_edges")
+    out = out.withColumns(
+        {n: edge_cut(f"_v_{n}", F.col(f"_e_{n}"), labels, drop_duplicates) for n, (_, labels) in levels.items()}
+    )
+    return out.select(*df.columns, *levels)
 
 
 def error_groups(

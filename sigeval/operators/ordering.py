@@ -23,14 +23,11 @@ BLOCK = 64
 
 def cut_points(df: DataFrame, keys: Sequence[str], order: str, every: int = 64) -> DataFrame:
     """One row per key with a sorted array of at most MAX_CUTS cut points over all keys together."""
-    h = F.xxhash64(*keys, order)
-    picked = (
-        df.select(*keys, order)
-        .where(F.pmod(h, F.lit(every)) == 0)
-        .distinct()
-        .orderBy(h, *keys, order)
-        .limit(MAX_CUTS)
-    )
+    return _cut_points(df.where(F.pmod(F.xxhash64(*keys, order), F.lit(every)) == 0).select(*keys, order).distinct(), keys, order)
+
+
+def _cut_points(values: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    picked = values.orderBy(F.xxhash64(*keys, order), *keys, order).limit(MAX_CUTS)
     return picked.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
 
 
@@ -69,7 +66,13 @@ def ordered_totals(
     cut_keys = keys if cut_keys is None else list(cut_keys)
     names = list(values)
     collapsed = df.groupBy(*keys, order).agg(*[F.sum(values[n]).alias(n) for n in names])
-    cuts = cut_points(df if cut_source is None else cut_source, cut_keys, order, every)
+    if cut_source is None:
+        # the condition also reads the totals (adding zero), which keeps this branch on the shuffle of
+        # `collapsed`: a condition on the keys alone would be pushed below it and compute `df` again
+        h = F.xxhash64(*keys, order) + sum(F.col(n).isNull().cast("int") for n in names)
+        cuts = _cut_points(collapsed.where(F.pmod(h, F.lit(every)) == 0), keys, order)
+    else:
+        cuts = cut_points(cut_source, cut_keys, order, every)
     ranged = with_range(collapsed, cut_keys, order, cuts)
 
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
