@@ -112,12 +112,12 @@ def neighbours(
     h = (
         homes.join(sizes, "cell")
         .withColumn("hb", F.pmod(F.xxhash64("item"), F.col("_nh")))
-        .withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("_np") - 1)).cast("long"))
+        .withColumn("pb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_np").cast("long") - 1)))
     )
     p = (
         probes.join(sizes, "cell")
         .withColumn("pb", F.pmod(F.xxhash64("item"), F.col("_np")))
-        .withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("_nh") - 1)).cast("long"))
+        .withColumn("hb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nh").cast("long") - 1)))
     )
     cols = ["cell", "hb", "pb", "item", "u"]
     found = (

@@ -1,11 +1,232 @@
-"""Perturbation sweeps."""
+"""Perturbation sweeps over long-format signals, and the comparison of every condition with the clean one."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from sigeval.functions.columns import as_col, stable_seed
 
-def band_mask(features, item, prob):
+from sigeval.functions.columns import as_col, hash_normal, ratio, stable_seed
+from sigeval.operators.metrics import auc_eer, score_points, with_rates
+from sigeval.operators.signal import signal_stats, trim_bounds
+
+ROBUSTNESS = ("clean", "noise_snr20", "noise_snr10", "noise_snr5", "clip_+6dB", "speed_0.95", "speed_1.05", "reverb_rt0.3", "reverb_rt0.6")
+PROBES = ("clean", "append_silence_0.44", "trim_trailing", "add_dc_neg", "remove_dc", "dither_-60dBFS")
+
+
+def number_in(name: str, prefix: str, suffix: str = "") -> float:
+    return float(re.fullmatch(rf"{re.escape(prefix)}(.+?){re.escape(suffix)}", name).group(1))
+
+
+def clip_level(name: str) -> float:
+    """Level at which samples are cut: full scale lowered by the gain in the name (clip_+6dB)."""
+    return 10.0 ** (-number_in(name, "clip_", "dB") / 20.0)
+
+
+def _pointwise(name: str, seed: int) -> Column | None:
+    """Sample expression of a condition that keeps the sample count; reads the signal's statistics."""
+    v = F.col("v")
+    noise = hash_normal(F.lit(str(seed)), "rec", F.lit(name), "i")
+    if name == "clean" or name.startswith("append_silence_"):
+        return v
+    if name.startswith("noise_snr"):
+        level = 10.0 ** (number_in(name, "noise_snr") / 10.0)
+        return v + noise * F.sqrt((F.col("power") + F.lit(1e-12)) / F.lit(level))
+    if name.startswith("clip_"):
+        g = clip_level(name)
+        return F.greatest(F.least(v, F.lit(g)), F.lit(-g))
+    if name == "trim_trailing":
+        return F.when(F.col("i") < F.col("end"), v)
+    if name == "add_dc_neg":
+        return v - F.lit(0.001) * F.col("peak")
+    if name == "remove_dc":
+        return v - F.col("mean")
+    if name.startswith("dither_"):
+        return v + F.lit(10.0 ** (number_in(name, "dither_", "dBFS") / 20.0)) * noise
+    return None
+
+
+def perturb(
+    sig: DataFrame, conditions: Sequence[str], rate: int = 16000, frame: int = 400, hop: int = 160, top_db: float = 40.0, seed: int = 0
+) -> DataFrame:
+    """Every signal under every condition: (rec, condition, i, v). The other columns of `sig` are dropped.
+
+    Conditions that act on samples are expanded from one scan; speed and reverberation have their own plans.
+    """
+    sig = sig.select("rec", "i", "v")
+    known = ("speed_", "reverb_rt")
+    simple = [c for c in conditions if not c.startswith(known)]
+    for c in simple:
+        if _pointwise(c, seed) is None:
+            raise ValueError(f"unknown perturbation {c}")
+    parts = []
+    if simple:
+        stats = signal_stats(sig)
+        if "trim_trailing" in simple:
+            stats = stats.join(trim_bounds(sig, frame, hop, top_db, trailing_only=True).select("rec", "end"), "rec")
+        rows = F.array(*[F.struct(F.lit(c).alias("condition"), _pointwise(c, seed).alias("v")) for c in simple])
+        parts.append(
+            sig.join(stats, "rec").select("rec", "i", F.inline(rows)).where(F.col("v").isNotNull()).select("rec", "condition", "i", "v")
+        )
+        for c in simple:
+            if c.startswith("append_silence_"):
+                extra = int(number_in(c, "append_silence_") * rate)
+                if extra:
+                    more = F.sequence(F.col("n"), F.col("n") + (extra - 1))
+                    parts.append(
+                        stats.select("rec", F.lit(c).alias("condition"), F.explode(more).alias("i"), F.lit(0.0).alias("v"))
+                    )
+    for c in conditions:
+        if c.startswith("speed_"):
+            parts.append(change_speed(sig, number_in(c, "speed_")).select("rec", F.lit(c).alias("condition"), "i", "v"))
+        elif c.startswith("reverb_rt"):
+            y = reverberate(sig, number_in(c, "reverb_rt"), rate, seed)
+            parts.append(y.select("rec", F.lit(c).alias("condition"), "i", "v"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def change_speed(sig: DataFrame, factor: float) -> DataFrame:
+    """Play at `factor` times the speed by linear interpolation.
+
+    Output j lies at input position j * factor. Each sample is sent to the outputs on both of its sides
+    with its interpolation weight, and the outputs are summed, so no signal is held in one task.
+    """
+    n = sig.groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
+    i = F.col("i")
+    first = F.greatest(F.floor((i - 1) / F.lit(factor)), F.lit(0)).cast("long")
+    last = F.ceil((i + 1) / F.lit(factor)).cast("long")
+    spread = sig.join(n, "rec").select("rec", "i", "v", "n", F.explode(F.sequence(first, last)).alias("j"))
+    at = F.col("j") * F.lit(factor)
+    weight = F.lit(1.0) - F.abs(at - i)
+    out = spread.where((weight > 0) & (at <= F.col("n") - 1)).withColumn("_w", weight)
+    return out.groupBy("rec", F.col("j").alias("i")).agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
+
+
+def _impulse(rt60: float, rate: int, seed: int) -> np.ndarray:
+    """Decaying noise, 60 dB down after rt60 seconds, unit energy, direct path first."""
+    n = max(int(rt60 * rate), 1)
+    h = np.random.default_rng(seed).standard_normal(n) * np.exp(-6.9078 * np.arange(n) / rate / rt60)
+    h[0] = 1.0
+    return h / math.sqrt(float(h @ h))
+
+
+def reverberate(sig: DataFrame, rt60: float, rate: int = 16000, seed: int = 0, block: int = 16384) -> DataFrame:
+    """Convolve with a decaying-noise room response and restore the peak.
+
+    Overlap-add: fixed-size blocks of a signal are convolved independently and their outputs summed.
+    """
+    response = _impulse(rt60, rate, seed)
+
+    def convolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ys = []
+            for x in pdf["x"]:
+                x = np.asarray(x, dtype=float)
+                n = 1 << (len(x) + len(response) - 2).bit_length()
+                ys.append(np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(response, n), n)[: len(x) + len(response) - 1])
+            yield pd.DataFrame({"rec": pdf["rec"], "first": pdf["first"], "y": ys})
+
+    rec_type = dict(sig.dtypes)["rec"]
+    blocks = (
+        sig.groupBy("rec", F.floor(F.col("i") / block).alias("_b"))
+        .agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_s"))
+        .select("rec", (F.col("_b") * block).cast("long").alias("first"), F.transform("_s", lambda s: s.v).alias("x"))
+    )
+    wet = blocks.mapInPandas(convolve, f"rec {rec_type}, first long, y array<double>")
+    cells = wet.select("rec", "first", F.posexplode("y").alias("k", "y"))
+    y = cells.groupBy("rec", (F.col("first") + F.col("k")).alias("i")).agg(F.sum("y").alias("y"))
+    stats = signal_stats(sig).select("rec", "n", "peak")
+    kept = y.join(stats, "rec").where(F.col("i") < F.col("n"))
+    top = kept.groupBy("rec").agg(F.max(F.abs("y")).alias("_top"))
+    return kept.join(top, "rec").select("rec", "i", (F.col("y") / (F.col("_top") + 1e-9) * F.col("peak")).alias("v"))
+
+
+def clipped_flag(condition: Column, peak: Column, conditions: Sequence[str]) -> Column:
+    """Whether a recording's peak exceeds the level of its clip condition; false for other conditions."""
+    out = F.lit(False)
+    for c in conditions:
+        if c.startswith("clip_"):
+            out = F.when(condition == c, peak > clip_level(c)).otherwise(out)
+    return out
+
+
+# ---------------------------------------------------------------- comparison with clean
+def with_clean(df: DataFrame, keys: Sequence[str], item: str, score: str = "score") -> DataFrame:
+    """Add the item's clean score; an item without one is an error."""
+    on = [*keys, item]
+    clean = df.where(F.col("condition") == "clean").select(*on, F.col(score).alias("_c"))
+    missing = F.raise_error(F.concat(F.lit("no clean score for "), F.col(item).cast("string"))).cast("double")
+    return df.join(clean, on, "left").withColumn("clean_score", F.coalesce("_c", missing)).drop("_c")
+
+
+def condition_shift(df: DataFrame, keys: Sequence[str], item: str, threshold) -> DataFrame:
+    """Score shift and decision flip of every row against the clean row of its item."""
+    t = as_col(threshold)
+    x = with_clean(df, keys, item)
+    return x.withColumns(
+        {
+            "shift": F.col("score") - F.col("clean_score"),
+            "flipped": (F.col("score") >= t) != (F.col("clean_score") >= t),
+        }
+    )
+
+
+def robustness_summary(df: DataFrame, keys: Sequence[str], item: str, threshold) -> DataFrame:
+    """One row per (keys, condition): quality at the threshold, score shifts, flips and input changes.
+
+    `df` has label, condition, score, input_changed and clipped.
+    """
+    by = [*keys, "condition"]
+    t = as_col(threshold)
+    x = condition_shift(df, keys, item, threshold)
+    y, hit = F.col("label"), F.col("score") >= t
+    flip, changed = F.col("flipped").cast("int"), F.col("input_changed")
+    clip = F.when(F.col("condition").startswith("clip_"), F.col("clipped").cast("int"))
+    counts = x.groupBy(*by).agg(
+        F.count(F.when((y == 1) & hit, 1)).alias("tp"),
+        F.count(F.when((y == 0) & ~hit, 1)).alias("tn"),
+        F.count(F.when((y == 0) & hit, 1)).alias("fp"),
+        F.count(F.when((y == 1) & ~hit, 1)).alias("fn"),
+        F.avg(F.when(y == 0, F.col("shift"))).alias("mean_score_shift_bonafide"),
+        F.avg(F.when(y == 1, F.col("shift"))).alias("mean_score_shift_spoof"),
+        F.avg(flip).alias("decision_flip_rate"),
+        F.avg(changed.cast("int")).alias("share_input_changed"),
+        F.avg(F.when(changed, flip)).alias("decision_flip_rate_changed"),
+        F.avg(F.when(y == 0, clip)).alias("share_clipped_bonafide"),
+        F.avg(F.when(y == 1, clip)).alias("share_clipped_spoof"),
+    )
+    ranking = auc_eer(score_points(df, by, "label", "score"), by, "score").drop("eer_threshold")
+    return with_rates(counts).join(ranking, by).select(
+        *by, "n", "auc", "eer", "accuracy",
+        F.col("recall_spoof_sensitivity").alias("sensitivity"),
+        F.col("specificity_bonafide_recall").alias("specificity"),
+        "mean_score_shift_bonafide", "mean_score_shift_spoof", "decision_flip_rate", "share_input_changed",
+        "decision_flip_rate_changed", "share_clipped_bonafide", "share_clipped_spoof",
+    )
+
+
+def robustness_delta(summary: DataFrame, model: Sequence[str], split: str, splits: Sequence[str]) -> DataFrame:
+    """AUC and its change from clean, one row per (model, condition), two columns per split."""
+    clean = summary.where(F.col("condition") == "clean").select(*model, split, F.col("auc").alias("_clean"))
+    d = summary.join(clean, [*model, split]).withColumn("delta", F.col("auc") - F.col("_clean"))
+    wide = d.groupBy(*model, "condition").pivot(split, list(splits)).agg(F.first("auc").alias("auc"), F.first("delta").alias("delta"))
+    return wide
+
+
+# ---------------------------------------------------------------- band masking
+def band_mask(features, item, prob: Column) -> Column:
     """Array of (keep, x): whole positions are zeroed with probability `prob`, by a hash of item and position."""
-    u = lambda j: stable_seed(as_col(item), j) / F.lit(4294967296.0)
+
     def cell(x, j):
-        keep = (prob == 0.0) | (u(j) > prob)
+        keep = (prob == 0.0) | (stable_seed(as_col(item), j) / F.lit(4294967296.0) > prob)
         return F.struct(keep.alias("keep"), F.when(keep, x.cast("double")).otherwise(F.lit(0.0)).alias("x"))
+
     return F.transform(as_col(features), cell)
