@@ -216,19 +216,19 @@ def _(spark, d):
 @query(
     "perturb_sweep",
     f"""WITH {LEN}, {bounds_ctes('fx_signal')}, x AS (SELECT s.rec, i, v / 100 AS v, n, peak / 100 AS peak, mean / 100 AS mean, tt FROM fx_signal s JOIN ln USING (rec) JOIN (SELECT rec, tt FROM bd) q USING (rec))
-      SELECT rec, 'clean' AS condition, i, round(v, 6) AS v FROM x
-      UNION ALL SELECT rec, 'clip_+6dB', i, round(greatest(least(v, pow(10, -6 / 20.0::DOUBLE)), -pow(10, -6 / 20.0::DOUBLE)), 6) FROM x
-      UNION ALL SELECT rec, 'append_silence_0.44', i, round(v, 6) FROM x
+      SELECT rec, 'clean' AS condition, i, round(v, 8) AS v FROM x
+      UNION ALL SELECT rec, 'clip_+6dB', i, round(greatest(least(v, pow(10, -6 / 20.0::DOUBLE)), -pow(10, -6 / 20.0::DOUBLE)), 8) FROM x
+      UNION ALL SELECT rec, 'append_silence_0.44', i, round(v, 8) FROM x
       UNION ALL SELECT rec, 'append_silence_0.44', unnest(range(n, n + 4)), 0.0 FROM ln
-      UNION ALL SELECT rec, 'trim_trailing', i, round(v, 6) FROM x WHERE i < tt
-      UNION ALL SELECT rec, 'add_dc_neg', i, round(v - 0.001::DOUBLE * peak, 6) FROM x
-      UNION ALL SELECT rec, 'remove_dc', i, round(v - mean, 6) FROM x""",
+      UNION ALL SELECT rec, 'trim_trailing', i, round(v, 8) FROM x WHERE i < tt
+      UNION ALL SELECT rec, 'add_dc_neg', i, round(v - 0.001::DOUBLE * peak, 8) FROM x
+      UNION ALL SELECT rec, 'remove_dc', i, round(v - mean, 8) FROM x""",
     ("fx_signal",),
 )
 def _(spark, d):
     s = stage(fx.signal(spark, d).select("rec", "i", (F.col("v") / 100).alias("v")))
     conditions = ["clean", "clip_+6dB", "append_silence_0.44", "trim_trailing", "add_dc_neg", "remove_dc"]
-    return rnd(W.perturb(s, conditions, rate=10, frame=WIN, hop=HOP, top_db=TOP), "v")
+    return rnd(W.perturb(s, conditions, rate=10, frame=WIN, hop=HOP, top_db=TOP), "v", digits=8)
 
 
 def _noise(name: str) -> str:
@@ -249,8 +249,8 @@ def _(spark, d):
 @query(
     "perturb_speed",
     f"""WITH {LEN}, j AS (SELECT rec, n, unnest(range(0, floor((n - 1) / 1.05::DOUBLE)::BIGINT + 2)) AS i FROM ln),
-      p AS (SELECT rec, n, i, i * 1.05::DOUBLE AS at, floor(i * 1.05::DOUBLE)::BIGINT AS k FROM j WHERE i * 1.05::DOUBLE <= n - 1)
-      SELECT p.rec, 'speed_1.05' AS condition, p.i, round(a.v + (at - k) * coalesce(b.v - a.v, 0), 6) AS v FROM p JOIN fx_signal a ON a.rec = p.rec AND a.i = k
+      p AS (SELECT rec, n, i, i * 1.05::DOUBLE AS pt, floor(i * 1.05::DOUBLE)::BIGINT AS k FROM j WHERE i * 1.05::DOUBLE <= n - 1)
+      SELECT p.rec, 'speed_1.05' AS condition, p.i, round(a.v + (pt - k) * coalesce(b.v - a.v, 0), 6) AS v FROM p JOIN fx_signal a ON a.rec = p.rec AND a.i = k
       LEFT JOIN fx_signal b ON b.rec = p.rec AND b.i = k + 1""",
     ("fx_signal",),
 )

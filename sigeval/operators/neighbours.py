@@ -16,17 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-BLOCK_ROWS = 4096
-
+from sigeval.session import stage
 
-def unit(vec: Column) -> Column:
-    v = F.transform(vec, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / norm)
+BLOCK_ROWS = 4096
 
 
 def distinct_vectors(df: DataFrame, item: str, vec: str) -> DataFrame:
@@ -34,15 +30,42 @@ def distinct_vectors(df: DataFrame, item: str, vec: str) -> DataFrame:
     return df.groupBy(vec).agg(F.min(item).alias(item), F.count(F.lit(1)).alias("copies"))
 
 
-def _directions(dim: int, count: int) -> list[list[float]]:
+def _directions(dim: int, count: int) -> np.ndarray:
     """Orthonormal directions: cosine waves, each spread over all coordinates."""
-    scale = math.sqrt(2.0 / dim)
-    return [[scale * math.cos(math.pi * (j + 0.5) * k / dim) for j in range(dim)] for k in range(1, count + 1)]
+    j, k = np.arange(dim), np.arange(1, count + 1)[:, None]
+    return math.sqrt(2.0 / dim) * np.cos(math.pi * (j + 0.5) * k / dim)
 
 
-def _project(v: Column, direction: list[float]) -> Column:
-    w = F.array(*[F.lit(x) for x in direction])
-    return F.aggregate(F.zip_with(v, w, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+def _grid(dim: int, axes: int, r: float, width: float):
+    """Kernel that gives each vector its own cell and the cells its r-ball reaches."""
+    directions = _directions(dim, axes)
+
+    def names(cells: np.ndarray) -> list[str]:
+        return [",".join(map(str, row)) for row in cells.tolist()]
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            u = x / np.linalg.norm(x, axis=1, keepdims=True)
+            p = u @ directions.T
+            home = np.floor(p / width).astype(np.int64)
+            row, reach, dist = np.arange(len(u)), np.empty((len(u), 0), np.int64), np.zeros(len(u))
+            for axis in range(axes):
+                # own cell, and the neighbour on each side with the squared distance to its border
+                low = p[row, axis] - home[row, axis] * width
+                steps = [(0, np.zeros(len(row))), (-1, low**2), (1, (width - low) ** 2)]
+                parts = [
+                    (row[ok], np.column_stack([reach[ok], home[row[ok], axis] + s]), (dist + g)[ok])
+                    for s, g in steps
+                    for ok in [dist + g <= r * r]
+                ]
+                row, reach, dist = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(row, kind="stable")
+            cuts = np.searchsorted(row[order], np.arange(1, len(u)))
+            cells = np.split(np.array(names(reach[order]), dtype=object), cuts)
+            yield pd.DataFrame({"item": pdf["item"], "u": list(u), "home": names(home), "reach": cells})
+
+    return kernel
 
 
 def _top_k(k: int, threshold: float):
@@ -56,8 +79,8 @@ def _top_k(k: int, threshold: float):
         out = []
         for lo in range(0, len(probes), 1024):
             part = probes.iloc[lo : lo + 1024]
-            p_id = part["item"].to_numpy()
-            cos = np.stack(part["u"].to_numpy()) @ h.T
+            p_id = part["p_item"].to_numpy()
+            cos = np.stack(part["p_u"].to_numpy()) @ h.T
             row, col = np.nonzero((cos >= threshold) & (p_id[:, None] != h_id[None, :]))
             found = pd.DataFrame({"item": p_id[row], "neighbour": h_id[col], "cosine": cos[row, col]})
             found = found.sort_values(["item", "cosine", "neighbour"], ascending=[True, False, True])
@@ -73,37 +96,12 @@ def neighbours(
     """The k nearest distinct vectors with cosine >= threshold: (item, neighbour, cosine, rank)."""
     r = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
     width = 2.0 * r
-    base = distinct_vectors(df, item, vec).select(F.col(item).cast("long").alias("item"), unit(F.col(vec)).alias("u"))
-    directions = _directions(dim, axes)
-    base = base.withColumns({f"p{i}": _project(F.col("u"), w) for i, w in enumerate(directions)})
-    cells = [F.floor(F.col(f"p{i}") / width) for i in range(axes)]
-    homes = base.select("item", "u", F.concat_ws(",", *[c.cast("string") for c in cells]).alias("cell"))
-
-    # per axis: the own cell, and the neighbour cell within r (with the squared distance to it)
-    probes = base.withColumn("_reach", F.array(F.struct(F.lit("").alias("cell"), F.lit(0.0).alias("d"))))
-    for i in range(axes):
-        p, c = F.col(f"p{i}"), F.floor(F.col(f"p{i}") / width)
-        down, up = p - c * width, (c + 1) * width - p
-        options = F.filter(
-            F.array(
-                F.struct(c.alias("c"), F.lit(0.0).alias("d")),
-                F.struct((c - 1).alias("c"), (down * down).alias("d")),
-                F.struct((c + 1).alias("c"), (up * up).alias("d")),
-            ),
-            lambda o: o.d <= r * r,
-        )
-        sep = "," if i else ""
-        step = F.flatten(
-            F.transform(
-                "_reach",
-                lambda a: F.transform(
-                    options,
-                    lambda o: F.struct(F.concat(a.cell, F.lit(sep), o.c.cast("string")).alias("cell"), (a.d + o.d).alias("d")),
-                ),
-            )
-        )
-        probes = probes.withColumn("_o", step).withColumn("_reach", F.filter("_o", lambda a: a.d <= r * r)).drop("_o")
-    probes = probes.select("item", "u", F.explode("_reach.cell").alias("cell"))
+    one_each = distinct_vectors(df, item, vec).select(F.col(item).cast("long").alias("item"), F.col(vec).alias("v"))
+    base = stage(
+        one_each.mapInPandas(_grid(dim, axes, r, width), "item long, u array<double>, home string, reach array<string>")
+    )
+    homes = base.select("item", "u", F.col("home").alias("cell"))
+    probes = base.select("item", "u", F.explode("reach").alias("cell"))
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
@@ -119,11 +117,12 @@ def neighbours(
         .withColumn("pb", F.pmod(F.xxhash64("item"), F.col("_np")))
         .withColumn("hb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nh").cast("long") - 1)))
     )
-    cols = ["cell", "hb", "pb", "item", "u"]
+    block = ["cell", "hb", "pb"]
+    p = p.select(*[F.col(c).alias(f"p_{c}") for c in (*block, "item", "u")])
     found = (
-        h.select(*cols)
-        .groupBy("cell", "hb", "pb")
-        .cogroup(p.select(*cols).groupBy("cell", "hb", "pb"))
+        h.select(*block, "item", "u")
+        .groupBy(*block)
+        .cogroup(p.groupBy(*[f"p_{c}" for c in block]))
         .applyInPandas(_top_k(k, threshold), "item long, neighbour long, cosine double")
     )
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("cosine"), "neighbour"))
