@@ -243,7 +243,9 @@ def planted(spark, d):
     jitter = F.transform(
         "v", lambda x, j: x + ((F.col("item") * 7919 + j * 104729) % 1000 / F.lit(1000.0) - F.lit(0.5)) * amp
     )
-    return v.unionByName(v.select((F.col("item") + 1000000).alias("item"), jitter.alias("v")))
+    # two steps: inside a lambda, `item` would mean the new column of the same select
+    copies = v.withColumn("w", jitter).select((F.col("item") + 1000000).alias("item"), F.col("w").alias("v"))
+    return v.unionByName(copies)
 
 
 @query("knn_topk", f"WITH {PLANTED} SELECT item, neighbour, round(cosine, 6) AS cosine, rank FROM kn WHERE rank <= 6")
