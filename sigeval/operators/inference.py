@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from sigeval.functions.columns import as_col, ratio, stable_seed
 from sigeval.functions.pvalues import mcnemar_exact, normal_two_sided
 from sigeval.operators.metrics import auc_aggregate, auc_eer, rate_columns, score_points
-from sigeval.operators.ordering import cut_points, ordered_totals, row_index, with_range
+from sigeval.operators.ordering import EVERY, cut_points, ordered_totals, row_index, with_range
 
 ROWS_PER_SALT = 65536
 
 
 # ---------------------------------------------------------------- draws
-def cluster_draws(df: DataFrame, keys: Sequence[str], cluster: str, n_boot: int, seed: int, every: int = 64) -> DataFrame:
+def cluster_draws(df: DataFrame, keys: Sequence[str], cluster: str, n_boot: int, seed: int, every: int = EVERY) -> DataFrame:
     """One row per drawn cluster with `draws`: an array of (draw, times picked), at most n_boot entries.
 
     As many slots as there are clusters are filled with replacement for each draw.
@@ -79,7 +79,7 @@ def bootstrap_ranking(
     n_boot: int = 2000,
     seed: int = 0,
     series: Sequence[str] = (),
-    every: int = 64,
+    every: int = EVERY,
 ) -> DataFrame:
     """AUC and EER of every draw: one row per (keys, series, b).
 
@@ -107,7 +107,7 @@ def bootstrap_ranking(
 
 def bootstrap_counts(
     df: DataFrame, keys: Sequence[str], cluster: str, label: str, predicted: Column, n_boot: int = 2000, seed: int = 0,
-    series: Sequence[str] = (), every: int = 64,
+    series: Sequence[str] = (), every: int = EVERY,
 ) -> DataFrame:
     """Confusion rates of every draw, from per-cluster confusion counts."""
     keys, series = list(keys), list(series)
@@ -135,7 +135,7 @@ def bootstrap_counts(
 
 
 def bootstrap_statistic(
-    df: DataFrame, keys: Sequence[str], cluster: str, statistic, n_boot: int = 2000, seed: int = 0, every: int = 64
+    df: DataFrame, keys: Sequence[str], cluster: str, statistic, n_boot: int = 2000, seed: int = 0, every: int = EVERY
 ) -> DataFrame:
     """Any statistic given as a function of the weight column that returns one aggregate Column.
 
@@ -176,7 +176,7 @@ def _placements(df: DataFrame, keys: Sequence[str], label: str, score: str, name
     )
 
 
-def delong(df: DataFrame, keys: Sequence[str], label: str, score_a: str, score_b: str, every: int = 64) -> DataFrame:
+def delong(df: DataFrame, keys: Sequence[str], label: str, score_a: str, score_b: str, every: int = EVERY) -> DataFrame:
     """DeLong test of two correlated AUCs on the same items; z is NULL when the variance is not positive."""
     v = _placements(df, keys, label, score_a, "_va", every)
     v = _placements(v, keys, label, score_b, "_vb", every)
@@ -231,7 +231,7 @@ def _running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, nam
 
 
 # ---------------------------------------------------------------- two-sample tests
-def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, every: int = 64) -> DataFrame:
+def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, every: int = EVERY) -> DataFrame:
     """U of group 1 and the two-sided p (normal law, tie and continuity corrected).
 
     Always the normal law; with more than two rows on each side, else NULL.

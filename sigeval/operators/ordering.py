@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CUTS = 4096
-BLOCK = 64
+EVERY = 512  # one distinct value in so many is a candidate cut
 
 
-def cut_points(df: DataFrame, keys: Sequence[str], order: str, every: int = 64) -> DataFrame:
+def cut_points(df: DataFrame, keys: Sequence[str], order: str, every: int = EVERY) -> DataFrame:
     """One row per key with a sorted array of at most MAX_CUTS cut points over all keys together."""
     return _cut_points(df.where(F.pmod(F.xxhash64(*keys, order), F.lit(every)) == 0).select(*keys, order).distinct(), keys, order)
 
@@ -32,11 +32,11 @@ def _cut_points(values: DataFrame, keys: Sequence[str], order: str) -> DataFrame
 
 
 def _count_up_to(cuts: Column, x: Column) -> Column:
-    """Number of cuts <= x, by a coarse and a fine scan of at most BLOCK elements each."""
-    coarse = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / BLOCK).cast("int")), lambda k: cuts[k * BLOCK])
-    j = F.size(F.filter(coarse, lambda c: c <= x))
-    fine = F.slice(cuts, (F.greatest(j, F.lit(1)) - 1) * BLOCK + 1, F.lit(BLOCK))
-    return F.when(j == 0, F.lit(0)).otherwise((j - 1) * BLOCK + F.size(F.filter(fine, lambda c: c <= x)))
+    """Number of cuts <= x by binary search: 13 steps, each doubling or keeping the position."""
+    steps = F.array(*[F.lit(1 << k) for k in range(MAX_CUTS.bit_length() - 1, -1, -1)])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= x, at + step).otherwise(at)
+    )
 
 
 def with_range(df: DataFrame, keys: Sequence[str], order: str, cuts: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def ordered_totals(
     keys: Sequence[str],
     order: str,
     values: dict[str, Column],
-    every: int = 64,
+    every: int = EVERY,
     cut_keys: Sequence[str] | None = None,
     cut_source: DataFrame | None = None,
 ) -> DataFrame:
@@ -110,7 +110,7 @@ def ordered_totals(
 
 
 def row_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx", every: int = 64, total: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx", every: int = EVERY, total: str | None = None
 ) -> DataFrame:
     """Add the 0-based position of each row within its key, in the order of a unique column tuple."""
     keys, order = list(keys), list(order)
@@ -134,7 +134,7 @@ def row_index(
     return out.select(*df.columns, name, *([total] if total else []))
 
 
-def midranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "midrank", every: int = 64) -> DataFrame:
+def midranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "midrank", every: int = EVERY) -> DataFrame:
     """Average rank of each row's value within its key.
 
     The rank is computed per distinct value and joined back; AQE splits the partition of a value that
@@ -146,7 +146,7 @@ def midranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "midran
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], every: int = 64
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], every: int = EVERY
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per entry of `probs`, plus `n`.
 

@@ -149,10 +149,16 @@ def normalise_windows(w: DataFrame) -> DataFrame:
     return w.withColumn("_p", peak).withColumn("v", F.when(F.col("_p") > 0, F.col("v") / F.col("_p")).otherwise(F.col("v"))).drop("_p")
 
 
+def window_mean(*keys: str) -> Column:
+    """Mean of a window's samples, summed in sample order so that equal inputs give equal bits."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    return F.avg("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
 def condition_windows(w: DataFrame, dither_dbfs: float | None = -60.0, seed: int = 0, remove_dc: bool = True) -> DataFrame:
     """Subtract the window mean and add seeded white noise of the given RMS level."""
     if remove_dc:
-        w = w.withColumn("v", F.col("v") - F.avg("v").over(_within()))
+        w = w.withColumn("v", F.col("v") - window_mean("rec", "window"))
     if dither_dbfs is not None:
         level = 10.0 ** (dither_dbfs / 20.0)
         w = w.withColumn("v", F.col("v") + F.lit(level) * hash_normal(F.lit(str(seed)), "rec", "window", "pos"))

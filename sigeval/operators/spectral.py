@@ -123,12 +123,13 @@ def spectral_features(
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_name = make(spectrum)
         for pdf in batches:
+            rows = []
             for rec, window, y in zip(pdf["rec"], pdf["window"], pdf["samples"]):
                 power = power_spectrum(np.asarray(y, dtype=float), spectrum)
-                values = [stack_slopes(by_name[k](power)).astype(np.float32) for k in kinds]
-                yield pd.DataFrame(
-                    {"rec": rec, "window": window, "feature": kinds, "values": [[list(c) for c in v] for v in values]}
-                )
+                for k in kinds:
+                    values = stack_slopes(by_name[k](power)).astype(np.float32)
+                    rows.append((rec, window, k, [list(channel) for channel in values]))
+            yield pd.DataFrame(rows, columns=["rec", "window", "feature", "values"])
 
     rec = dict(windows.dtypes)["rec"]
     return windows.select("rec", "window", "samples").mapInPandas(

@@ -33,7 +33,7 @@ def condition_scores(
     w = G.segment(keyed, "original" if scheme == "original" else "trim_repeat", win, overlap, frame, frame_hop, top_db)
     w = w.select(F.col("rec.rec").alias("rec"), F.col("rec.condition").alias("condition"), "window", "start", "pad_fraction", "pos", "v")
     if scheme == "controlled":
-        mean = F.avg("v").over(G.Window.partitionBy("rec", "condition", "window"))
+        mean = G.window_mean("rec", "condition", "window")
         w = w.withColumn("v", F.col("v") - mean + F.lit(1e-3) * G.hash_normal(F.lit(str(seed)), "rec", "window", "pos"))
     arrays = stage(
         w.groupBy("rec", "condition", "window")
