@@ -77,7 +77,7 @@ def _(spark, d):
 )
 def _(spark, d):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    w = O.row_index(fx.windows(spark, d), ["item"], order, "win")
+    w = O.row_index(stage(fx.windows(spark, d)), ["item"], order, "win")
     return w.select("item", "win", "logit", "pad_fraction", "label", "dataset_id", "speaker_id", "text_group")
 
 

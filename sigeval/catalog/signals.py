@@ -172,26 +172,26 @@ def _(spark, d):
 
 @query(
     "array_conditioning",
-    """WITH a AS (SELECT rec, list(v ORDER BY i) AS x FROM fx_signal GROUP BY rec),
-      b AS (SELECT rec, x, list_max(list_transform(x, lambda v: abs(v))) AS pk, list_avg(x) AS m, len(x) AS n FROM a)
-      SELECT rec, round(list_sum(list_transform(x, lambda v: v / pk)), 6) AS peak_sum, round(list_sum(list_transform(x, lambda v: abs(v - m))), 6) AS centred_sum,
-        round(list_sum(list_slice(list_concat(x, x, x), 1, 120)), 6) AS tiled_sum, round(list_sum(CASE WHEN n >= 60 THEN list_slice(x, (n - 60) // 2 + 1, (n - 60) // 2 + 60) ELSE x END), 6) AS cropped_sum,
-        n + 7 AS appended FROM b""",
+    f"""WITH {ORIGINAL}, a AS (SELECT rec, "window", list(v ORDER BY pos) AS x, max(abs(v)) AS pk, avg(v) AS m FROM wr GROUP BY 1, 2)
+      SELECT rec, "window", round(list_sum(list_transform(x, lambda v: v / pk)), 6) AS peak_sum, round(list_sum(list_transform(x, lambda v: abs(v - m))), 6) AS centred_sum,
+        round(list_sum(list_slice(list_concat(x, x, x), 1, 50)), 6) AS tiled_sum, round(list_sum(list_slice(x, 5, 16)), 6) AS cropped_sum, round(list_sum(x), 6) AS padded_sum,
+        cast(27 AS bigint) AS appended FROM a""",
     ("fx_signal",),
 )
 def _(spark, d):
-    a = fx.signal(spark, d).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
-    a = a.select("rec", F.transform("s", lambda s: s.v).alias("x"))
+    a = G.window_arrays(G.cut_windows(G.scale_to_peak(signal(spark, d)), WINDOW)).withColumnRenamed("samples", "x")
 
     def total(x):
         return F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), 6)
 
     return a.select(
         "rec",
+        "window",
         total(C.peak_normalise("x")).alias("peak_sum"),
         total(F.transform(C.remove_mean("x"), lambda v: F.abs(v))).alias("centred_sum"),
-        total(C.tile_to("x", 120)).alias("tiled_sum"),
-        total(C.pad_or_crop("x", 60)).alias("cropped_sum"),
+        total(C.tile_to("x", 50)).alias("tiled_sum"),
+        total(C.pad_or_crop("x", 12)).alias("cropped_sum"),
+        total(C.pad_or_crop("x", 30)).alias("padded_sum"),
         F.size(C.append_zeros("x", 7)).cast("long").alias("appended"),
     )
 

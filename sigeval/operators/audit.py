@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigeval.functions.columns import as_col
 from sigeval.operators.errors import unpivot
-from sigeval.operators.metrics import auc, score_points
+from sigeval.operators.metrics import auc_aggregate, score_points
 from sigeval.operators.ordering import quantiles
 
 
@@ -68,9 +68,8 @@ def separability(df: DataFrame, keys: Sequence[str], label: str, descriptors: Se
     by = [*keys, "descriptor"]
     long = unpivot(df.where(F.col(label).isNotNull()), [*keys, label], descriptors).where(F.col("value").isNotNull())
     pts = score_points(long, by, label, "value")
-    a = auc(pts, by).where(F.col("auc").isNotNull())
-    n = pts.groupBy(*by).agg((F.max("pos_total") + F.max("neg_total")).alias("n"))
-    return a.join(n, by).select(
+    a = pts.groupBy(*by).agg(auc_aggregate().alias("auc"), (F.max("pos_total") + F.max("neg_total")).alias("n"))
+    return a.where(F.col("auc").isNotNull()).select(
         *by,
         F.col("auc").alias("auc_spoof_high"),
         F.greatest("auc", 1 - F.col("auc")).alias("separability"),

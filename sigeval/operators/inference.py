@@ -15,6 +15,7 @@ from sigeval.functions.columns import as_col, ratio, stable_seed
 from sigeval.functions.pvalues import mcnemar_exact, normal_two_sided
 from sigeval.operators.metrics import auc_aggregate, auc_eer, rate_columns, score_points
 from sigeval.operators.ordering import EVERY, cut_points, ordered_totals, row_index, with_range
+from sigeval.session import stage
 
 ROWS_PER_SALT = 65536
 
@@ -26,7 +27,9 @@ def cluster_draws(df: DataFrame, keys: Sequence[str], cluster: str, n_boot: int,
     As many slots as there are clusters are filled with replacement for each draw.
     """
     keys = list(keys)
-    clusters = row_index(df.select(*keys, cluster).distinct(), keys, [cluster], "slot", every, total="n_clusters")
+    # numbering reads the cluster list several times, so it is written once
+    names = stage(df.select(*keys, cluster).distinct())
+    clusters = row_index(names, keys, [cluster], "slot", every, total="n_clusters")
     picks = clusters.select(
         *keys, "slot", "n_clusters", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
     ).select(
@@ -164,13 +167,15 @@ def mcnemar(df: DataFrame, keys: Sequence[str], right_a: Column, right_b: Column
     return counts.withColumn("mcnemar_p", mcnemar_exact("a_right_b_wrong", "a_wrong_b_right"))
 
 
-def _placements(df: DataFrame, keys: Sequence[str], label: str, score: str, name: str, every: int) -> DataFrame:
-    """Share of the other class that each row beats (positives) or is beaten by (negatives)."""
+def _placements(
+    df: DataFrame, rows: DataFrame, keys: Sequence[str], label: str, score: str, name: str, every: int
+) -> DataFrame:
+    """Add to `rows` the share of the other class in `df` that a row beats (positives) or is beaten by (negatives)."""
     points = score_points(df, keys, label, score, every=every)
     below = ratio(F.col("neg_before") + F.col("neg") / 2.0, F.col("neg_total"))
     above = ratio(F.col("pos_total") - F.col("pos_before") - F.col("pos") / 2.0, F.col("pos_total"))
     table = points.select(*keys, score, below.alias("_below"), above.alias("_above"))
-    joined = df.join(table, [*keys, score])  # AQE splits the partition of a score shared by many rows
+    joined = rows.join(table, [*keys, score])  # AQE splits the partition of a score shared by many rows
     return joined.withColumn(name, F.when(as_col(label) == 1, F.col("_below")).otherwise(F.col("_above"))).drop(
         "_below", "_above"
     )
@@ -178,8 +183,9 @@ def _placements(df: DataFrame, keys: Sequence[str], label: str, score: str, name
 
 def delong(df: DataFrame, keys: Sequence[str], label: str, score_a: str, score_b: str, every: int = EVERY) -> DataFrame:
     """DeLong test of two correlated AUCs on the same items; z is NULL when the variance is not positive."""
-    v = _placements(df, keys, label, score_a, "_va", every)
-    v = _placements(v, keys, label, score_b, "_vb", every)
+    v = df.withColumns({"_sa": F.col(score_a), "_sb": F.col(score_b)}).select(*keys, label, "_sa", "_sb")
+    v = _placements(v, v, keys, label, "_sa", "_va", every)
+    v = _placements(df.withColumn("_sb", F.col(score_b)), v, keys, label, "_sb", "_vb", every)
     y = as_col(label)
 
     def on(cls, c):

@@ -25,12 +25,18 @@ def seeded_sample(df: DataFrame, item: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, label: str, item: str, per_label: int, seed: int = 0) -> DataFrame:
-    """Exactly `per_label` rows of each label (or all it has). Spark applies the rank limit before the shuffle."""
-    w = Window.partitionBy(label).orderBy(order_hash(seed, item), item)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_label).drop("_r")
+    """Exactly `per_label` rows of each label (or all it has); items must be unique.
+
+    The hash at position `per_label` is found by distributed running counts and rows below it are kept,
+    so a label that holds most rows is not ranked in one task.
+    """
+    work = df.withColumn("_h", order_hash(seed, item))
+    cuts = _cut_values(work.select(label, "_h"), [label], {"_c": F.lit(per_label)})
+    return work.join(cuts, label).where(F.col("_c").isNull() | (F.col("_h") < F.col("_c"))).select(*df.columns)
 
 
 def first_per_class(df: DataFrame, label: str, item: str, n: int = 30) -> DataFrame:
+    """First n rows of each label in item order; Spark applies a small rank limit before the shuffle."""
     w = Window.partitionBy(label).orderBy(item)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

@@ -230,7 +230,7 @@ def window_descriptors(
     floor frame: energy at most floor_db. quiet frame: more than quiet_db below the loudest frame.
     noise_floor_db: 10 % quantile of the frame energies.
     """
-    keys = ("rec", "window")
+    keys = ("rec", "window")  # a window has a fixed number of frames, so these windows and quantiles are bounded
     e = frame_energy(w, win, hop, keys, "pos").withColumn("_top", F.max("energy_db").over(_within()))
     loud = F.when(F.col("energy_db") > floor_db, F.col("frame"))
     frames = e.groupBy(*keys).agg(
