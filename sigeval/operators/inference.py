@@ -18,11 +18,18 @@ from sigeval.operators.ordering import EVERY, cut_points, ordered_totals, row_in
 from sigeval.session import stage
 
 ROWS_PER_SALT = 65536
+CHUNK = 64  # draws that share a join key
 
 
 # ---------------------------------------------------------------- draws
+def _chunks(n_boot: int) -> Column:
+    """Numbers of the draw chunks, as rows. A chunk is part of every join key, so a small table or a large
+    cluster with many draws still spreads over all tasks."""
+    return F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // CHUNK)))
+
+
 def cluster_draws(df: DataFrame, keys: Sequence[str], cluster: str, n_boot: int, seed: int, every: int = EVERY) -> DataFrame:
-    """One row per drawn cluster with `draws`: an array of (draw, times picked), at most n_boot entries.
+    """(keys, cluster, chunk, b, m): how often each draw b picked a cluster, for the clusters it picked.
 
     As many slots as there are clusters are filled with replacement for each draw.
     """
@@ -30,34 +37,33 @@ def cluster_draws(df: DataFrame, keys: Sequence[str], cluster: str, n_boot: int,
     # numbering reads the cluster list several times, so it is written once
     names = stage(df.select(*keys, cluster).distinct())
     clusters = row_index(names, keys, [cluster], "slot", every, total="n_clusters")
-    picks = clusters.select(
-        *keys, "slot", "n_clusters", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
-    ).select(
-        *keys, "b", F.pmod(stable_seed(F.lit(str(seed)), *keys, "b", "slot"), F.col("n_clusters")).alias("slot")
-    )
-    packed = (
-        picks.repartition(*keys, "slot")  # serves both aggregations below
-        .groupBy(*keys, "slot", "b")
-        .agg(F.count(F.lit(1)).alias("m"))
-        .groupBy(*keys, "slot")
-        .agg(F.collect_list(F.struct("b", "m")).alias("draws"))
-    )
-    return packed.join(clusters, [*keys, "slot"]).select(*keys, cluster, "draws")
-
-
-def resample(df: DataFrame, keys: Sequence[str], cluster: str, spread: Column, draws: DataFrame) -> DataFrame:
+    slots = clusters.select(*keys, "slot", "n_clusters", _chunks(n_boot).alias("chunk"))
+    # a fixed number of partitions: these few small rows stand for n_boot hashes each, and AQE would merge them by size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = slots.repartition(tasks, *keys, "slot", "chunk")
+    first = F.col("chunk") * CHUNK
+    b = F.explode(F.sequence(first, F.least(first + (CHUNK - 1), F.lit(n_boot - 1)))).alias("b")
+    pick = F.pmod(stable_seed(F.lit(str(seed)), *keys, "b", "slot"), F.col("n_clusters")).alias("slot")
+    picks = slots.select(*keys, "slot", "n_clusters", "chunk", b).select(*keys, "chunk", "b", pick)
+    counts = picks.groupBy(*keys, "slot", "chunk", "b").agg(F.count(F.lit(1)).alias("m"))
+    return counts.join(clusters, [*keys, "slot"]).select(*keys, cluster, "chunk", "b", "m")
+
+
+def resample(
+    df: DataFrame, keys: Sequence[str], cluster: str, spread: Column, draws: DataFrame, n_boot: int
+) -> DataFrame:
     """Rows of `df` once per draw that picked their cluster, with `b` and the multiplicity `m`.
 
-    A cluster with many rows is salted by its row count before the draws are unpacked, so that no
-    task unpacks more than about ROWS_PER_SALT rows of one cluster.
+    A cluster with many rows is salted by its row count, so that no task multiplies more than about
+    ROWS_PER_SALT rows of one cluster and chunk.
     """
     on = [*keys, cluster]
     sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     salts = sizes.select(*on, (F.floor(F.col("_rows") / ROWS_PER_SALT) + 1).cast("int").alias("_salts"))
-    left = df.join(salts, on).withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int")).drop("_salts")
+    left = df.join(salts, on).withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"))
+    left = left.withColumn("chunk", _chunks(n_boot)).drop("_salts")
     right = draws.join(salts, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    joined = left.join(right, [*on, "_salt"]).withColumn("_d", F.explode("draws"))
-    return joined.withColumns({"b": F.col("_d.b"), "m": F.col("_d.m")}).drop("_salt", "draws", "_d")
+    return left.join(right, [*on, "_salt", "chunk"]).drop("_salt", "chunk")
 
 
 def percentile_ci(values: DataFrame, keys: Sequence[str], stats: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -94,16 +100,13 @@ def bootstrap_ranking(
     counts = df.groupBy(*keys, *series, cluster, score).agg(
         F.sum(F.when(y == 1, 1).otherwise(0)).alias("_p"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("_n")
     )
+    # ranges are found once per observed score, not once per draw
+    by = [*keys, *series]
+    counts = stage(with_range(counts, by, score, cut_points(df, by, score, every)))
     draws = cluster_draws(df, keys, cluster, n_boot, seed, every)
-    rows = resample(counts, keys, cluster, F.col(score), draws)
+    rows = resample(counts, keys, cluster, F.col(score), draws, n_boot)
     points = ordered_totals(
-        rows,
-        [*keys, *series, "b"],
-        score,
-        {"pos": F.col("_p") * F.col("m"), "neg": F.col("_n") * F.col("m")},
-        every,
-        cut_keys=[*keys, *series],
-        cut_source=df,
+        rows, [*by, "b"], score, {"pos": F.col("_p") * F.col("m"), "neg": F.col("_n") * F.col("m")}
     )
     return auc_eer(points, [*keys, *series, "b"], score).drop("eer_threshold")
 
@@ -125,10 +128,8 @@ def bootstrap_counts(
         *[F.sum(F.when(c, 1).otherwise(0)).alias(f"_{n}") for n, c in flags.items()]
     )
     draws = cluster_draws(df, keys, cluster, n_boot, seed, every)
-    drawn = per_cluster.join(draws, [*keys, cluster]).withColumn("_d", F.explode("draws"))
-    counts = drawn.groupBy(*keys, *series, F.col("_d.b").alias("b")).agg(
-        *[F.sum(F.col(f"_{n}") * F.col("_d.m")).alias(n) for n in flags]
-    )
+    drawn = per_cluster.withColumn("chunk", _chunks(n_boot)).join(draws, [*keys, cluster, "chunk"])
+    counts = drawn.groupBy(*keys, *series, "b").agg(*[F.sum(F.col(f"_{n}") * F.col("m")).alias(n) for n in flags])
     rates = rate_columns()
     positive = ratio(F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
     return counts.select(
@@ -145,7 +146,7 @@ def bootstrap_statistic(
     The statistic sees every resampled row once with its multiplicity as weight.
     """
     draws = cluster_draws(df, keys, cluster, n_boot, seed, every)
-    rows = resample(df, keys, cluster, F.struct(*df.columns), draws)
+    rows = resample(df, keys, cluster, F.struct(*df.columns), draws, n_boot)
     return rows.groupBy(*keys, "b").agg(statistic(F.col("m")).alias("value"))
 
 

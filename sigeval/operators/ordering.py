@@ -48,32 +48,27 @@ def with_range(df: DataFrame, keys: Sequence[str], order: str, cuts: DataFrame)
 
 
 def ordered_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: dict[str, Column],
-    every: int = EVERY,
-    cut_keys: Sequence[str] | None = None,
-    cut_source: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], every: int = EVERY
 ) -> DataFrame:
     """Collapse to one row per (keys, order) and add running totals in ascending order.
 
     For each value v: `v` (sum at this order value), `v_before` (sum below it), `v_total` (sum of the
-    key) and `v_prev` (sum at the next lower order value, NULL at the lowest). `cut_source` and
-    `cut_keys` let many keys that share a distribution (bootstrap draws) share the cut points.
+    key) and `v_prev` (sum at the next lower order value, NULL at the lowest). Keys and order values
+    must not be NULL. If `df` already has `_range` (a non-decreasing function of the order value within
+    each key), it is used as it is; bootstrap draws share the ranges of their data that way.
     """
     keys = list(keys)
-    cut_keys = keys if cut_keys is None else list(cut_keys)
     names = list(values)
-    collapsed = df.groupBy(*keys, order).agg(*[F.sum(values[n]).alias(n) for n in names])
-    if cut_source is None:
+    sums = [F.sum(values[n]).alias(n) for n in names]
+    if "_range" in df.columns:
+        ranged = df.groupBy(*keys, "_range", order).agg(*sums)
+    else:
+        collapsed = df.groupBy(*keys, order).agg(*sums)
         # the condition also reads the totals (adding zero), which keeps this branch on the shuffle of
         # `collapsed`: a condition on the keys alone would be pushed below it and compute `df` again
         h = F.xxhash64(*keys, order) + sum(F.col(n).isNull().cast("int") for n in names)
         cuts = _cut_points(collapsed.where(F.pmod(h, F.lit(every)) == 0), keys, order)
-    else:
-        cuts = cut_points(cut_source, cut_keys, order, every)
-    ranged = with_range(collapsed, cut_keys, order, cuts)
+        ranged = with_range(collapsed, keys, order, cuts)
 
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
     below = inside.rowsBetween(Window.unboundedPreceding, -1)
