@@ -36,9 +36,23 @@ def _(spark, d):
     )
 
 
-@query("spectral_descriptors")
+SPECTRUM = f"""{SG.REPEAT},
+  fr AS (SELECT rec, "window", t, pos + 8 - 8 * t AS m, v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (pos + 8 - 8 * t) / 16)) AS x
+         FROM (SELECT *, unnest(range(3)) AS t FROM wn) WHERE pos + 8 - 8 * t BETWEEN 0 AND 15),
+  pw AS (SELECT rec, "window", t, k, pow(sum(x * cos(2 * pi() * k * m / 16)), 2) + pow(sum(x * sin(2 * pi() * k * m / 16)), 2) AS p
+         FROM (SELECT *, unnest(range(9)) AS k FROM fr) GROUP BY 1, 2, 3, 4),
+  sp AS (SELECT rec, "window", k, k * 1.25::DOUBLE AS f, sum(p) AS p FROM pw GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "spectral_descriptors",
+    f"""WITH {SPECTRUM} SELECT rec, "window", round(sum(p) FILTER (WHERE f < 1) / sum(p), 6) AS lf_ratio,
+        round(sum(p) FILTER (WHERE f > 6) / sum(p), 6) AS hf_ratio, round(sum(f * p) / sum(p), 6) AS centroid_hz FROM sp GROUP BY 1, 2""",
+    ("fx_signal",),
+)
 def _(spark, d):
-    return S.spectral_descriptors(arrays(spark, d), SMALL, low_hz=1.0, high_hz=6.0)
+    t = S.spectral_descriptors(arrays(spark, d), SMALL, low_hz=1.0, high_hz=6.0)
+    return t.select("rec", "window", *[F.round(c, 6).alias(c) for c in ("lf_ratio", "hf_ratio", "centroid_hz")])
 
 
 def vectors(spark, d):
