@@ -101,7 +101,7 @@ def test_seed_summary(spark):
 
 
 def test_names_and_arrays(spark):
-    df = spark.createDataFrame([("a_chk1_chk2", [3.0, -4.0], "bscan__P1__seed42")], "n string, x array<double>, run string")
+    df = spark.createDataFrame([("a_chk1_chk2", [3.0, -4.0], "main__P1__seed42")], "n string, x array<double>, run string")
     r = df.select(
         C.parent_id("n").alias("p"), C.peak_normalise("x").alias("pk"), C.tile_to("x", 5).alias("t"), C.pad_or_crop("x", 4).alias("c"),
         C.run_part("run", "seed").alias("s"), C.stable_seed(F.lit("a"), F.lit(1)).alias("h"), C.cluster_id(F.lit("MEN"), F.lit(None).cast("string"), F.lit("q")).alias("cl"),
