@@ -60,3 +60,34 @@ e1 AS (SELECT *, (1 - least(greatest((SELECT r FROM er), 0.001), 0.999)) / least
 e2 AS (SELECT host, n + s AS size, (bad + s * prior) / (n + s) AS rate FROM e1),
 e AS (SELECT host, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 AS blocked FROM e2)
 SELECT page_id, k.host, path, rule, coalesce(known, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM k JOIN e USING (host)"""
+
+
+def _spans(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """CTE of one kind's spans: matches start after the gaps and matches before them."""
+    p = pattern.replace("'", "''")
+    return f"""k{number} AS (SELECT doc_id, {number} AS no, '{kind}' AS kind, start, start + hit AS stop FROM (
+    SELECT doc_id, hit, part, sum(gap) OVER w + coalesce(sum(hit) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (
+      SELECT doc_id, unnest(range(len(hits))) AS i, length(unnest(hits)) AS hit, length(unnest(parts)) AS part,
+        length(unnest(gaps[:len(hits)])) AS gap FROM (
+        SELECT doc_id, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {group}) AS parts, string_split_regex(t, '{p}') AS gaps FROM d))
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE part >= {least})"""
+
+
+_KINDS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24), ("repo_token", r"gh[opsur]_[A-Za-z0-9]+", 0, 40),
+    ("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15), ("map_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
+    ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+)
+ORACLES["op10_secrets"] = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
+    + ", ".join(_spans(n, *k) for n, k in enumerate(_KINDS))
+    + ", a AS ("
+    + " UNION ALL ".join(f"SELECT * FROM k{n}" for n in range(len(_KINDS)))
+    + """), g AS (SELECT doc_id, count(*) FILTER (no = 0) AS n0, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, no) FILTER (no < 3) AS base,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, no) AS spans FROM a GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, url_reputation
+from . import exact_dedup, mixing, secrets, sharding, url_reputation
 from .common import read_table
 from .oracles import ORACLES  # noqa: F401
 
@@ -38,3 +38,14 @@ def op9_shards(spark, sf_dir):
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op10_secrets(spark, sf_dir):
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    count = lambda n: F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
