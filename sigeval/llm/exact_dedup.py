@@ -30,7 +30,8 @@ def frequent(rows: DataFrame, item: Column, counters: int = COUNTERS) -> DataFra
     """
     parts = rows.select((F.spark_partition_id() % MERGERS).alias("part"), item.alias("item"))
     merged = parts.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(item, {counters})").alias("summary"))
-    one = merged.agg(F.expr("approx_top_k_combine(summary)").alias("summary"))
+    # grouped by a constant, because without a key empty tasks would hand in summaries that cannot be merged
+    one = merged.groupBy(F.col("part") * 0).agg(F.expr("approx_top_k_combine(summary)").alias("summary"))
     return one.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {counters})")).alias("hit")).select("hit.item")
 
 
