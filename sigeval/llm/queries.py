@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, secrets, sharding, url_reputation
+from . import decontaminate, exact_dedup, mixing, secrets, sharding, simhash, url_reputation
 from .common import read_table
 from .oracles import ORACLES  # noqa: F401
 
@@ -58,3 +58,9 @@ def op2_decontaminate(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op6_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
