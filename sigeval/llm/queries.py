@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, secrets, sharding, simhash, url_reputation
+from . import decontaminate, exact_dedup, language, mixing, secrets, sharding, simhash, url_reputation
 from .common import read_table
 from .oracles import ORACLES  # noqa: F401
 
@@ -64,3 +64,11 @@ def op2_decontaminate(spark, sf_dir):
 def op6_simhash(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_language(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.fit(language.train_rows(docs))
+    found = language.predict(docs, model)
+    return found.select("doc_id", F.coalesce(language.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
