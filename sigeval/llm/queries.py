@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, mixing, secrets, sharding, simhash, url_reputation
+from . import decontaminate, exact_dedup, language, mixing, secrets, sharding, simhash, toxicity, url_reputation
 from .common import read_table
 from .oracles import ORACLES  # noqa: F401
 
@@ -72,3 +72,12 @@ def op7_language(spark, sf_dir):
     model = language.fit(language.train_rows(docs))
     found = language.predict(docs, model)
     return found.select("doc_id", F.coalesce(language.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    held = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
