@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, mixing, secrets, sharding, simhash, toxicity, url_reputation
+from . import decontaminate, exact_dedup, language, mixing, secrets, separators, sharding, simhash, toxicity, url_reputation
 from .common import read_table
 from .oracles import ORACLES  # noqa: F401
 
@@ -81,3 +81,11 @@ def op4_toxicity(spark, sf_dir):
     out = toxicity.score(docs, model)
     held = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op8_token_counts(spark, sf_dir):
+    root = separators.token_folder(spark)
+    order = separators.write_tokens(read_table(spark, sf_dir, "documents"), root)
+    counted = separators.scan(order.where("ordinal = 0"), root)
+    return order.join(counted, ["file", "ordinal"]).select("doc_id", "ordinal", "start", "n_tokens")
