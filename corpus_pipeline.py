@@ -7,10 +7,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigeval.llm import mixing, sharding
+from sigeval.llm import decontaminate, language, mixing, sharding, simhash
 from sigeval.llm.common import read_table, stage_root
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those of which no language holds a main part."""
+    return language.accepted(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that with the smallest doc_id."""
+    return simhash.deduplicated(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a window of the benchmark."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and samples documents until each source has its share of the words."""
     return mixing.repeated(mixing.mix(docs))
@@ -23,7 +38,13 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.select(*own, F.col("sharded.shard").alias("shard"), F.col("sharded.slot").alias("slot"))
 
 
-STAGES = [("mixing", mix_sources), ("sharding", shards)]
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("sharding", shards),
+]
 
 #: No SQL: the language and near-duplicate stages are iterative. tests/llm checks run() against a plain version.
 ORACLE_SQL = None

@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as B
@@ -81,13 +81,15 @@ def _fingerprints(n: int):
     return run
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """(doc_id, fp, row): 64-bit SimHash of the text's shingles of n words, repeats counted, and a number of the row.
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp, row): 64-bit SimHash of the text's shingles of n words, repeats counted, and the number `row`, by
+    default one that tells the rows of this result apart.
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space; fewer than n words are one shingle, none give
     zero. A bit is set if it is in over half of the shingles' XXH64 (seed 42).
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    row = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), row.alias("row"))
     return rows.mapInArrow(_fingerprints(n), f"doc_id {docs.schema[key].dataType.simpleString()}, fp long, row long")
 
 
@@ -203,14 +205,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> Data
     return found.where("b IS NOT NULL").union(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, radius: int = RADIUS) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id (smallest doc_id that links within `radius` bits reach), first.
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, radius: int = RADIUS, row: Column | None = None
+) -> DataFrame:
+    """One row per input row: doc_id, row, fp, component_id (smallest doc_id that links within `radius` bits reach), first.
 
     `first` is true for one row of each component, that with the smallest doc_id (NULL last). NULL and empty texts have
     fingerprint zero and link like any other. Equal fingerprints are one node, so copies are not expanded into pairs.
     An empty table gives an empty result; other columns are not read.
     """
-    rows = stage(fingerprints(docs, key, text, n))
+    rows = stage(fingerprints(docs, key, text, n, row))
     lead = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     nodes = stage(rows.groupBy("fp").agg(F.min(lead).alias("lead")))
     linked = stage(components(links(nodes, radius)))
@@ -219,5 +223,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     tops = linked.join(leads, "root").select(F.col("node").alias("fp"), "top")
     tops = stage(nodes.join(tops, "fp", "left").select("fp", F.coalesce("top", "lead").alias("top")))
     return rows.join(tops, "fp").select(
-        "doc_id", "fp", F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("first")
+        "doc_id", "row", "fp", F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("first")
     )
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The input rows with one of each component: that with the smallest key, and one of repeated rows."""
+    tagged = stage(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    found = near_duplicates(tagged.select(f"doc.{key}", f"doc.{text}", "row"), key, text, n, radius, F.col("row"))
+    copies = stage(found.where(~F.col("first")).select("row"))
+    return tagged.join(copies, "row", "left_anti").select("doc.*")
