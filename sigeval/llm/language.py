@@ -69,7 +69,7 @@ def _counted(batches):
                 counts += np.bincount(gram[(own == lang)[doc]], minlength=1 << BITS)
     for lang, counts in totals.items():
         seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["lang", "gram", "n"])
 
 
 def gram_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
