@@ -230,6 +230,7 @@ def _(spark, d):
 # ---------------------------------------------------------------- neighbours
 PLANTED = """planted AS (
     SELECT vec_id AS item, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings UNION ALL
+    SELECT vec_id + 1000000 * unnest(range(2, 11)), list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id % 50 = 7 UNION ALL
     SELECT vec_id + 1000000, list_transform(embedding, lambda x, j: x::DOUBLE + ((vec_id * 7919 + (j - 1) * 104729) % 1000 / 1000.0::DOUBLE - 0.5::DOUBLE) * (0.02::DOUBLE + 0.02::DOUBLE * (vec_id % 3))) FROM embeddings),
   un AS (SELECT item, list_transform(v, lambda x: x / n) AS u FROM (SELECT item, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM planted)),
   nn AS (SELECT a.item, b.item AS neighbour, list_dot_product(a.u, b.u) AS cosine FROM un a JOIN un b ON a.item <> b.item WHERE list_dot_product(a.u, b.u) >= 0.99),
@@ -237,7 +238,8 @@ PLANTED = """planted AS (
 
 
 def planted(spark, d):
-    """The vectors and one jittered copy of each: some copies are near duplicates, some are not."""
+    """The vectors, one jittered copy of each (some copies are near duplicates, some are not), and nine identical copies of
+    every fiftieth."""
     v = fx.vectors(spark, d).select("item", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     amp = F.lit(0.02) + F.lit(0.02) * (F.col("item") % 3)
     jitter = F.transform(
@@ -245,7 +247,9 @@ def planted(spark, d):
     )
     # two steps: inside a lambda, `item` would mean the new column of the same select
     copies = v.withColumn("w", jitter).select((F.col("item") + 1000000).alias("item"), F.col("w").alias("v"))
-    return v.unionByName(copies)
+    same = v.where("item % 50 = 7").select(F.explode(F.sequence(F.lit(2), F.lit(10))).alias("n"), "item", "v")
+    same = same.select((F.col("item") + F.col("n") * 1000000).alias("item"), "v")
+    return v.unionByName(copies).unionByName(same)
 
 
 @query("knn_topk", f"WITH {PLANTED} SELECT item, neighbour, round(cosine, 6) AS cosine, rank FROM kn WHERE rank <= 6")
@@ -262,23 +266,30 @@ def _(spark, d):
     return rnd(N.candidate_pairs(N.neighbours(planted(spark, d), "item", "v", 64, 0.995, k=6)), "cosine")
 
 
-@query("near_dup_confirm")
+@query(
+    "near_dup_confirm",
+    f"""WITH {PLANTED},
+      pr AS (SELECT least(item, neighbour) AS item_a, greatest(item, neighbour) AS item_b, max(cosine) AS cosine FROM kn WHERE rank <= 6 AND cosine >= 0.995 GROUP BY 1, 2),
+      ce AS (SELECT item, list_transform(v, lambda x: x - list_avg(v)) AS c FROM planted),
+      lg AS (SELECT item_a, item_b, cosine, a.c AS a, b.c AS b, unnest(range(-63, 64)) AS lag FROM pr JOIN ce a ON a.item = item_a JOIN ce b ON b.item = item_b),
+      cr AS (SELECT item_a, item_b, cosine, max(list_dot_product(a[greatest(1, 1 - lag):least(64, 64 - lag)], b[greatest(1, 1 + lag):least(64, 64 + lag)])
+          / sqrt(list_dot_product(a, a) * list_dot_product(b, b))) AS correlation FROM lg GROUP BY 1, 2, 3)
+      SELECT item_a, item_b, round(cosine, 6) AS cosine, round(correlation, 6) AS correlation, correlation >= 0.95 AS confirmed FROM cr""",
+)
 def _(spark, d):
     v = planted(spark, d)
     pairs = stage(N.candidate_pairs(N.neighbours(v, "item", "v", 64, 0.995, k=6)))
-    return N.confirm(pairs, v, "item", "v", 0.95)
+    return rnd(N.confirm(pairs, v, "item", "v", 0.95), "cosine", "correlation")
 
 
 # ---------------------------------------------------------------- features
 @query(
     "norm_stats",
-    f"""WITH s AS (SELECT vec_id AS item, embedding FROM embeddings WHERE label < 8 ORDER BY sha1(concat_ws('|', '0', vec_id)), vec_id LIMIT 5000),
-         x AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM s)
+    """WITH x AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings WHERE label < 8)
        SELECT cast(pos AS integer) AS pos, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(*) AS n FROM x GROUP BY 1""",
 )
 def _(spark, d):
-    train = fx.vectors(spark, d).where("label < 8")
-    return rnd(A.norm_stats(S.seeded_sample(train, "item", 5000), "embedding"), "mean", "std")
+    return rnd(A.norm_stats(fx.vectors(spark, d).where("label < 8"), "embedding"), "mean", "std")
 
 
 @query(

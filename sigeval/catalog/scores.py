@@ -391,7 +391,7 @@ def _(spark, d):
         UNION ALL SELECT 'speaker', cast(speaker_id AS varchar), label, score, thr FROM x
         UNION ALL SELECT 'duration_tertile', CASE WHEN n_windows <= d1 THEN 'short' WHEN n_windows <= d2 THEN 'medium' ELSE 'long' END, label, score, thr FROM x, q
         UNION ALL SELECT 'snr_proxy_tertile', CASE WHEN score_b <= s1 THEN 'low' WHEN score_b <= s2 THEN 'mid' ELSE 'high' END, label, score, thr FROM x, q
-        UNION ALL SELECT 'trailing_silence', CASE WHEN max_pad_fraction <= 0.05 THEN '<0.05s' WHEN max_pad_fraction <= 0.08 THEN '0.05-0.3s' ELSE '>0.3s' END, label, score, thr FROM x
+        UNION ALL SELECT 'trailing_silence', CASE WHEN max_pad_fraction <= 0.05 THEN '<0.05s' WHEN max_pad_fraction <= 0.08 THEN '0.05-0.08s' ELSE '>0.08s' END, label, score, thr FROM x
         UNION ALL SELECT 'clipping', CASE WHEN max_pad_fraction > 0.09 THEN 'clipped' ELSE 'unclipped' END, label, score, thr FROM x
         UNION ALL SELECT 'confidence_quintile', CASE WHEN confidence <= c1 THEN 'q1 (least)' WHEN confidence <= c2 THEN 'q2'
             WHEN confidence <= c3 THEN 'q3' WHEN confidence <= c4 THEN 'q4' ELSE 'q5 (most)' END, label, score, thr FROM x, q)
@@ -418,7 +418,7 @@ def _(spark, d):
         "speaker": F.col("speaker_id").cast("string"),
         "duration_tertile": F.col("duration_tertile"),
         "snr_proxy_tertile": F.col("snr_proxy_tertile"),
-        "trailing_silence": fixed_cut("max_pad_fraction", [-1, 0.05, 0.08, 100], ["<0.05s", "0.05-0.3s", ">0.3s"]),
+        "trailing_silence": fixed_cut("max_pad_fraction", [-1, 0.05, 0.08, 100], ["<0.05s", "0.05-0.08s", ">0.08s"]),
         "clipping": F.when(F.col("max_pad_fraction") > 0.09, "clipped").otherwise("unclipped"),
         "confidence_quintile": F.col("confidence_quintile"),
     }

@@ -17,10 +17,11 @@ def with_quantile_levels(
 ) -> DataFrame:
     """Add quantile bins within a key (right-closed, lowest included): {new column: (value, labels)}.
 
-    The edges of all values come from one unpivoted pass and are joined back as one row per key.
+    The edges of all values come from one unpivoted pass. They are joined back as one row per key, or read as scalars if
+    there is no key.
     """
-    by = list(keys) or ["_one"]
-    work = df.withColumns({**({} if keys else {"_one": F.lit(1)}), **{f"_v_{n}": v.cast("double") for n, (v, _) in levels.items()}})
+    by = list(keys)
+    work = df.withColumns({f"_v_{n}": v.cast("double") for n, (v, _) in levels.items()})
     long = unpivot(work, by, [f"_v_{n}" for n in levels], "_name", "_value")
     sizes = sorted({len(labels) for _, labels in levels.values()})
     probs = {f"q{k}_{i}": i / k for k in sizes for i in range(k + 1)}
@@ -33,7 +34,7 @@ def with_quantile_levels(
             for n, (_, labels) in levels.items()
         ]
     )
-    out = work.join(edges, by, "left")
+    out = work.join(edges, by, "left") if keys else work.withColumns({f"_e_{n}": edges.select(f"_e_{n}").scalar() for n in levels})
     out = out.withColumns(
         {n: edge_cut(f"_v_{n}", F.col(f"_e_{n}"), labels, drop_duplicates) for n, (_, labels) in levels.items()}
     )

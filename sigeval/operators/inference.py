@@ -203,8 +203,9 @@ def delong(df: DataFrame, keys: Sequence[str], label: str, score_a: str, score_b
     var = (F.col("_var1_va") + F.col("_var1_vb") - 2 * F.col("_cov1")) / F.col("_m") + (
         F.col("_var0_va") + F.col("_var0_vb") - 2 * F.col("_cov0")
     ) / F.col("_n")
-    # identical scores leave rounding noise instead of an exact zero
-    z = (F.col("auc_a") - F.col("auc_b")) / F.sqrt(F.when(var > 1e-18, var))
+    # identical scores leave rounding noise of the summed components instead of an exact zero
+    parts = (F.col("_var1_va") + F.col("_var1_vb")) / F.col("_m") + (F.col("_var0_va") + F.col("_var0_vb")) / F.col("_n")
+    z = (F.col("auc_a") - F.col("auc_b")) / F.sqrt(F.when(var > parts * 1e-12, var))
     return agg.select(*keys, "auc_a", "auc_b", z.alias("z")).withColumn("p_value", normal_two_sided("z"))
 
 

@@ -4,7 +4,8 @@ Unit vectors with cosine >= c lie within r = sqrt(2 - 2c), so their coordinates
 differ by at most r. Vectors are put into the cells of a grid along a few orthonormal directions; each
 vector is compared only with the vectors of the cells its r-ball can reach. Nothing is missed.
 
-Identical vectors are one group, represented by its smallest item. A crowded cell is cut into blocks,
+Identical vectors are one group, represented by its smallest item while vectors are compared; a group's smallest items
+then stand for it in the neighbour lists, and every member gets its own list. A crowded cell is cut into blocks,
 compared block against block in separate tasks, and each block returns at most k neighbours per
 vector, so a cluster of near copies never becomes a list of all its pairs.
 """
@@ -93,12 +94,12 @@ def _top_k(k: int, threshold: float):
 def neighbours(
     df: DataFrame, item: str, vec: str, dim: int, threshold: float, k: int = 6, axes: int = 6, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """The k nearest distinct vectors with cosine >= threshold: (item, neighbour, cosine, rank)."""
+    """The k nearest items with cosine >= threshold, copies of the same vector included: (item, neighbour, cosine, rank)."""
     r = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
     width = 2.0 * r
-    one_each = distinct_vectors(df, item, vec).select(F.col(item).cast("long").alias("item"), F.col(vec).alias("v"))
+    one_each = stage(distinct_vectors(df, item, vec).select(F.col(item).cast("long").alias("item"), F.col(vec).alias("v"), "copies"))
     base = stage(
-        one_each.mapInPandas(_grid(dim, axes, r, width), "item long, u array<double>, home string, reach array<string>")
+        one_each.select("item", "v").mapInPandas(_grid(dim, axes, r, width), "item long, u array<double>, home string, reach array<string>")
     )
     homes = base.select("item", "u", F.col("home").alias("cell"))
     probes = base.select("item", "u", F.explode("reach").alias("cell"))
@@ -125,6 +126,21 @@ def neighbours(
         .cogroup(p.groupBy(*[f"p_{c}" for c in block]))
         .applyInPandas(_top_k(k, threshold), "item long, neighbour long, cosine double")
     )
+    near = stage(_ranked(found, k))
+
+    # members of groups; a list of k needs at most k + 1 of each (one of them may be the item itself)
+    groups = one_each.where("copies > 1").select(F.col("item").alias("rep"), "v")
+    member = df.select(F.col(item).cast("long").alias("item"), F.col(vec).alias("v")).join(groups, "v").select("item", "rep")
+    few = member.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("item"))).where(F.col("at") <= k + 1)
+    few = stage(few.select(F.col("rep").alias("neighbour"), F.col("item").alias("member")))
+    own = few.select(F.col("neighbour").alias("item"), F.col("member").alias("neighbour"), F.lit(1.0).alias("cosine"))
+    others = near.join(few, "neighbour", "left").select("item", F.coalesce("member", "neighbour").alias("neighbour"), "cosine")
+    lists = _ranked(own.unionByName(others), k + 1).select(F.col("item").alias("rep"), "neighbour", "cosine")
+    items = one_each.where("copies = 1").select("item", F.col("item").alias("rep")).unionByName(member)
+    return _ranked(items.join(lists, "rep").where("item <> neighbour").select("item", "neighbour", "cosine"), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("cosine"), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -40,8 +40,11 @@ def _count_up_to(cuts: Column, x: Column) -> Column:
 
 
 def with_range(df: DataFrame, keys: Sequence[str], order: str, cuts: DataFrame) -> DataFrame:
-    """Add `_range`, the index of the row's range within its key."""
-    joined = df.join(F.broadcast(cuts), list(keys), "left")  # at most MAX_CUTS rows by construction
+    """Add `_range`, the index of the row's range within its key; without keys the cuts are a scalar of the plan."""
+    if keys:
+        joined = df.join(F.broadcast(cuts), list(keys), "left")  # at most MAX_CUTS rows by construction
+    else:
+        joined = df.withColumn("_cuts", cuts.select("_cuts").scalar())
     return joined.withColumn(
         "_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_count_up_to(F.col("_cuts"), F.col(order)))
     ).drop("_cuts")

@@ -20,8 +20,13 @@ def order_hash(seed: int, value) -> Column:
 
 
 def seeded_sample(df: DataFrame, item: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows (or all), the same on every partitioning."""
-    return df.orderBy(order_hash(seed, item), item).limit(n)
+    """Exactly n rows (or all), the same on every partitioning; items must be unique.
+
+    The hash at position n is a scalar of the plan, and rows below it stay where they are.
+    """
+    work = df.withColumn("_h", order_hash(seed, item))
+    cut = _cut_values(work.select("_h"), [], {"_c": F.lit(n)}).select("_c").scalar()
+    return work.where(cut.isNull() | (F.col("_h") < cut)).select(*df.columns)
 
 
 def stratified_sample(df: DataFrame, label: str, item: str, per_label: int, seed: int = 0) -> DataFrame:
@@ -56,16 +61,14 @@ def group_split(
 
     The cut after a cumulative share c lies at position floor(c * groups) of the hash order.
     """
-    by = list(keys) or ["_all"]
     work = df.withColumn("_h", order_hash(seed, group))
-    if not keys:
-        work = work.withColumn("_all", F.lit(1))
     total, cum, positions = F.col("_n_total"), 0.0, {}
     for i, (_, share) in enumerate(shares[:-1]):
         cum += share
         positions[f"_c{i}"] = F.floor(F.lit(round(cum, 10)) * total)
-    cuts = _cut_values(work.select(*by, "_h").distinct(), by, positions)
-    out = work.join(cuts, by)
+    cuts = _cut_values(work.select(*keys, "_h").distinct(), keys, positions)
+    # without keys the cuts are scalars of the plan: a join on a constant has no key to hash by
+    out = work.join(cuts, list(keys)) if keys else work.withColumns({c: cuts.select(c).scalar() for c in positions})
     split = None
     for i, (label, _) in enumerate(shares[:-1]):
         # no group at that position: every group lies before the cut

@@ -12,7 +12,7 @@ from sigeval.operators.errors import with_quantile_levels
 
 def brute_neighbours(x, ids, threshold, k):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    cos = u @ u.T
+    cos = np.round(u @ u.T, 12)
     out = set()
     for i in range(len(ids)):
         near = sorted((-cos[i, j], ids[j]) for j in range(len(ids)) if j != i and cos[i, j] >= threshold)
@@ -28,6 +28,9 @@ def test_neighbours_match_brute_force(spark, block):
     x = np.vstack([base, crowd, base[:20] + rng.normal(scale=0.1, size=(20, 16))])
     ids = list(range(len(x)))
     rows = [(i, [float(v) for v in row]) for i, row in zip(ids, x)] + [(1000 + i, [float(v) for v in x[i]]) for i in range(5)]
+    x, ids = np.vstack([x, x[:5]]), ids + [1000 + i for i in range(5)]
+    rows += [(2000 + i, [float(v) for v in x[3]]) for i in range(9)]  # more copies than a list holds
+    x, ids = np.vstack([x, np.tile(x[3], (9, 1))]), ids + [2000 + i for i in range(9)]
     df = spark.createDataFrame(rows, "item long, v array<double>")
     for threshold in (0.995, 0.9):
         got = N.neighbours(df, "item", "v", 16, threshold, k=4, block_rows=block).collect()
@@ -76,6 +79,24 @@ def test_group_split_is_disjoint_and_exact(spark):
     assert t.drop_duplicates("g")["split"].value_counts().to_dict() == {"train": 140, "validation": 30, "test": 30}
 
 
+@pytest.mark.parametrize("auto", ["-1", "10m"])
+def test_splits_and_levels_join_on_no_constant(spark, auto):
+    """Without keys the cuts are scalars: no plan has a Cartesian product or a nested loop."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    try:
+        df = spark.range(2000).select(F.col("id").alias("item"), (F.col("id") % 97).alias("g"), F.rand(1).alias("v"))
+        split = S.group_split(df, "g", [("train", 0.7), ("test", 0.3)])
+        levels = with_quantile_levels(df, [], {"a": (F.col("v"), ["low", "high"]), "b": (F.col("g"), ["x", "y", "z"])})
+        sample = S.seeded_sample(df, "item", 10)
+        for t in (split, levels, sample):
+            plan = t._jdf.queryExecution().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert sample.count() == 10 and levels.where("a = 'low'").count() == 1000 and split.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_stratified_sizes(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "item int, label int")
     t = S.stratified_split(df, "label", "item").toPandas()
