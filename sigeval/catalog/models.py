@@ -19,15 +19,15 @@ from sigeval.session import stage
 SMALL = S.Spectrum(rate=20, n_fft=16, hop=8, n_mels=6, n_ceps=4)
 
 
-def arrays(spark, d):
-    w = G.segment(SG.signal(spark, d), "trim_repeat", SG.WINDOW, frame=SG.WIN, frame_hop=SG.HOP, top_db=SG.TOP)
+def arrays(spark, d, win=SG.WINDOW):
+    w = G.segment(SG.signal(spark, d), "trim_repeat", win, frame=SG.WIN, frame_hop=SG.HOP, top_db=SG.TOP)
     return G.window_arrays(w)
 
 
 @query("spectral_features")
 def _(spark, d):
-    """All three feature kinds of every window, summarised per channel."""
-    t = S.spectral_features(arrays(spark, d), ["mel", "lfcc", "mfcc"], SMALL)
+    """All three feature kinds of every window, summarised per channel; windows of ten frames, so that slopes exist."""
+    t = S.spectral_features(arrays(spark, d, 72), ["mel", "lfcc", "mfcc"], SMALL)
     cells = t.select("rec", "window", "feature", F.posexplode("values").alias("channel", "m"))
     x = F.flatten("m")
     return cells.select(

@@ -258,6 +258,16 @@ def _(spark, d):
     return rnd(W.perturb(signal(spark, d), ["speed_1.05"]), "v")
 
 
-@query("perturb_reverb")
+@query(
+    "perturb_reverb",
+    f"""WITH h0 AS (SELECT rec, k, CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE {normal("'0'", "cast(rec AS varchar)", "'reverb_rt0.3'", "cast(k AS varchar)")}
+        * pow(10.0::DOUBLE, -3.0::DOUBLE * k / 30) END AS h FROM (SELECT DISTINCT rec FROM fx_signal), (SELECT unnest(range(30)) AS k)),
+      hn AS (SELECT rec, k, h / sqrt(sum(h * h) OVER (PARTITION BY rec)) AS h FROM h0),
+      y AS (SELECT s.rec, s.i + k AS i, sum(v * h) AS y FROM fx_signal s JOIN hn ON s.rec = hn.rec GROUP BY 1, 2),
+      n AS (SELECT rec, count(*) AS n, max(abs(v)) AS peak FROM fx_signal GROUP BY rec),
+      z AS (SELECT y.rec, i, y, peak, max(abs(y)) OVER (PARTITION BY y.rec) AS top FROM y JOIN n ON y.rec = n.rec WHERE i < n)
+      SELECT rec, 'reverb_rt0.3' AS condition, i, round(y / top * peak, 5) AS v FROM z""",
+    ("fx_signal",),
+)
 def _(spark, d):
-    return W.perturb(signal(spark, d), ["reverb_rt0.3"], rate=100)
+    return rnd(W.perturb(signal(spark, d), ["reverb_rt0.3"], rate=100), "v", digits=5)

@@ -173,7 +173,7 @@ def segment(
     if scheme == "original":
         return normalise_windows(cut_windows(scale_to_peak(sig), win, overlap))
     if scheme not in ("trim_repeat", "controlled"):
-        raise ValueError(f"unknown segmentation scheme: {scheme}")
+        raise ValueError(f"no such windowing: {scheme}")
     trimmed = trim_silence(scale_to_peak(sig), frame, frame_hop, top_db)
     w = normalise_windows(cut_windows(trimmed, win, overlap, repeat=True))
     return condition_windows(w, dither_dbfs, seed) if scheme == "controlled" else w

@@ -68,11 +68,9 @@ def cosine_basis(n: int) -> np.ndarray:
 
 def slope(x: np.ndarray, order: int, width: int = 9) -> np.ndarray:
     """Derivative of a least-squares polynomial of that order over `width` frames; the edges repeat the
-    fit of the first and last full stretch."""
-    t = x.shape[1]
-    width = min(width, t if t % 2 else t - 1)
-    if width < order + 2:
-        return np.zeros_like(x)
+    fit of the first and last full stretch. Fewer than `width` frames are an error."""
+    if x.shape[1] < width:
+        raise ValueError(f"a slope over {width} frames needs as many, the window has {x.shape[1]}")
     half = width // 2
     fit = np.linalg.pinv(np.vander(np.arange(-half, half + 1), order + 1, increasing=True))[order]
     inner = np.lib.stride_tricks.sliding_window_view(x, width, axis=1) @ (fit * math.factorial(order))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,30 +13,33 @@ from sigeval.functions.columns import as_col, hash_normal, ratio, stable_seed
 from sigeval.operators.metrics import auc_eer, score_points, with_rates
 from sigeval.operators.signal import signal_stats, trim_bounds
 
-ROBUSTNESS = ("clean", "noise_snr20", "noise_snr10", "noise_snr5", "clip_+6dB", "speed_0.95", "speed_1.05", "reverb_rt0.3", "reverb_rt0.6")
-PROBES = ("clean", "append_silence_0.44", "trim_trailing", "add_dc_neg", "remove_dc", "dither_-60dBFS")
+#: Kinds of condition and the unit that follows the number in a name.
+UNITS = {"noise_snr": "", "clip_": "dB", "dither_": "dBFS", "append_silence_": "", "speed_": "", "reverb_rt": ""}
 
 
-def number_in(name: str, prefix: str, suffix: str = "") -> float:
-    return float(re.fullmatch(rf"{re.escape(prefix)}(.+?){re.escape(suffix)}", name).group(1))
+def parsed(name: str) -> tuple[str, float | None]:
+    """Kind of a condition and its number, if the kind has one: `clip_+6dB` is ("clip_", 6.0)."""
+    for kind, unit in UNITS.items():
+        if name.startswith(kind) and name.endswith(unit):
+            return kind, float(name[len(kind) : len(name) - len(unit)])
+    return name, None
 
 
-def clip_level(name: str) -> float:
-    """Level at which samples are cut: full scale lowered by the gain in the name (clip_+6dB)."""
-    return 10.0 ** (-number_in(name, "clip_", "dB") / 20.0)
+def amplitude(decibel: float) -> float:
+    return 10.0 ** (decibel / 20.0)
 
 
 def _pointwise(name: str, seed: int) -> Column | None:
     """Sample expression of a condition that keeps the sample count; reads the signal's statistics."""
     v = F.col("v")
     noise = hash_normal(F.lit(str(seed)), "rec", F.lit(name), "i")
-    if name == "clean" or name.startswith("append_silence_"):
+    kind, number = parsed(name)
+    if kind in ("clean", "append_silence_"):
         return v
-    if name.startswith("noise_snr"):
-        level = 10.0 ** (number_in(name, "noise_snr") / 10.0)
-        return v + noise * F.sqrt((F.col("power") + F.lit(1e-12)) / F.lit(level))
-    if name.startswith("clip_"):
-        g = clip_level(name)
+    if kind == "noise_snr":
+        return v + noise * F.sqrt((F.col("power") + F.lit(1e-12)) / F.lit(10.0 ** (number / 10.0)))
+    if kind == "clip_":  # full scale lowered by the gain
+        g = amplitude(-number)
         return F.greatest(F.least(v, F.lit(g)), F.lit(-g))
     if name == "trim_trailing":
         return F.when(F.col("i") < F.col("end"), v)
@@ -46,8 +47,8 @@ def _pointwise(name: str, seed: int) -> Column | None:
         return v - F.lit(0.001) * F.col("peak")
     if name == "remove_dc":
         return v - F.col("mean")
-    if name.startswith("dither_"):
-        return v + F.lit(10.0 ** (number_in(name, "dither_", "dBFS") / 20.0)) * noise
+    if kind == "dither_":
+        return v + F.lit(amplitude(number)) * noise
     return None
 
 
@@ -59,11 +60,9 @@ def perturb(
     Conditions that act on samples are expanded from one scan; speed and reverberation have their own plans.
     """
     sig = sig.select("rec", "i", "v")
-    known = ("speed_", "reverb_rt")
-    simple = [c for c in conditions if not c.startswith(known)]
-    for c in simple:
-        if _pointwise(c, seed) is None:
-            raise ValueError(f"unknown perturbation {c}")
+    simple = [c for c in conditions if parsed(c)[0] not in ("speed_", "reverb_rt")]
+    if unknown := [c for c in simple if _pointwise(c, seed) is None]:
+        raise ValueError(f"conditions without a rule: {unknown}")
     parts = []
     if simple:
         stats = signal_stats(sig)
@@ -74,18 +73,19 @@ def perturb(
             sig.join(stats, "rec").select("rec", "i", F.inline(rows)).where(F.col("v").isNotNull()).select("rec", "condition", "i", "v")
         )
         for c in simple:
-            if c.startswith("append_silence_"):
-                extra = int(number_in(c, "append_silence_") * rate)
+            if parsed(c)[0] == "append_silence_":
+                extra = int(parsed(c)[1] * rate)
                 if extra:
                     more = F.sequence(F.col("n"), F.col("n") + (extra - 1))
                     parts.append(
                         stats.select("rec", F.lit(c).alias("condition"), F.explode(more).alias("i"), F.lit(0.0).alias("v"))
                     )
     for c in conditions:
-        if c.startswith("speed_"):
-            parts.append(change_speed(sig, number_in(c, "speed_")).select("rec", F.lit(c).alias("condition"), "i", "v"))
-        elif c.startswith("reverb_rt"):
-            y = reverberate(sig, number_in(c, "reverb_rt"), rate, seed)
+        kind, number = parsed(c)
+        if kind == "speed_":
+            parts.append(change_speed(sig, number).select("rec", F.lit(c).alias("condition"), "i", "v"))
+        elif kind == "reverb_rt":
+            y = reverberate(sig, number, rate, seed)
             parts.append(y.select("rec", F.lit(c).alias("condition"), "i", "v"))
     out = parts[0]
     for p in parts[1:]:
@@ -110,28 +110,33 @@ def change_speed(sig: DataFrame, factor: float) -> DataFrame:
     return out.groupBy("rec", F.col("j").alias("i")).agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
 
 
-def _impulse(rt60: float, rate: int, seed: int) -> np.ndarray:
-    """Decaying noise, 60 dB down after rt60 seconds, unit energy, direct path first."""
-    n = max(int(rt60 * rate), 1)
-    h = np.random.default_rng(seed).standard_normal(n) * np.exp(-6.9078 * np.arange(n) / rate / rt60)
-    h[0] = 1.0
-    return h / math.sqrt(float(h @ h))
+def room_response(rt60: float, rate: int, seed: int, rec: str = "rec") -> Column:
+    """Response of a room of its own for each recording: the direct sound, then noise whose level falls by 60 dB in
+    `rt60` seconds; all of it scaled to unit energy. The noise is a stable hash of recording and tap."""
+    taps = max(int(rt60 * rate), 1)
+    late = F.array().cast("array<double>")
+    if taps > 1:
+        noise = lambda k: hash_normal(F.lit(str(seed)), rec, F.lit(f"reverb_rt{rt60:g}"), k)
+        late = F.transform(F.sequence(F.lit(1), F.lit(taps - 1)), lambda k: noise(k) * F.pow(F.lit(amplitude(-60.0 / taps)), k))
+    # the energy is summed once, so it is a column of its own
+    return F.transform(
+        F.array(F.concat(F.array(F.lit(1.0)), late)),
+        lambda h: F.struct(h.alias("h"), F.sqrt(F.aggregate(h, F.lit(0.0), lambda s, x: s + x * x)).alias("norm")),
+    )[0]
 
 
 def reverberate(sig: DataFrame, rt60: float, rate: int = 16000, seed: int = 0, block: int = 16384) -> DataFrame:
-    """Convolve with a decaying-noise room response and restore the peak.
+    """Convolve every recording with its room response; the peak stays that of the dry recording.
 
     Overlap-add: fixed-size blocks of a signal are convolved independently and their outputs summed.
     """
-    response = _impulse(rt60, rate, seed)
 
     def convolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ys = []
-            for x in pdf["x"]:
-                x = np.asarray(x, dtype=float)
-                n = 1 << (len(x) + len(response) - 2).bit_length()
-                ys.append(np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(response, n), n)[: len(x) + len(response) - 1])
+            for x, h in zip(pdf["x"], pdf["h"], strict=True):
+                n = 1 << (len(x) + len(h) - 2).bit_length()
+                ys.append(np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(h, n), n)[: len(x) + len(h) - 1])
             yield pd.DataFrame({"rec": pdf["rec"], "first": pdf["first"], "y": ys})
 
     rec_type = dict(sig.dtypes)["rec"]
@@ -140,21 +145,25 @@ def reverberate(sig: DataFrame, rt60: float, rate: int = 16000, seed: int = 0, b
         .agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_s"))
         .select("rec", (F.col("_b") * block).cast("long").alias("first"), F.transform("_s", lambda s: s.v).alias("x"))
     )
-    wet = blocks.mapInPandas(convolve, f"rec {rec_type}, first long, y array<double>")
+    room = sig.select("rec").distinct().withColumn("room", room_response(rt60, rate, seed))
+    room = room.select("rec", F.transform("room.h", lambda x: x / F.col("room.norm")).alias("h"))
+    wet = blocks.join(room, "rec").mapInPandas(convolve, f"rec {rec_type}, first long, y array<double>")
     cells = wet.select("rec", "first", F.posexplode("y").alias("k", "y"))
     y = cells.groupBy("rec", (F.col("first") + F.col("k")).alias("i")).agg(F.sum("y").alias("y"))
     stats = signal_stats(sig).select("rec", "n", "peak")
     kept = y.join(stats, "rec").where(F.col("i") < F.col("n"))
     top = kept.groupBy("rec").agg(F.max(F.abs("y")).alias("_top"))
-    return kept.join(top, "rec").select("rec", "i", (F.col("y") / (F.col("_top") + 1e-9) * F.col("peak")).alias("v"))
+    level = F.when(F.col("_top") > 0, F.col("peak") / F.col("_top")).otherwise(0.0)
+    return kept.join(top, "rec").select("rec", "i", (F.col("y") * level).alias("v"))
 
 
 def clipped_flag(condition: Column, peak: Column, conditions: Sequence[str]) -> Column:
     """Whether a recording's peak exceeds the level of its clip condition; false for other conditions."""
     out = F.lit(False)
     for c in conditions:
-        if c.startswith("clip_"):
-            out = F.when(condition == c, peak > clip_level(c)).otherwise(out)
+        kind, number = parsed(c)
+        if kind == "clip_":
+            out = F.when(condition == c, peak > amplitude(-number)).otherwise(out)
     return out
 
 

@@ -25,7 +25,7 @@ def condition_scores(
     `clean`; the windows of every other condition are compared with the clean ones.
     """
     if not conditions or conditions[0] != "clean":
-        raise ValueError("the first condition must be 'clean'")
+        raise ValueError("conditions are compared with 'clean', which comes first")
     peaks = G.signal_stats(sig).select("rec", "peak")
     y = W.perturb(sig, conditions, rate, frame, frame_hop, top_db, seed)
     keyed = stage(y.select(F.struct("rec", "condition").alias("rec"), "i", "v"))
