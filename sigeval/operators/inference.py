@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigeval.functions.columns import as_col, ratio, stable_seed
 from sigeval.functions.pvalues import mcnemar_exact, normal_two_sided
-from sigeval.operators.metrics import auc_aggregate, auc_eer, rate_columns, score_points
+from sigeval.operators.metrics import auc_aggregate, rate_columns, score_points
 from sigeval.operators.ordering import EVERY, cut_points, ordered_totals, row_index, with_range
 from sigeval.session import stage
 
@@ -92,23 +94,128 @@ def bootstrap_ranking(
 ) -> DataFrame:
     """AUC and EER of every draw: one row per (keys, series, b).
 
-    Rows are first collapsed to (cluster, score) counts; multiplicities become weights, never copies.
-    Columns in `series` (for example the run) share the draws of their key.
+    Rows are first collapsed to (cluster, score) counts, and each is joined once per CHUNK of draws to an array of its
+    cluster's multiplicities. Inside a range of scores the draws of a chunk are the columns of a matrix: running sums
+    over the scores, plus those of the ranges before, give every draw's curve. Columns in `series` (for example the
+    run) share the draws of their key.
     """
     keys, series = list(keys), list(series)
-    y = as_col(label)
-    counts = df.groupBy(*keys, *series, cluster, score).agg(
+    by, y = [*keys, *series], as_col(label)
+    counts = df.groupBy(*by, cluster, score).agg(
         F.sum(F.when(y == 1, 1).otherwise(0)).alias("_p"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("_n")
     )
-    # ranges are found once per observed score, not once per draw
-    by = [*keys, *series]
-    counts = stage(with_range(counts, by, score, cut_points(df, by, score, every)))
-    draws = cluster_draws(df, keys, cluster, n_boot, seed, every)
-    rows = resample(counts, keys, cluster, F.col(score), draws, n_boot)
-    points = ordered_totals(
-        rows, [*by, "b"], score, {"pos": F.col("_p") * F.col("m"), "neg": F.col("_n") * F.col("m")}
+    counts = stage(with_range(counts, by, score, cut_points(df, by, score, every)).withColumnRenamed(score, "_s"))
+    # a score that many clusters share makes a large range; its parts are summed first. One row per range: at most MAX_CUTS + keys
+    sizes = counts.groupBy(*by, "_range").agg((F.floor(F.count(F.lit(1)) / ROWS_PER_SALT) + 1).alias("_parts"))
+    part = F.pmod(F.xxhash64(cluster), F.col("_parts"))
+    rows = counts.join(F.broadcast(sizes), [*by, "_range"]).withColumn("_part", part).withColumn("chunk", _chunks(n_boot))
+    rows = rows.join(_multiplicities(cluster_draws(df, keys, cluster, n_boot, seed, every), keys, cluster), [*keys, cluster, "chunk"])
+    types = dict(df.dtypes)
+    head = "".join(f"`{k}` {types[k]}, " for k in by)
+
+    place = [*by, "chunk", "_range"]
+    blocks = rows.select(*place, "_part", "_s", "_p", "_n", "m").groupBy(*place, "_part").applyInPandas(
+        _score_block(place), f"{head}chunk int, _range int, s array<double>, p binary, n binary, tp binary, tn binary"
+    )
+    blocks = stage(blocks)
+    before = blocks.select(*place, "tp", "tn").groupBy(*by, "chunk").applyInPandas(
+        _sums_before(place), f"{head}chunk int, _range int, bp binary, bn binary, ap binary, an binary"
+    )
+    found = (
+        blocks.groupBy(*place)
+        .cogroup(before.groupBy(*place))
+        .applyInPandas(_curve_part(place), f"{head}chunk int, auc array<double>, eer array<double>")
+    )
+    each = found.select(*by, "chunk", F.posexplode(F.arrays_zip("auc", "eer")).alias("at", "x"))
+    draws = each.groupBy(*by, (F.col("chunk") * CHUNK + F.col("at")).alias("b")).agg(F.sum("x.auc").alias("auc"), F.max("x.eer").alias("eer"))
+    return draws.where(F.col("b") < n_boot)
+
+
+def _multiplicities(draws: DataFrame, keys: Sequence[str], cluster: str) -> DataFrame:
+    """(keys, cluster, chunk, m): array of how often each of the chunk's draws picked the cluster."""
+    picked = draws.groupBy(*keys, cluster, "chunk").agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("b") % CHUNK).cast("int").alias("at"), F.col("m").cast("int").alias("m")))).alias("_m")
     )
-    return auc_eer(points, [*keys, *series, "b"], score).drop("eer_threshold")
+    each = F.transform(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda at: F.coalesce(F.col("_m")[at], F.lit(0)))
+    return picked.select(*keys, cluster, "chunk", each.alias("m"))
+
+
+def _head(pdf: pd.DataFrame, names: Sequence[str]) -> dict:
+    return {c: [pdf[c].iloc[0]] for c in names}
+
+
+def _matrix(values) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=np.int64).reshape(-1, CHUNK)
+
+
+def _score_block(place: Sequence[str]):
+    """Rows of one range (or a part of it) to its distinct scores with weighted counts per draw, and their totals."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        score, own = np.unique(pdf["_s"].to_numpy(), return_inverse=True)
+        m, out = np.stack(pdf["m"].to_numpy()).astype(np.int64), []
+        order = np.argsort(own, kind="stable")
+        first = np.searchsorted(own[order], np.arange(len(score)))
+        for c in ("_p", "_n"):
+            out.append(np.add.reduceat((m * pdf[c].to_numpy()[:, None])[order], first, axis=0))
+        sums = [x.sum(axis=0).tobytes() for x in out]
+        return pd.DataFrame({**_head(pdf, place), "s": [score], "p": [out[0].tobytes()], "n": [out[1].tobytes()], "tp": sums[:1], "tn": sums[1:]})
+
+    return run
+
+
+def _sums_before(place: Sequence[str]):
+    """Totals of the ranges of one chunk to the sums of earlier ranges and of all; at most MAX_CUTS ranges."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_range", kind="stable", ignore_index=True)
+        first = np.flatnonzero(~pdf["_range"].duplicated())
+        out = pdf.loc[first, list(place)].reset_index(drop=True)
+        for c in "pn":
+            total = np.add.reduceat(_matrix(pdf[f"t{c}"]), first, axis=0)
+            before = np.cumsum(total, axis=0) - total
+            out[f"b{c}"], out[f"a{c}"] = [x.tobytes() for x in before], total.sum(axis=0).tobytes()
+        return out
+
+    return run
+
+
+def _curve_part(place: Sequence[str]):
+    """A range's part of every draw's area, and its equal error rate where the curve crosses inside the range.
+
+    At a score the false positives are the negatives from it upwards, the misses the positives below it; at the next
+    higher score both exclude its own counts. The rate is interpolated between these two points.
+    """
+
+    def run(blocks: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        names = [c for c in place if c != "_range"]
+        scores = np.concatenate(blocks["s"].to_numpy())
+        score, own = np.unique(scores, return_inverse=True)
+        (pos, pos_before, pos_all), (neg, neg_before, neg_all) = (
+            (x, np.cumsum(x, axis=0) - x + _matrix(before[f"b{c}"]), _matrix(before[f"a{c}"])[0])
+            for c in "pn"
+            for x in [_summed(_matrix(blocks[c]), own, len(score))]
+        )
+        both = (pos_all > 0) & (neg_all > 0)
+        some_p, some_n = np.maximum(pos_all, 1), np.maximum(neg_all, 1)
+        area = (pos * (neg_before + neg / 2.0)).sum(axis=0) / (some_p * some_n.astype(float))
+        fpr, fnr = (neg_all - neg_before) / some_n, pos_before / some_p
+        p_fpr, p_fnr = (neg_all - neg_before - neg) / some_n, (pos_before + pos) / some_p
+        here, above = fnr - fpr, p_fnr - p_fpr
+        cross = (here <= 0) & (above > 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rate = np.where(cross, p_fpr + above / (above - here) * (fpr - p_fpr), np.nan)
+        hit = cross.any(axis=0) & both
+        eer = [float(rate[cross[:, k], k][0]) if hit[k] else None for k in range(CHUNK)]
+        auc = [float(a) if ok else None for a, ok in zip(area, both, strict=True)]
+        return pd.DataFrame({**_head(blocks, names), "auc": [auc], "eer": [eer]})
+
+    return run
+
+
+def _summed(values: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    order = np.argsort(own, kind="stable")
+    return np.add.reduceat(values[order], np.searchsorted(own[order], np.arange(n)), axis=0)
 
 
 def bootstrap_counts(
