@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigeval.catalog import fixtures as fx
+from sigeval.catalog.inference import draws_sql
 from sigeval.catalog.registry import AUC, double, eer_ctes, query, score_points, seed32
 from sigeval.functions.columns import (
     auc_verdict,
@@ -325,21 +326,49 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- reports
+DRAWS = 12
+REPORT_DRAWS = score_points(
+    "bp", "(SELECT s.split, d.b, s.score, s.label, d.m FROM sr s JOIN drawn d ON s.split = d.split AND s.cluster = d.cluster)",
+    "split, b", "score", "sum(label * m)", "sum((1 - label) * m)",
+)
+
+
+def _ci(stat: str, source: str, only: str) -> str:
+    ends = (("lo", 0.025), ("hi", 0.975))
+    return ", ".join(f"round((SELECT quantile_cont({stat}, {q}) FROM {source} q WHERE q.split = c.split AND {only}), 6) AS {stat}_ci95_{e}" for e, q in ends)
+
+
+_TWO, _ONE = "tp+fn>0 AND tn+fp>0", "NOT (tp+fn>0 AND tn+fp>0)"
+
+
 @query(
     "split_report",
-    f"""WITH c AS (SELECT split, {COUNTS_SQL.format(p='score >= thr')}, max(thr) AS thr FROM fx_scores, thr GROUP BY split),
-      a AS (SELECT split, {AUC} AS auc FROM pts GROUP BY split),
+    f"""WITH sr AS (SELECT * FROM fx_scores WHERE split <> 'external_B' OR label = 1),
+      {score_points('sp', 'sr', 'split', 'score')}, {eer_ctes('se', 'sp', 'split')},
+      c AS (SELECT split, {COUNTS_SQL.format(p='score >= thr')}, max(thr) AS thr FROM sr, thr GROUP BY split),
+      a AS (SELECT split, {AUC} AS auc FROM sp GROUP BY split),
       p AS (SELECT split, {BIN_SQL} AS bin, count(*) AS n, avg(p) AS mp, avg(label) AS fs, sum(pow(p - label, 2)) AS sq
-            FROM (SELECT split, label, 1.0::DOUBLE/(1.0::DOUBLE+exp(-score)) AS p FROM fx_scores) GROUP BY 1, 2),
+            FROM (SELECT split, label, 1.0::DOUBLE/(1.0::DOUBLE+exp(-score)) AS p FROM sr) GROUP BY 1, 2),
       k AS (SELECT split, sum(sq) / sum(n) AS brier, sum(n * abs(fs - mp)) / sum(n) AS ece FROM p GROUP BY split),
-      g AS (SELECT split, count(DISTINCT cluster) AS n_clusters FROM fx_scores GROUP BY split)
+      g AS (SELECT split, count(DISTINCT cluster) AS n_clusters FROM sr GROUP BY split),
+      {draws_sql(source='sr', b=DRAWS)}, {REPORT_DRAWS}, ba AS (SELECT split, b, {AUC} AS auc FROM bp GROUP BY split, b),
+      {eer_ctes('be', 'bp', 'split, b')},
+      x AS (SELECT s.split, d.b, s.label, d.m, CASE WHEN s.score >= thr THEN 1 ELSE 0 END AS p FROM sr s JOIN drawn d ON s.split = d.split AND s.cluster = d.cluster, thr),
+      bc AS (SELECT split, b, sum(m * label * p)::DOUBLE AS tp, sum(m * (1 - label) * (1 - p))::DOUBLE AS tn,
+          sum(m * (1 - label) * p)::DOUBLE AS fp, sum(m * label * (1 - p))::DOUBLE AS fn FROM x GROUP BY split, b),
+      br AS (SELECT split, (tp + tn) / (tp + tn + fp + fn) AS accuracy, (tp + fp) / (tp + tn + fp + fn) AS frac_pred_spoof,
+          (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) * 0.5::DOUBLE AS f1_macro FROM bc)
       SELECT split, {RATES_SQL}, round(thr, 6) AS threshold, round(auc, 6) AS auc, round(eer, 6) AS eer,
-        round(brier, 6) AS brier, round(ece, 6) AS ece, n_clusters
-      FROM c JOIN a USING (split) LEFT JOIN eers USING (split) JOIN k USING (split) JOIN g USING (split)""",
-    ("thr", "pts"),
+        round(CASE WHEN {_TWO} THEN brier END, 6) AS brier, round(CASE WHEN {_TWO} THEN ece END, 6) AS ece, n_clusters,
+        round(CASE WHEN {_ONE} THEN (tp + fp)::DOUBLE / (tp + tn + fp + fn) END, 6) AS frac_pred_spoof,
+        {_ci('auc', 'ba', _TWO)}, {_ci('eer', 'be', _TWO)}, {_ci('accuracy', 'br', _TWO)}, {_ci('f1_macro', 'br', _TWO)}, {_ci('frac_pred_spoof', 'br', _ONE)}
+      FROM c JOIN a USING (split) LEFT JOIN se USING (split) JOIN k USING (split) JOIN g USING (split)""",
+    ("thr",),
 )
 def split_report(spark, d):
-    return E.rounded(E.split_report(fx.scores(spark, d)))
+    """With intervals; one split is reduced to one class."""
+    s = fx.scores(spark, d).where("split <> 'external_B' OR label = 1")
+    return E.rounded(E.split_report(s, n_boot=DRAWS))
 
 
 TIERS = {"validation": "Tier 0: validation", "internal_test": "Tier 1: internal", "external_A": "Tier 2: independent", "external_B": "Tier 3: external"}

@@ -38,8 +38,11 @@ def split_report(
     scores: DataFrame, keys: Sequence[str] = (), validation: str = "validation", n_boot: int = 0, seed: int = 0,
     rule: str = "eer",
 ) -> DataFrame:
-    """Full report per (run keys, split): rates at the validation threshold, AUC, EER, Brier, ECE,
-    number of resampling clusters and, with n_boot > 0, cluster-bootstrap intervals.
+    """Full report per (run keys, split): rates at the validation threshold, number of resampling clusters and, with
+    n_boot > 0, cluster-bootstrap intervals.
+
+    A split with both classes has AUC, EER, Brier, ECE and intervals of AUC, EER, accuracy and macro F1. A split with one
+    class has the share of positive decisions, `frac_pred_spoof`, and its interval instead; the others are NULL.
 
     `scores` has label, score, split and cluster columns and is staged once, because the threshold,
     the ranking metrics and the resampling all read it.
@@ -62,6 +65,9 @@ def split_report(
     ranking = M.auc_eer(M.score_points(base, by, "label", "score"), by, "score").drop("eer_threshold")
     clusters = base.groupBy(*by, "cluster").agg(F.lit(1).alias("_c")).groupBy(*by).agg(F.count(F.lit(1)).alias("n_clusters"))
     out = M.with_rates(counts).join(ranking, by).join(M.calibration(base, by, "label", "score"), by).join(clusters, by)
+    two = (F.col("n_spoof") > 0) & (F.col("n_bonafide") > 0)
+    positive = ratio(F.col("tp") + F.col("fp"), F.col("n"))
+    out = out.withColumns({c: F.when(two, F.col(c)) for c in ("brier", "ece")}).withColumn("frac_pred_spoof", F.when(~two, positive))
     if n_boot:
         ranks = I.bootstrap_ranking(base, by, "cluster", "label", "score", n_boot, seed)
         rates = I.bootstrap_counts(t, by, "cluster", "label", F.col("score") >= F.col("threshold"), n_boot, seed)
@@ -70,12 +76,16 @@ def split_report(
                 *by, *[F.col(f"{s}_{e}").alias(f"{s}_ci95_{e}") for s in stats for e in ("lo", "hi")]
             )
             out = out.join(ci, by, "left")
+        own = {f"{s}_ci95_{e}": ~two if s == "frac_pred_spoof" else two for s in INTERVALS for e in ("lo", "hi")}
+        out = out.withColumns({c: F.when(defined, F.col(c)) for c, defined in own.items()})
     return out
 
 
+INTERVALS = ("auc", "eer", "accuracy", "f1_macro", "frac_pred_spoof")
 REPORT_DOUBLES = (
     "accuracy", "balanced_accuracy", "precision_spoof", "recall_spoof_sensitivity", "specificity_bonafide_recall",
-    "f1_spoof", "f1_macro", "fpr", "fnr", "threshold", "auc", "eer", "brier", "ece",
+    "f1_spoof", "f1_macro", "fpr", "fnr", "threshold", "auc", "eer", "brier", "ece", "frac_pred_spoof",
+    *(f"{s}_ci95_{e}" for s in INTERVALS for e in ("lo", "hi")),
 )
 
 
