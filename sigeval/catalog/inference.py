@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from sigeval.catalog import fixtures as fx
 from sigeval.catalog.registry import AUC, eer_ctes, query, score_points, seed32
-from sigeval.functions.columns import p_verdict
+from sigeval.functions.columns import p_verdict, run_name
 from sigeval.functions.pvalues import normal_two_sided
 from sigeval.operators import inference as I
 from sigeval.operators import metrics as M
 from sigeval.plans import evaluation as E
+from sigeval.plans import runs as R
 from sigeval.session import stage
 
 B = 12
@@ -258,16 +259,70 @@ def _(spark, d):
     )
 
 
-@query("paired_table")
+def _p_normal(z: str) -> str:
+    """Two-sided p of the normal law in SQL, by the series of the error function with positive terms."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    terms = f"list_transform(range(120), lambda k: exp(2 * k * ln(2.0::DOUBLE) + lgamma(k + 1.0::DOUBLE) - lgamma(2.0::DOUBLE * k + 2) + (2 * k + 1) * ln({x})))"
+    return f"CASE WHEN {z} = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum({terms}) END"
+
+
+_P_MCNEMAR = """CASE WHEN ab IS NULL THEN NULL WHEN 2 * least(ab, ba) = ab + ba THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(least(ab, ba) + 1),
+  lambda i: exp(lgamma(ab + ba + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(ab + ba - i + 1.0::DOUBLE) - (ab + ba) * ln(2.0::DOUBLE))))) END"""
+PAIRED_DOUBLES = (
+    "auc_a", "auc_b", "delong_z", "delong_p", "delta_auc", "mcnemar_p", "acc_a", "acc_b", "eer_a", "eer_b", "delta_auc_lo", "delta_auc_hi",
+    "delta_eer_lo", "delta_eer_hi", "delong_p_holm",
+)
+_KEY = "concat_ws('|', protocol, split, run_a, run_b)"
+PAIRED_SQL = f"""WITH ms AS (SELECT unnest(['base', 'other', 'blend']) AS model), pt AS (SELECT unnest(['P1', 'P2']) AS protocol),
+  rs AS (SELECT concat(model, '__', protocol, '__seed42') AS run, model, protocol, split, item, cluster, label,
+      CASE model WHEN 'base' THEN score WHEN 'other' THEN score_b ELSE score + score_b END AS score
+    FROM fx_scores, ms, pt WHERE split = 'validation' OR (protocol = 'P1' AND (split = 'internal_test' OR (split = 'external_A' AND label = 1)))
+      OR (protocol = 'P2' AND split = 'external_B')),
+  rv AS (SELECT * FROM rs WHERE split = 'validation'), {score_points('rp', 'rv', 'run', 'score')}, {eer_ctes('re', 'rp', 'run')},
+  cm AS (SELECT protocol, concat(a, '__', protocol, '__seed42') AS run_a, concat(b, '__', protocol, '__seed42') AS run_b
+    FROM (VALUES ('base', 'other'), ('base', 'blend'), ('other', 'blend')) t(a, b), pt),
+  pl AS (SELECT * FROM cm JOIN (SELECT DISTINCT protocol, split FROM rs WHERE split <> 'validation') USING (protocol)),
+  px AS (SELECT {_KEY} AS split, a.item, a.cluster, a.label, a.score, b.score AS score_b, ta.threshold AS thr_a, tb.threshold AS thr_b
+    FROM pl JOIN rs a USING (protocol, split) JOIN rs b USING (protocol, split, item) JOIN re ta ON ta.run = run_a JOIN re tb ON tb.run = run_b
+    WHERE a.run = run_a AND b.run = run_b),
+  pz AS (SELECT * FROM px WHERE split IN (SELECT split FROM px GROUP BY split HAVING count(DISTINCT label) = 2)),
+  {DELONG.replace('fx_scores', 'pz')}, {LONG.replace('fx_scores', 'pz')}, {draws_sql(source='pz', b=6)}, {PAIR_POINTS},
+  da AS (SELECT split, series, b, {AUC} AS auc FROM pp GROUP BY ALL), {eer_ctes('de', 'pp', 'split, series, b')},
+  ta AS (SELECT split, b, max(auc) FILTER (WHERE series = 'a') - max(auc) FILTER (WHERE series = 'b') AS d FROM da GROUP BY 1, 2),
+  te AS (SELECT split, b, max(eer) FILTER (WHERE series = 'a') - max(eer) FILTER (WHERE series = 'b') AS d FROM de GROUP BY 1, 2),
+  ci AS (SELECT split, quantile_cont(ta.d, 0.025) AS delta_auc_lo, quantile_cont(ta.d, 0.975) AS delta_auc_hi,
+      quantile_cont(te.d, 0.025) AS delta_eer_lo, quantile_cont(te.d, 0.975) AS delta_eer_hi FROM ta JOIN te USING (split, b) GROUP BY split),
+  {score_points('sp', 'lg', 'split, series', 'score')}, {eer_ctes('se', 'sp', 'split, series')},
+  ee AS (SELECT split, max(eer) FILTER (WHERE series = 'a') AS eer_a, max(eer) FILTER (WHERE series = 'b') AS eer_b FROM se GROUP BY split),
+  ac AS (SELECT split, count(*) AS n, avg(ra::INT) AS acc_a, avg(rb::INT) AS acc_b, count(*) FILTER (WHERE ra AND NOT rb) AS ab, count(*) FILTER (WHERE NOT ra AND rb) AS ba
+    FROM (SELECT split, ((score >= thr_a)::INT = label) AS ra, ((score_b >= thr_b)::INT = label) AS rb FROM pz) GROUP BY split),
+  al AS (SELECT pl.*, CASE WHEN run_b LIKE 'blend%' THEN 'placeholder' ELSE 'real' END AS status, n, auc_a, auc_b, z AS delong_z, {_p_normal('z')} AS delong_p,
+      auc_a - auc_b AS delta_auc, ab AS a_right_b_wrong, ba AS a_wrong_b_right, {_P_MCNEMAR} AS mcnemar_p, acc_a, acc_b, eer_a, eer_b,
+      delta_auc_lo, delta_auc_hi, delta_eer_lo, delta_eer_hi
+    FROM pl LEFT JOIN dl ON dl.split = {_KEY.replace('split,', 'pl.split,')} LEFT JOIN ac ON ac.split = dl.split LEFT JOIN ee ON ee.split = dl.split LEFT JOIN ci ON ci.split = dl.split),
+  hm AS (SELECT protocol, split, run_a, run_b, max(least(1.0::DOUBLE, (m - rn + 1) * delong_p)) OVER (PARTITION BY protocol, split ORDER BY rn) AS delong_p_holm
+    FROM (SELECT *, row_number() OVER (PARTITION BY protocol, split ORDER BY delong_p) AS rn, count(*) OVER (PARTITION BY protocol, split) AS m
+      FROM al WHERE delong_p IS NOT NULL))
+  SELECT protocol, split, run_a, run_b, status, n, a_right_b_wrong, a_wrong_b_right, {', '.join(f'round({c}, 6) AS {c}' for c in PAIRED_DOUBLES)}
+  FROM al LEFT JOIN hm USING (protocol, split, run_a, run_b)"""
+
+
+@query("paired_table", PAIRED_SQL, ("fx_scores",))
 def _(spark, d):
-    """Both detectors compared on every split in one job, Holm-adjusted over the splits."""
-    s = stage(fx.scores(spark, d).select("item", "split", "cluster", "label", "score", "score_b"))
-    val = s.where("split = 'validation'")
-    a = E.with_threshold(s, val).withColumnsRenamed({"score": "score_a", "threshold": "threshold_a"})
-    b_thr = M.select_threshold(val.withColumn("_run", F.lit(1)), ["_run"], "label", "score_b").select("threshold").scalar()
-    pairs = a.withColumn("threshold_b", b_thr).where("split <> 'train'")
-    t = stage(E.paired_tests(pairs, ["split"], "cluster", "threshold_a", "threshold_b", n_boot=B))
-    return I.holm(t.withColumn("family", F.lit("all")), ["family"], "delong_p", "delong_p_holm")
+    """Three detectors compared in pairs under two protocols; one split has one class, one detector is a placeholder."""
+    s = fx.scores(spark, d).select("item", "split", "cluster", "label", "score", "score_b")
+    models = {"base": F.col("score"), "other": F.col("score_b"), "blend": F.col("score") + F.col("score_b")}
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("model"), v.alias("score")) for m, v in models.items()]))
+    long = s.select("item", "split", "cluster", "label", each).withColumn("protocol", F.explode(F.array(F.lit("P1"), F.lit("P2"))))
+    first = F.col("split").isin("internal_test") | ((F.col("split") == "external_A") & (F.col("label") == 1))
+    own = F.when(F.col("protocol") == "P1", first).otherwise(F.col("split") == "external_B")
+    runs = stage(long.where((F.col("split") == "validation") | own).withColumn("run", run_name("model", "protocol", F.lit(42))).drop("model"))
+    pairs = spark.createDataFrame([("base", "other"), ("base", "blend"), ("other", "blend")], "a string, b string")
+    names = runs.select("run").distinct()
+    status = names.withColumn("status", F.when(F.col("run").startswith("blend"), "placeholder").otherwise("real"))
+    t = E.paired_table(R.comparison_plan(pairs, names, ["P1", "P2"]), runs, status, n_boot=6)
+    t = t.withColumns({c: F.round(c, 6) for c in PAIRED_DOUBLES})
+    return t.select("protocol", "split", "run_a", "run_b", "status", "n", "a_right_b_wrong", "a_wrong_b_right", *PAIRED_DOUBLES)
 
 
 def _compact_sql():

@@ -42,11 +42,6 @@ def cache_key(settings: dict, files: Column) -> Column:
 
 
 # ---------------------------------------------------------------- scores and decisions
-def nan_to_null(x) -> Column:
-    x = as_col(x)
-    return F.when(~F.isnan(x), x)
-
-
 def unknown_to_null(x) -> Column:
     return F.nullif(as_col(x), F.lit("unknown"))
 
@@ -214,9 +209,3 @@ def pad_or_crop(a, length: int) -> Column:
 
 def append_zeros(a, count: int) -> Column:
     return F.concat(as_col(a), F.array_repeat(F.lit(0.0), count))
-
-
-def zscore(a, mean, sd) -> Column:
-    """(x - mean) / (sd + 1e-8) for every element."""
-    mean, sd = as_col(mean), as_col(sd)
-    return F.transform(as_col(a), lambda v: (v - mean) / (sd + F.lit(1e-8)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sigeval.functions.columns import as_col, ratio
 from sigeval.operators import inference as I
 from sigeval.operators import metrics as M
+from sigeval.plans.runs import status_rollup
 from sigeval.session import stage
 
 
@@ -203,3 +204,29 @@ def paired_tests(
         .join(eers, keys)
         .join(ci, keys, "left")
     )
+
+
+def paired_table(
+    comparisons: DataFrame, scores: DataFrame, status: DataFrame, validation: str = "validation", n_boot: int = 2000, seed: int = 0
+) -> DataFrame:
+    """One row per (protocol, split, run_a, run_b): both runs' status and, on their common items, the paired tests.
+
+    `comparisons` has protocol, run_a, run_b; `scores` has run, protocol, split, item, cluster, label, score; `status` has run
+    and status. Decisions use each run's own validation threshold. Where the runs have no common item or the items
+    have one class, only the names and the status are filled. DeLong p-values are adjusted by Holm among the
+    comparisons of the same protocol and split.
+    """
+    keys = ["protocol", "split", "run_a", "run_b"]
+    cut = M.select_threshold(scores.where(F.col("split") == validation), ["run"], "label", "score").select("run", "threshold")
+    own = scores.where(F.col("split") != validation).join(cut, "run")
+    a = own.withColumnsRenamed({"run": "run_a", "score": "score_a", "threshold": "threshold_a"})
+    b = own.select("protocol", "split", "item", *[F.col(c).alias(f"{c}_b") for c in ("run", "score", "threshold")])
+    pairs = stage(comparisons.join(a, ["protocol", "run_a"]).join(b, ["protocol", "split", "item", "run_b"]))
+    mixed = pairs.groupBy(*keys).agg(F.countDistinct("label").alias("_classes")).where("_classes = 2").select(*keys)
+    tests = paired_tests(pairs.join(mixed, keys, "left_semi"), keys, "cluster", "threshold_a", "threshold_b", n_boot, seed)
+
+    plan = comparisons.join(scores.where(F.col("split") != validation).select("protocol", "split").distinct(), "protocol").select(*keys)
+    runs = plan.select(*keys, F.explode(F.array("run_a", "run_b")).alias("run")).join(status, "run", "left")
+    worst = status_rollup(runs.na.fill("missing", ["status"]), keys).drop("n_runs")
+    table = worst.join(tests, keys, "left")
+    return I.holm(table, ["protocol", "split"], "delong_p", "delong_p_holm")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigeval.functions.columns import run_name
 
 METRICS = ("auc", "eer", "accuracy", "f1_macro", "recall_spoof_sensitivity", "specificity_bonafide_recall", "ece", "brier")
-STATUS_RANK = {"real": 0, "placeholder": 1, "missing": 2}
+STATUS = ("real", "placeholder", "missing")  # from best to worst
 
 
 def expected_runs(registry: DataFrame) -> DataFrame:
@@ -39,10 +39,9 @@ def run_status(expected: DataFrame, real: DataFrame, placeholder: DataFrame) ->
 
 def status_rollup(df: DataFrame, keys: Sequence[str], status: str = "status") -> DataFrame:
     """Worst status per key: any missing, else any placeholder, else real."""
-    rank = F.when(F.col(status) == "missing", 2).when(F.col(status) == "placeholder", 1).otherwise(0)
-    worst = df.groupBy(*keys).agg(F.max(rank).alias("_w"), F.count(F.lit(1)).alias("n_runs"))
-    name = F.when(F.col("_w") == 2, "missing").when(F.col("_w") == 1, "placeholder").otherwise("real")
-    return worst.select(*keys, "n_runs", name.alias("status"))
+    order = F.array(*[F.lit(s) for s in STATUS])
+    worst = df.groupBy(*keys).agg(F.max(F.array_position(order, F.col(status))).alias("_w"), F.count(F.lit(1)).alias("n_runs"))
+    return worst.select(*keys, "n_runs", F.element_at(order, F.col("_w").cast("int")).alias("status"))
 
 
 def pending_runs(expected: DataFrame, done: DataFrame) -> DataFrame:
