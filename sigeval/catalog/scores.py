@@ -16,6 +16,7 @@ from sigeval.functions.columns import (
     recode,
     sigmoid,
     stable_seed,
+    unknown_to_null,
 )
 from sigeval.operators import metrics as M
 from sigeval.operators import ordering as O
@@ -408,18 +409,33 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- error groups
+def recordings(spark, d):
+    """Descriptors and demographics kept apart from the scores; some recordings have none."""
+    year = F.year("o_orderdate")
+    return fx.table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(
+        F.col("o_orderkey").alias("item"),
+        F.col("o_totalprice").alias("snr_proxy_db"),
+        F.when(F.col("o_orderstatus") == "F", "f").when(F.col("o_orderstatus") == "P", "m").otherwise("unknown").alias("gender"),
+        F.when(year != 1995, F.concat(F.lit("set"), year)).otherwise("unknown").alias("set_id"),
+    )
+
+
 @query(
     "error_groups",
-    """WITH x AS (SELECT fx_scores.*, thr, abs(score - thr) AS confidence FROM fx_scores, thr WHERE split = 'internal_test'),
+    """WITH ds AS (SELECT o_orderkey AS item, o_totalprice AS snr, CASE o_orderstatus WHEN 'F' THEN 'f' WHEN 'P' THEN 'm' END AS gender,
+        CASE WHEN year(o_orderdate) <> 1995 THEN concat('set', year(o_orderdate)) END AS set_id FROM orders WHERE o_orderkey % 7 <> 0),
+      x AS (SELECT fx_scores.*, thr, abs(score - thr) AS confidence, snr, gender, set_id FROM fx_scores LEFT JOIN ds ON ds.item = fx_scores.item, thr WHERE split = 'internal_test'),
       q AS (SELECT quantile_cont(n_windows::DOUBLE, 1/3::DOUBLE) AS d1, quantile_cont(n_windows::DOUBLE, 2/3::DOUBLE) AS d2,
-        quantile_cont(score_b, 1/3::DOUBLE) AS s1, quantile_cont(score_b, 2/3::DOUBLE) AS s2,
+        quantile_cont(snr, 1/3::DOUBLE) AS s1, quantile_cont(snr, 2/3::DOUBLE) AS s2,
         quantile_cont(confidence, 0.2::DOUBLE) AS c1, quantile_cont(confidence, 0.4::DOUBLE) AS c2,
         quantile_cont(confidence, 0.6::DOUBLE) AS c3, quantile_cont(confidence, 0.8::DOUBLE) AS c4 FROM x),
       l AS (
         SELECT 'corpus' AS grouping, dataset_id AS level, label, score, thr FROM x
         UNION ALL SELECT 'speaker', cast(speaker_id AS varchar), label, score, thr FROM x
         UNION ALL SELECT 'duration_tertile', CASE WHEN n_windows <= d1 THEN 'short' WHEN n_windows <= d2 THEN 'medium' ELSE 'long' END, label, score, thr FROM x, q
-        UNION ALL SELECT 'snr_proxy_tertile', CASE WHEN score_b <= s1 THEN 'low' WHEN score_b <= s2 THEN 'mid' ELSE 'high' END, label, score, thr FROM x, q
+        UNION ALL SELECT 'gender', gender, label, score, thr FROM x WHERE gender IS NOT NULL
+        UNION ALL SELECT 'set', set_id, label, score, thr FROM x WHERE set_id IS NOT NULL
+        UNION ALL SELECT 'snr_proxy_tertile', CASE WHEN snr <= s1 THEN 'low' WHEN snr <= s2 THEN 'mid' ELSE 'high' END, label, score, thr FROM x, q WHERE snr IS NOT NULL
         UNION ALL SELECT 'trailing_silence', CASE WHEN max_pad_fraction <= 0.05 THEN '<0.05s' WHEN max_pad_fraction <= 0.08 THEN '0.05-0.08s' ELSE '>0.08s' END, label, score, thr FROM x
         UNION ALL SELECT 'clipping', CASE WHEN max_pad_fraction > 0.09 THEN 'clipped' ELSE 'unclipped' END, label, score, thr FROM x
         UNION ALL SELECT 'confidence_quintile', CASE WHEN confidence <= c1 THEN 'q1 (least)' WHEN confidence <= c2 THEN 'q2'
@@ -435,16 +451,18 @@ def _(spark, d):
 def _(spark, d):
     s = stage(fx.scores(spark, d))
     t = E.with_threshold(s, s.where("split = 'validation'")).where("split = 'internal_test'")
-    x = t.withColumn("confidence", F.abs(F.col("score") - F.col("threshold")))
+    x = t.join(recordings(spark, d), "item", "left").withColumn("confidence", F.abs(F.col("score") - F.col("threshold")))
     levels = {
         "duration_tertile": (F.col("n_windows"), ["short", "medium", "long"]),
-        "snr_proxy_tertile": (F.col("score_b"), ["low", "mid", "high"]),
+        "snr_proxy_tertile": (F.col("snr_proxy_db"), ["low", "mid", "high"]),
         "confidence_quintile": (F.col("confidence"), ["q1 (least)", "q2", "q3", "q4", "q5 (most)"]),
     }
     x = with_quantile_levels(x, [], levels, drop_duplicates=True)
     groupings = {
         "corpus": F.col("dataset_id"),
         "speaker": F.col("speaker_id").cast("string"),
+        "gender": unknown_to_null("gender"),
+        "set": unknown_to_null("set_id"),
         "duration_tertile": F.col("duration_tertile"),
         "snr_proxy_tertile": F.col("snr_proxy_tertile"),
         "trailing_silence": fixed_cut("max_pad_fraction", [-1, 0.05, 0.08, 100], ["<0.05s", "0.05-0.08s", ">0.08s"]),
