@@ -323,9 +323,8 @@ def _(spark, d):
 def _(spark, d):
     v = fx.vectors(spark, d)
     stats = A.norm_stats(v.where("label < 8"), "embedding")
-    cells = v.select("item", F.posexplode("embedding").alias("pos", "x"))
-    z = (F.col("x") - F.col("mean")) / (F.col("std") + F.lit(1e-8))
-    return cells.join(stats, "pos").select("item", "pos", F.round(z, 5).alias("z"))
+    z = A.normalised(v, "embedding", stats)
+    return z.select("item", F.posexplode("z").alias("pos", "z")).select("item", "pos", F.round("z", 5).alias("z"))
 
 
 @query(

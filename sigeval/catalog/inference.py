@@ -121,18 +121,23 @@ ROW_POINTS = BOOT_POINTS.replace("s.cluster = d.cluster", "s.item = d.item")
 
 @query(
     "boot_row_ci",
-    f"""WITH {draws_sql('item', b=6)}, {ROW_POINTS}, a AS (SELECT split, b, {AUC} AS auc FROM bp GROUP BY split, b),
+    f"""{COUNT_DRAWS.replace(draws_sql(), draws_sql('item', b=6)).replace("s.cluster = d.cluster", "s.item = d.item")}, {ROW_POINTS}, a AS (SELECT split, b, {AUC} AS auc FROM bp GROUP BY split, b),
       {eer_ctes('be', 'bp', 'split, b')}
       SELECT split, round(avg(auc), 6) AS auc_mean, round(quantile_cont(auc, 0.025), 6) AS auc_lo, round(quantile_cont(auc, 0.975), 6) AS auc_hi,
-        round(avg(eer), 6) AS eer_mean, round(quantile_cont(eer, 0.025), 6) AS eer_lo, round(quantile_cont(eer, 0.975), 6) AS eer_hi
-      FROM a JOIN be USING (split, b) GROUP BY split""",
+        round(avg(eer), 6) AS eer_mean, round(quantile_cont(eer, 0.025), 6) AS eer_lo, round(quantile_cont(eer, 0.975), 6) AS eer_hi,
+        round(avg(accuracy), 6) AS accuracy_mean, round(quantile_cont(accuracy, 0.025), 6) AS accuracy_lo, round(quantile_cont(accuracy, 0.975), 6) AS accuracy_hi,
+        round(avg(f1_macro), 6) AS f1_macro_mean, round(quantile_cont(f1_macro, 0.025), 6) AS f1_macro_lo, round(quantile_cont(f1_macro, 0.975), 6) AS f1_macro_hi
+      FROM a JOIN be USING (split, b) JOIN r USING (split, b) GROUP BY split""",
     ("fx_scores",),
 )
 def _(spark, d):
-    t = I.bootstrap_ranking(boot_scores(spark, d), ["split"], "item", "label", "score", 6)
-    t = I.percentile_ci(t, ["split"], ["auc", "eer"])
-    names = [f"{s}_{e}" for s in ("auc", "eer") for e in ("mean", "lo", "hi")]
-    return t.select("split", *[F.round(c, 6).alias(c) for c in names])
+    """Rows are their own clusters: intervals of ranking and of decisions at a fixed threshold."""
+    s = boot_scores(spark, d)
+    ranks = I.percentile_ci(I.bootstrap_ranking(s, ["split"], "item", "label", "score", 6), ["split"], ["auc", "eer"])
+    rates = I.bootstrap_counts(s, ["split"], "item", "label", F.col("score") >= 4.0, 6)
+    rates = I.percentile_ci(rates, ["split"], ["accuracy", "f1_macro"])
+    names = [f"{s}_{e}" for s in ("auc", "eer", "accuracy", "f1_macro") for e in ("mean", "lo", "hi")]
+    return ranks.join(rates, "split").select("split", *[F.round(c, 6).alias(c) for c in names])
 
 
 # ---------------------------------------------------------------- paired tests

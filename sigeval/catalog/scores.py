@@ -118,7 +118,7 @@ def _(spark, d):
     "parent_id",
     """WITH names AS (SELECT concat('rec', o.o_orderkey, '_chk', o.o_custkey % 7, '_chk', l.l_linenumber) AS name FROM lineitem l
          JOIN orders o ON l.l_orderkey = o.o_orderkey UNION ALL SELECT concat('whole', o_orderkey) FROM orders)
-       SELECT regexp_replace(name, '_chk[0-9]+$', '') AS parent, count(*) AS n FROM names GROUP BY 1""",
+       SELECT regexp_replace(name, '_chk[0-9]+$', '') AS parent, string_split(name, '_chk')[1] AS source, count(*) AS n FROM names GROUP BY 1, 2""",
 )
 def _(spark, d):
     li, o = fx.table(spark, d, "lineitem"), fx.table(spark, d, "orders")
@@ -128,7 +128,8 @@ def _(spark, d):
     names = li.join(o, li.l_orderkey == o.o_orderkey).select(chunk.alias("name")).unionByName(
         o.select(F.concat(F.lit("whole"), "o_orderkey").alias("name"))
     )
-    return names.groupBy(parent_id("name").alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+    ids = (parent_id("name").alias("parent"), parent_id("name", first=True).alias("source"))
+    return names.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -185,6 +186,20 @@ def _(spark, d):
     return two(M.binary_metrics(fx.scores(spark, d), ["split"], "label", "score", F.lit(4.0)), *RATE_NAMES)
 
 
+@query(
+    "confusion_percent",
+    f"""SELECT split, cast(tp AS bigint) AS tp, cast(tn AS bigint) AS tn, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn,
+        round(100 * tn::DOUBLE / nullif(tn + fp, 0), 4) AS pct_tn, round(100 * fp::DOUBLE / nullif(tn + fp, 0), 4) AS pct_fp,
+        round(100 * fn::DOUBLE / nullif(tp + fn, 0), 4) AS pct_fn, round(100 * tp::DOUBLE / nullif(tp + fn, 0), 4) AS pct_tp
+      FROM (SELECT split, {COUNTS_SQL.format(p='score >= 4')} FROM fx_scores GROUP BY split)""",
+    ("fx_scores",),
+)
+def _(spark, d):
+    counts = M.confusion(fx.scores(spark, d), ["split"], "label", F.col("score") >= 4.0)
+    t = M.confusion_percent(counts).withColumns({c: F.round(c, 4) for c in ("pct_tn", "pct_fp", "pct_fn", "pct_tp")})
+    return t.select("split", "tp", "tn", "fp", "fn", "pct_tn", "pct_fp", "pct_fn", "pct_tp")
+
+
 @query("auc_exact", f"SELECT split, round({AUC}, 8) AS auc FROM pts GROUP BY split", ("pts",))
 def _(spark, d):
     pts = M.score_points(fx.scores(spark, d), ["split"], "label", "score")

@@ -116,9 +116,11 @@ def edge_cut(x, edges: Column, labels: Sequence[str], drop_duplicates: bool = Fa
 
 
 # ---------------------------------------------------------------- names
-def parent_id(name, marker: str = "_chk") -> Column:
-    """Part before the last marker; the whole name if there is none."""
+def parent_id(name, marker: str = "_chk", first: bool = False) -> Column:
+    """Part before the last marker, or before the first one; the whole name if there is none."""
     name = as_col(name)
+    if first:
+        return F.substring_index(name, marker, 1)
     return F.coalesce(F.nullif(F.regexp_extract(name, f"(?s)^(.*){marker}", 1), F.lit("")), name)
 
 

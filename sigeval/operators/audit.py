@@ -172,6 +172,14 @@ def norm_stats(df: DataFrame, features: str) -> DataFrame:
     )
 
 
+def normalised(df: DataFrame, features: str, stats: DataFrame, name: str = "z") -> DataFrame:
+    """Adds (x - mean) / (SD + 1e-8) of every position. The statistics are one row per position and enter the plan as
+    one scalar array, so no cell is joined."""
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("s")).scalar()
+    z = F.zip_with(features, "_stats", lambda x, s: (x - s["mean"]) / (s["std"] + F.lit(1e-8)))
+    return df.withColumn("_stats", one).withColumn(name, z).drop("_stats")
+
+
 def channel_stats(df: DataFrame, keys: Sequence[str], channels: str) -> DataFrame:
     """Mean and population SD per channel of an array<array<array<float>>> feature, by running sums over all cells."""
     cells = df.select(*keys, F.posexplode(channels).alias("channel", "m")).withColumn("x", F.flatten("m"))
