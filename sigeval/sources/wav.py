@@ -9,9 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 HEADER = "path string, sample_rate int, channels int, sample_width int, frames long, duration_sec double"
 BLOCK = 1 << 16
+HEAD = 1 << 16  # bytes in which the header ends; no more of a file leaves the reader
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -21,7 +23,7 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, root: str) -> DataFrame:
-    """Rate, channels, frames and duration per file; unreadable files are dropped."""
+    """Rate, channels, frames and duration per file, from its first bytes; unreadable files are dropped."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -36,7 +38,8 @@ def headers(spark: SparkSession, root: str) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "sample_width", "frames", "duration_sec"])
 
-    return _files(spark, root).mapInPandas(read, HEADER)
+    first = _files(spark, root).select("path", F.substring("content", 1, HEAD).alias("content"))
+    return first.mapInPandas(read, HEADER)
 
 
 def samples(spark: SparkSession, root: str) -> DataFrame:
