@@ -54,19 +54,36 @@ def _lookup(vocabulary: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[np.minimum(at, len(vocabulary) - 1)] == values, at, len(vocabulary))
 
 
-def _frequent(values: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values that occur in at least LEAST_TEXTS different documents, and their evidence in [-1, 1]: the
-    standard errors by which their documents' share of label 1 differs from that of all, over ten."""
-    if not len(values):
-        return values, np.empty(0, np.float32)
-    order = np.lexsort((doc, values))
-    values, doc = values[order], doc[order]
-    fresh = np.concatenate([[True], (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])])
-    found, first, count = np.unique(values[fresh], return_index=True, return_counts=True)
-    ones = np.add.reduceat(labels[doc[fresh]], first) if len(found) else count
-    share, keep = labels.mean(), count >= LEAST_TEXTS
+def _evidence(count: np.ndarray, ones: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Items that occur in at least LEAST_TEXTS documents, and their evidence in [-1, 1]: the standard errors by which the
+    share of label 1 among their documents differs from that of all, over ten."""
+    keep = np.flatnonzero(count >= LEAST_TEXTS)
+    count, ones = count[keep], ones[keep]
     errors = (ones - count * share) / np.sqrt(count * share * (1 - share))
-    return found[keep], np.clip(errors[keep] / 10, -1, 1).astype(np.float32)
+    return keep, np.clip(errors / 10, -1, 1).astype(np.float32)
+
+
+def vocabularies(inputs: Inputs, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and n-grams that are frequent enough (sorted), each with its evidence. Documents are counted in blocks, so the
+    pairs of documents and n-grams are never held at once."""
+    doc, word = np.divmod(inputs.text_words, max(len(inputs.words), 1))
+    share = float(labels.mean())
+    count, ones = np.bincount(word, minlength=len(inputs.words)), np.bincount(word, labels[doc], minlength=len(inputs.words))
+    words, word_evidence = _evidence(count, ones, share)
+
+    grams, own = np.unique(inputs.grams, return_inverse=True)
+    size = np.bincount(inputs.gram_word, minlength=len(inputs.words))
+    start = np.cumsum(size) - size
+    count, ones = np.zeros(len(grams), np.int64), np.zeros(len(grams))
+    for first in range(0, len(labels), 128):
+        a, b = np.searchsorted(doc, [first, first + 128])
+        each = size[word[a:b]]
+        place = np.repeat(start[word[a:b]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        owner, found = np.divmod(np.unique(np.repeat(doc[a:b], each) * len(grams) + own[place]), max(len(grams), 1))
+        np.add.at(count, found, 1)
+        np.add.at(ones, found, labels[owner])
+    kept, gram_evidence = _evidence(count, ones, share)
+    return inputs.words[words], word_evidence, grams[kept], gram_evidence
 
 
 class Inputs:
@@ -103,7 +120,8 @@ class Inputs:
         valid = offset < count[self.doc][:, None]
         flat = np.where(valid, (np.cumsum(count) - count)[self.doc][:, None] + offset, 0)
         self.ids = np.where(valid, inverse[flat] if len(inverse) else 0, len(distinct))
-        self.text_words = np.unique(np.stack([doc, inverse]), axis=1) if p is None else None  # only for vocabularies
+        # pairs of text and distinct word as one number, which only vocabularies need
+        self.text_words = np.unique(doc * len(distinct) + inverse) if p is None else None
         if p is not None:
             self.know(p)
 
@@ -212,12 +230,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0, steps: int = STEP
         return initial(seed)
     (chunk,) = B.chunks(pa.array(texts, pa.string()), limit=1 << 40)
     inputs = Inputs(chunk)
-    doc, word = inputs.text_words
-    size = np.bincount(inputs.gram_word, minlength=len(inputs.words))
-    start = np.cumsum(size) - size
-    place = np.repeat(start[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(int(size[word].sum()))
-    words, word_evidence = _frequent(inputs.words[word], doc, labels)
-    grams, gram_evidence = _frequent(inputs.grams[place], np.repeat(doc, size[word]), labels)
+    words, word_evidence, grams, gram_evidence = vocabularies(inputs, labels)
+    inputs.text_words = None
     p = initial(seed, words, grams)
     p["word"][:-1, 0], p["gram"][:-1, 0] = word_evidence, gram_evidence
     inputs.know(p)
@@ -231,7 +245,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0, steps: int = STEP
         if step <= RANDOM:
             picked = first + (rng.random(len(texts)) * count).astype(np.int64)
         elif (step - RANDOM) % RENEW == 1:
-            parts = np.array_split(np.arange(len(inputs.doc)), len(inputs.doc) // 8192 + 1)
+            parts = np.array_split(np.arange(len(inputs.doc)), len(inputs.doc) // 2048 + 1)
             score = np.concatenate([window_scores(inputs, p, at) for at in parts])
             picked = np.lexsort((-score, inputs.doc))[first]
         if len(queue) < BATCH:
