@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from sigeval.catalog import fixtures as fx
 from sigeval.catalog import signals as SG
-from sigeval.catalog.registry import query
+from sigeval.catalog.registry import ORACLES, query
 from sigeval.functions.columns import stable_seed
 from sigeval.operators import metrics as M
 from sigeval.operators import probes as P
+from sigeval.operators.errors import unpivot
+from sigeval.operators.ordering import quantiles
 from sigeval.operators import signal as G
 from sigeval.operators import spectral as S
 from sigeval.operators import sweep as W
@@ -55,6 +57,36 @@ def _(spark, d):
     return t.select("rec", "window", *[F.round(c, 6).alias(c) for c in ("lf_ratio", "hf_ratio", "centroid_hz")])
 
 
+SPECTRAL_NAMES = ("lf_ratio", "hf_ratio", "centroid_hz")
+TABLE_NAMES = (*SG.DESCRIPTOR_NAMES, *SPECTRAL_NAMES)
+TABLE_SQL = f"""SELECT * FROM ({ORACLES['window_descriptors']}) a JOIN ({ORACLES['spectral_descriptors']}) b USING (rec, "window")"""
+
+
+def window_table(spark, d):
+    """All eleven descriptors of every window, from windows cut once."""
+    w = stage(G.segment(SG.signal(spark, d), "trim_repeat", SG.WINDOW, frame=SG.WIN, frame_hop=SG.HOP, top_db=SG.TOP))
+    levels = G.window_descriptors(w, SG.WIN, SG.HOP, floor_db=-10.0, quiet_db=3.0)
+    spectra = S.spectral_descriptors(G.window_arrays(w), SMALL, low_hz=1.0, high_hz=6.0).select("rec", "window", *SPECTRAL_NAMES)
+    return SG.rnd(levels.join(spectra, ["rec", "window"]), *TABLE_NAMES)
+
+
+@query("window_descriptor_table", TABLE_SQL)
+def _(spark, d):
+    return window_table(spark, d)
+
+
+@query(
+    "window_table_medians",
+    f"SELECT rec % 3 AS dataset_id, rec % 2 AS label, {', '.join(f'round(median({c}), 5) AS {c}' for c in TABLE_NAMES)} FROM ({TABLE_SQL}) GROUP BY 1, 2",
+)
+def _(spark, d):
+    t = window_table(spark, d).withColumns({"dataset_id": F.col("rec") % 3, "label": F.col("rec") % 2})
+    long = stage(unpivot(t, ["dataset_id", "label"], TABLE_NAMES))
+    q = quantiles(long, ["dataset_id", "label", "descriptor"], "value", {"median": 0.5})
+    wide = q.groupBy("dataset_id", "label").pivot("descriptor", list(TABLE_NAMES)).agg(F.first("median"))
+    return SG.rnd(wide, *TABLE_NAMES, digits=5)
+
+
 def vectors(spark, d):
     h = stable_seed("item") % 10
     split = F.when(h < 6, "train").when(h < 8, "validation").otherwise("test")

@@ -105,7 +105,7 @@ def bootstrap_ranking(
         F.sum(F.when(y == 1, 1).otherwise(0)).alias("_p"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("_n")
     )
     counts = stage(with_range(counts, by, score, cut_points(df, by, score, every)).withColumnRenamed(score, "_s"))
-    # a score that many clusters share makes a large range; its parts are summed first. One row per range: at most MAX_CUTS + keys
+    # a score that many clusters share makes a large range; its parts are summed first. One row per range: at most the cuts + keys
     sizes = counts.groupBy(*by, "_range").agg((F.floor(F.count(F.lit(1)) / ROWS_PER_SALT) + 1).alias("_parts"))
     part = F.pmod(F.xxhash64(cluster), F.col("_parts"))
     rows = counts.join(F.broadcast(sizes), [*by, "_range"]).withColumn("_part", part).withColumn("chunk", _chunks(n_boot))
@@ -165,7 +165,7 @@ def _score_block(place: Sequence[str]):
 
 
 def _sums_before(place: Sequence[str]):
-    """Totals of the ranges of one chunk to the sums of earlier ranges and of all; at most MAX_CUTS ranges."""
+    """Totals of the ranges of one chunk to the sums of earlier ranges and of all; as many ranges as cuts at most."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_range", kind="stable", ignore_index=True)

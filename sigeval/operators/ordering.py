@@ -5,9 +5,9 @@ or a corpus: a few keys, each holding a large share of all rows. The functions b
 into ranges of the order column, run the window inside a range, and add the totals of the ranges
 before it.
 
-The cut points are the distinct (key, value) pairs with the smallest hashes, at most MAX_CUTS of
-them over all keys. That makes them a function of the data alone (a recomputed task sees the same
-cuts), gives a key cuts in proportion to its distinct values, and bounds what is broadcast.
+The cut points are the distinct (key, value) pairs with the smallest hashes, at most `max_cuts` of
+them over all keys: two for each shuffle partition, and MAX_CUTS at least. That makes them a
+function of the data alone (a recomputed task sees the same cuts), gives a key cuts in proportion to its distinct values, and bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -21,19 +21,23 @@ MAX_CUTS = 4096
 EVERY = 512  # one distinct value in so many is a candidate cut
 
 
+def max_cuts(df: DataFrame) -> int:
+    return max(MAX_CUTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut_points(df: DataFrame, keys: Sequence[str], order: str, every: int = EVERY) -> DataFrame:
-    """One row per key with a sorted array of at most MAX_CUTS cut points over all keys together."""
+    """One row per key with a sorted array of at most `max_cuts` cut points over all keys together."""
     return _cut_points(df.where(F.pmod(F.xxhash64(*keys, order), F.lit(every)) == 0).select(*keys, order).distinct(), keys, order)
 
 
 def _cut_points(values: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    picked = values.orderBy(F.xxhash64(*keys, order), *keys, order).limit(MAX_CUTS)
+    picked = values.orderBy(F.xxhash64(*keys, order), *keys, order).limit(max_cuts(values))
     return picked.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
 
 
-def _count_up_to(cuts: Column, x: Column) -> Column:
-    """Number of cuts <= x by binary search: 13 steps, each doubling or keeping the position."""
-    steps = F.array(*[F.lit(1 << k) for k in range(MAX_CUTS.bit_length() - 1, -1, -1)])
+def _count_up_to(cuts: Column, x: Column, most: int) -> Column:
+    """Number of cuts <= x by binary search over at most `most`: each step moves on or keeps the position."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
     return F.aggregate(
         steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= x, at + step).otherwise(at)
     )
@@ -42,11 +46,11 @@ def _count_up_to(cuts: Column, x: Column) -> Column:
 def with_range(df: DataFrame, keys: Sequence[str], order: str, cuts: DataFrame) -> DataFrame:
     """Add `_range`, the index of the row's range within its key; without keys the cuts are a scalar of the plan."""
     if keys:
-        joined = df.join(F.broadcast(cuts), list(keys), "left")  # at most MAX_CUTS rows by construction
+        joined = df.join(F.broadcast(cuts), list(keys), "left")  # at most `max_cuts` rows by construction
     else:
         joined = df.withColumn("_cuts", cuts.select("_cuts").scalar())
     return joined.withColumn(
-        "_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_count_up_to(F.col("_cuts"), F.col(order)))
+        "_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_count_up_to(F.col("_cuts"), F.col(order), max_cuts(df)))
     ).drop("_cuts")
 
 
