@@ -156,6 +156,8 @@ def _links(radius: int, crowd: int):
     def run(batches):
         held, crowded = None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = np.stack([batch["choice"].to_numpy().astype(np.int64), batch["bucket"].to_numpy(), batch["fp"].to_numpy()])
             rows = rows if held is None else np.concatenate([held, rows], axis=1)
             edge = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
