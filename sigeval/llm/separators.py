@@ -23,8 +23,8 @@ from .common import filled, stage, stage_root
 
 BLOCK = 4 << 20  # bytes of a token file that are read at once
 SPAN = 1024  # blocks whose summaries one task scans
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the pattern that goes with the vocabulary, and its free id.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: The pattern that goes with the vocabulary (of several languages, as the documents are), and its free id.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
 
