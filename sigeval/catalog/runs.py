@@ -132,6 +132,46 @@ def _(spark, d):
     return rnd(t, *[c for c, k in t.dtypes if k == "double"], digits=5)
 
 
+SPLITS_SQL = """sx AS (SELECT * FROM (VALUES ('P1', 'internal_test', 'own'), ('P1', 'external_A', 'A'), ('P2', 'internal_test', 'own'),
+  ('P2', 'external_B', 'B')) t(protocol, split, corpus))"""
+SEEDS_SQL = f"""{RESULTS.replace(', 6) AS', ', 15) AS')}, {STORES}, {SPLITS_SQL},
+  av AS (SELECT model, protocol, split, count(DISTINCT seed) AS n_seeds, count(auc) AS auc_n, avg(auc) AS auc_mean, stddev_samp(auc) AS auc_sd,
+      count(accuracy) AS accuracy_n, avg(accuracy) AS accuracy_mean, stddev_samp(accuracy) AS accuracy_sd
+    FROM res SEMI JOIN (SELECT run FROM rs WHERE status <> 'missing') USING (run) GROUP BY 1, 2, 3),
+  ex2 AS (SELECT model, protocol, count(*) AS n_seeds_expected, CASE WHEN bool_or(status = 'missing') THEN 'missing'
+      WHEN bool_or(status = 'placeholder') THEN 'placeholder' ELSE 'real' END AS status FROM rs GROUP BY 1, 2),
+  sd AS (SELECT model, protocol, split, corpus, n_seeds_expected, status, coalesce(n_seeds, 0) AS n_seeds, coalesce(auc_n, 0) AS auc_n, auc_mean, auc_sd,
+      coalesce(accuracy_n, 0) AS accuracy_n, accuracy_mean, accuracy_sd
+    FROM ex2 JOIN sx USING (protocol) LEFT JOIN av USING (model, protocol, split))"""
+
+
+def seeds(spark, d):
+    rows = [("P1", "internal_test", "own"), ("P1", "external_A", "A"), ("P2", "internal_test", "own"), ("P2", "external_B", "B")]
+    splits = spark.createDataFrame(rows, "protocol string, split string, corpus string")
+    return R.seed_table(results(spark, d), R.run_status(*stores(spark, d)), splits, ["auc", "accuracy"])
+
+
+@query(
+    "multiseed_status",
+    f"""WITH {SEEDS_SQL} SELECT model, protocol, split, corpus, n_seeds_expected, status, n_seeds, auc_n, accuracy_n,
+      {', '.join(f'round({m}_{s}, 5) AS {m}_{s}' for m in ('auc', 'accuracy') for s in ('mean', 'sd'))} FROM sd""",
+    ("fx_runs",),
+)
+def _(spark, d):
+    return rnd(seeds(spark, d), "auc_mean", "auc_sd", "accuracy_mean", "accuracy_sd", digits=5)
+
+
+@query(
+    "cross_corpus_status",
+    f"""WITH {SEEDS_SQL} SELECT model, protocol, any_value(status) AS status,
+      {', '.join(f"round(max(auc_mean) FILTER (WHERE corpus = '{c}'), 5) AS test_{c}" for c in ('own', 'A', 'B'))} FROM sd GROUP BY 1, 2""",
+    ("fx_runs",),
+)
+def _(spark, d):
+    t = R.cross_corpus(stage(seeds(spark, d)), "auc_mean", "protocol", "corpus", ["own", "A", "B"])
+    return rnd(t, "test_own", "test_A", "test_B", digits=5)
+
+
 @query(
     "calibration_table",
     f"""WITH {RESULTS}, {STORES} SELECT run, split, status, round(ece, 6) AS ece, round(brier, 6) AS brier, round(auc, 6) AS auc, accuracy

@@ -75,8 +75,28 @@ def multiseed_summary(
     return results.groupBy(*keys).agg(*aggs)
 
 
+def seed_table(
+    results: DataFrame, status: DataFrame, splits: DataFrame, metrics: Sequence[str] = METRICS, ci_of: Sequence[str] = ()
+) -> DataFrame:
+    """Seed summary of every registered (model, protocol) on every split of its protocol, runs without results included.
+
+    `status` has one row per expected run (run, model, protocol, seed, status), `splits` has protocol, split and corpus. Only
+    available runs are summarised; the counts of a pair without any are 0 and its means NULL.
+    """
+    keys = ["model", "protocol"]
+    expected = status_rollup(status, keys).withColumnRenamed("n_runs", "n_seeds_expected")
+    available = results.join(status.where("status <> 'missing'").select("run"), "run", "left_semi")
+    summary = multiseed_summary(available, metrics, ci_of)
+    table = expected.join(splits, "protocol").join(summary, [*keys, "split"], "left")
+    return table.na.fill(0, ["n_seeds", *[f"{m}_n" for m in metrics]])
+
+
 def cross_corpus(summary: DataFrame, value: str, train: str, test: str, corpora: Sequence[str]) -> DataFrame:
-    """One row per (model, training corpus) with a column per test corpus."""
+    """One row per (model, training corpus) with a column per test corpus, and the worst status if the summary has one."""
+    if "status" in summary.columns:
+        return status_rollup(summary, ["model", train]).drop("n_runs").join(
+            cross_corpus(summary.drop("status"), value, train, test, corpora), ["model", train]
+        )
     t = summary.groupBy("model", train).pivot(test, list(corpora)).agg(F.first(value))
     return t.select("model", train, *[F.col(c).alias(f"test_{c}") for c in corpora])
 
