@@ -11,6 +11,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SAMPLE = {
     "split_report", "eer_interp", "error_groups", "boot_auc_ci", "boot_delta_eer", "delong_z", "compact_report", "split_overlap", "knn_topk",
     "group_split", "windows_controlled", "window_descriptors", "perturb_sweep", "robustness_summary", "multiseed_summary", "result_docs_flatten",
+    "near_dup_pairs", "near_dup_confirm", "norm_stats", "normalize", "perturb_reverb", "parent_id", "confusion_percent", "status_rollup", "midranks",
+    "auc_exact", "multiseed_status", "window_table_medians", "boot_row_ci", "paired_table",
 }
 
 
