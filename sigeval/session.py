@@ -41,12 +41,29 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
+_STAGED: list[str] = []
+
+
+def drop_staged() -> int:
+    """Delete the tables staged by this process so far, once no result that reads them is needed; returns their number."""
+    from pyarrow.fs import FileSystem
+
+    dropped = 0
+    while _STAGED:
+        uri = _STAGED.pop()
+        files, path = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and "://" not in uri else uri)
+        files.delete_dir(path)
+        dropped += 1
+    return dropped
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write a result that several branches read, and read it back.
+    """Write a result that several branches read, and read it back. `drop_staged` deletes such tables.
 
     The table is durable, so a lost executor never recomputes the branches above it, and the branches
     get column pruning and real size statistics instead of repeating the upstream joins.
     """
     path = f"{stage_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

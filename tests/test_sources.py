@@ -112,3 +112,14 @@ def test_names_and_arrays(spark):
     import hashlib
 
     assert r["h"] == int(hashlib.sha1(b"a|1").hexdigest()[:8], 16)
+
+
+def test_staged_tables_are_dropped(spark):
+    from sigeval import session
+
+    kept, session._STAGED[:] = list(session._STAGED), []  # tables of other tests stay
+    t = session.stage(spark.range(5))
+    assert t.count() == 5 and session.drop_staged() == 1 and session.drop_staged() == 0
+    with pytest.raises(Exception):
+        spark.read.schema(t.schema).parquet(t.inputFiles()[0]).count()
+    session._STAGED[:] = kept
