@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigeval.llm import decontaminate, language, mixing, sharding, simhash
+from sigeval.llm import decontaminate, language, mixing, near_copies, sharding
 from sigeval.llm.common import read_table, stage_root
 
 
@@ -17,8 +17,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash.deduplicated(docs)
+    """Keeps one document of each group of near copies (op6, or five-word shingles alike by 0.8), that with the smallest doc_id."""
+    return near_copies.deduplicated(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The queries against their SQL, and the pipeline against a plain version."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -80,3 +81,32 @@ def test_a_stage_of_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_near_copies_above_a_shingle_similarity(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(30)]
+    texts = [" ".join(passage + [word() for _ in range(40)]) for _ in range(12)]  # a common passage links nothing
+    for k in range(8):
+        base = [word() for _ in range(120)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = word()
+            texts += [" ".join(copy), " ".join(copy).upper()]
+    texts += ["one two three", "One  two\tthree", "one two", "", None, "   "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    w = [plain((t or "").translate(LOW)) for t in texts]
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in w]
+    fps = [fingerprint(t) for t in texts]
+    alike = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = [[j for j in range(len(texts)) if (fps[i] ^ fps[j]).bit_count() <= 2 or alike(i, j)] for i in range(len(texts))]
+    label = list(range(len(texts)))
+    while label != (new := [min(label[j] for j in near[i]) for i in range(len(texts))]):
+        label = new
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert got == set(label)
+    assert len(got) < len(set(groups_within(fps)))  # two bits alone keep more
