@@ -282,6 +282,24 @@ def _(spark, d):
     return rnd(N.confirm(pairs, v, "item", "v", 0.95), "cosine", "correlation")
 
 
+@query(
+    "near_dup_all_pairs",
+    f"""WITH {PLANTED}, rp AS (SELECT min(item) AS item FROM planted GROUP BY v), ru AS (SELECT item, u FROM un SEMI JOIN rp USING (item))
+      SELECT a.item AS item_a, b.item AS item_b, round(list_dot_product(a.u, b.u), 6) AS cosine
+      FROM ru a JOIN ru b ON a.item < b.item WHERE list_dot_product(a.u, b.u) >= 0.995""",
+)
+def _(spark, d):
+    return rnd(N.all_pairs(planted(spark, d), "item", "v", 64, 0.995), "cosine")
+
+
+@query(
+    "near_dup_copies",
+    f"WITH {PLANTED} SELECT min(item) OVER (PARTITION BY v) AS representative, item AS member FROM planted QUALIFY count(*) OVER (PARTITION BY v) > 1",
+)
+def _(spark, d):
+    return N.copies(planted(spark, d), "item", "v")
+
+
 # ---------------------------------------------------------------- features
 @query(
     "norm_stats",

@@ -69,7 +69,9 @@ def _grid(dim: int, axes: int, r: float, width: float):
     return kernel
 
 
-def _top_k(k: int, threshold: float):
+def _top_k(k: int | None, threshold: float):
+    """The k best neighbours of each probe in a block; without k every pair once, at its larger item."""
+
     def kernel(key, homes: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"item": [], "neighbour": [], "cosine": []}).astype(
             {"item": "int64", "neighbour": "int64", "cosine": "float64"}
@@ -82,8 +84,12 @@ def _top_k(k: int, threshold: float):
             part = probes.iloc[lo : lo + 1024]
             p_id = part["p_item"].to_numpy()
             cos = np.stack(part["p_u"].to_numpy()) @ h.T
-            row, col = np.nonzero((cos >= threshold) & (p_id[:, None] != h_id[None, :]))
+            other = p_id[:, None] > h_id[None, :] if k is None else p_id[:, None] != h_id[None, :]
+            row, col = np.nonzero((cos >= threshold) & other)
             found = pd.DataFrame({"item": p_id[row], "neighbour": h_id[col], "cosine": cos[row, col]})
+            if k is None:
+                out.append(found)
+                continue
             found = found.sort_values(["item", "cosine", "neighbour"], ascending=[True, False, True])
             out.append(found.groupby("item").head(k))
         return pd.concat(out) if out else empty
@@ -91,13 +97,14 @@ def _top_k(k: int, threshold: float):
     return kernel
 
 
-def neighbours(
-    df: DataFrame, item: str, vec: str, dim: int, threshold: float, k: int = 6, axes: int = 6, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """The k nearest items with cosine >= threshold, copies of the same vector included: (item, neighbour, cosine, rank)."""
+def _one_each(df: DataFrame, item: str, vec: str) -> DataFrame:
+    return stage(distinct_vectors(df, item, vec).select(F.col(item).cast("long").alias("item"), F.col(vec).alias("v"), "copies"))
+
+
+def _compared(one_each: DataFrame, dim: int, threshold: float, k: int | None, axes: int, block_rows: int) -> DataFrame:
+    """(item, neighbour, cosine) of distinct vectors: at most k for each item and block, or all pairs."""
     r = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
     width = 2.0 * r
-    one_each = stage(distinct_vectors(df, item, vec).select(F.col(item).cast("long").alias("item"), F.col(vec).alias("v"), "copies"))
     base = stage(
         one_each.select("item", "v").mapInPandas(_grid(dim, axes, r, width), "item long, u array<double>, home string, reach array<string>")
     )
@@ -120,12 +127,20 @@ def neighbours(
     )
     block = ["cell", "hb", "pb"]
     p = p.select(*[F.col(c).alias(f"p_{c}") for c in (*block, "item", "u")])
-    found = (
+    return (
         h.select(*block, "item", "u")
         .groupBy(*block)
         .cogroup(p.groupBy(*[f"p_{c}" for c in block]))
         .applyInPandas(_top_k(k, threshold), "item long, neighbour long, cosine double")
     )
+
+
+def neighbours(
+    df: DataFrame, item: str, vec: str, dim: int, threshold: float, k: int = 6, axes: int = 6, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The k nearest items with cosine >= threshold, copies of the same vector included: (item, neighbour, cosine, rank)."""
+    one_each = _one_each(df, item, vec)
+    found = _compared(one_each, dim, threshold, k, axes, block_rows)
     near = stage(_ranked(found, k))
 
     # members of groups; a list of k needs at most k + 1 of each (one of them may be the item itself)
@@ -145,6 +160,21 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def all_pairs(df: DataFrame, item: str, vec: str, dim: int, threshold: float, axes: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every pair of distinct vectors with cosine >= threshold, each by its smallest item: (item_a, item_b, cosine).
+
+    No list is cut, however many neighbours or copies a vector has; `copies` gives the other items of a vector.
+    """
+    found = _compared(_one_each(df, item, vec), dim, threshold, None, axes, block_rows)
+    return found.select(F.col("neighbour").alias("item_a"), F.col("item").alias("item_b"), "cosine")
+
+
+def copies(df: DataFrame, item: str, vec: str) -> DataFrame:
+    """(representative, member) for each item of a vector that occurs more than once, the representative included."""
+    groups = distinct_vectors(df, item, vec).where("copies > 1").select(F.col(item).alias("representative"), vec)
+    return df.select(F.col(item).alias("member"), vec).join(groups, vec).select("representative", "member")
+
+
 def candidate_pairs(found: DataFrame) -> DataFrame:
     """Unordered pairs from the neighbour lists."""
     return (

@@ -37,6 +37,22 @@ def test_neighbours_match_brute_force(spark, block):
         assert {(r["item"], r["neighbour"], r["rank"]) for r in got} == brute_neighbours(x, ids, threshold, 4)
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_all_pairs_keep_links_between_groups_of_copies(spark, block):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=16)
+    near = [base + rng.normal(scale=0.01, size=16) for _ in range(12)]  # more neighbours than a list of six holds
+    far = rng.normal(size=(5, 16))
+    rows = [(100 * g + c, [float(v) for v in x]) for g, x in enumerate([*near, *far]) for c in range(8 if g < 2 else 1)]
+    df = spark.createDataFrame(rows, "item long, v array<double>")
+    got = {(r["item_a"], r["item_b"]) for r in N.all_pairs(df, "item", "v", 16, 0.995, block_rows=block).collect()}
+    assert got == {(100 * a, 100 * b) for a in range(12) for b in range(a + 1, 12)}
+    lists = N.candidate_pairs(N.neighbours(df, "item", "v", 16, 0.995, k=6)).collect()
+    assert not any({r["item_a"] // 100, r["item_b"] // 100} == {0, 1} for r in lists)  # what the lists of six cut
+    got = {(r["representative"], r["member"]) for r in N.copies(df, "item", "v").collect()}
+    assert got == {(100 * g, 100 * g + c) for g in range(2) for c in range(8)}
+
+
 def test_confirm_finds_shifted_copies(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=200)
