@@ -8,12 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEADER = "path string, sample_rate int, channels int, sample_width int, frames long, duration_sec double"
 BLOCK = 1 << 16
-HEAD = 1 << 16  # bytes in which the header ends; no more of a file leaves the reader
+HEAD = 1 << 16  # bytes in which the header ends for most files; no more of these leaves the reader
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -22,8 +22,22 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     ).select("path", "content")
 
 
+def _head() -> Column:
+    """The first bytes if the header of the data chunk is among them, else the whole content (long chunks before it)."""
+    at = f"""aggregate(sequence(1, 64), 13L, (p, i) -> CASE WHEN p + 7 > least({HEAD}, length(content)) THEN p
+        WHEN substring(content, cast(p AS int), 4) = X'64617461' THEN p ELSE p + 8 + {_size("p")} + {_size("p")} % 2 END)"""
+    found = f"at + 7 <= {HEAD} AND substring(content, cast(at AS int), 4) = X'64617461'"
+    return F.expr(f"element_at(transform(array({at}), at -> CASE WHEN {found} THEN substring(content, 1, {HEAD}) ELSE content END), 1)")
+
+
+def _size(p: str) -> str:
+    """SQL for the little-endian length in the chunk header at byte p."""
+    h = f"hex(substring(content, cast({p} AS int) + 4, 4))"
+    return f"cast(conv(concat({', '.join(f'substring({h}, {k}, 2)' for k in (7, 5, 3, 1))}), 16, 10) AS long)"
+
+
 def headers(spark: SparkSession, root: str) -> DataFrame:
-    """Rate, channels, frames and duration per file, from its first bytes; unreadable files are dropped."""
+    """Rate, channels, frames and duration per file, from its first bytes where they hold the header; unreadable files are dropped."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -38,7 +52,7 @@ def headers(spark: SparkSession, root: str) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "sample_width", "frames", "duration_sec"])
 
-    first = _files(spark, root).select("path", F.substring("content", 1, HEAD).alias("content"))
+    first = _files(spark, root).select("path", _head().alias("content"))
     return first.mapInPandas(read, HEADER)
 
 

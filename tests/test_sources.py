@@ -41,6 +41,19 @@ def test_wav(spark, tmp_path):
     assert MF.checksum_mismatch(bad, hashes, "path").first()["status"] == "mismatch"
 
 
+def test_wav_header_behind_long_chunks(spark, tmp_path):
+    for name, before in {"a": [100_000], "b": [65_482], "c": [99_999, 7], "d": [10] * 100, "plain": []}.items():
+        write_wav(tmp_path / f"{name}.wav", 1, 40_000)
+        raw = (tmp_path / f"{name}.wav").read_bytes()
+        at = raw.index(b"data")
+        extra = b"".join(b"LIST" + n.to_bytes(4, "little") + b"data" * (n // 4) + bytes(n % 4 + n % 2) for n in before)
+        size = (len(raw) + len(extra) - 8).to_bytes(4, "little")
+        (tmp_path / f"{name}.wav").write_bytes(raw[:4] + size + raw[8:at] + extra + raw[at:])
+    (tmp_path / "broken.wav").write_bytes(b"RIFF" + bytes(100_000))
+    got = {r["path"].split("/")[-1]: r["frames"] for r in WV.headers(spark, str(tmp_path)).collect()}
+    assert got == {f"{n}.wav": 40_000 for n in ("a", "b", "c", "d", "plain")}
+
+
 def test_metadata_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_text("audio_path,utterance_id,label,duration_sec\nx/1.wav,0007,1,2.5\nx/2.wav,0008,0,NaN\n")
     cols = ["audio_path", "utterance_id", "label", "duration_sec"]
