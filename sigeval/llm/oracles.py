@@ -109,3 +109,51 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+# The CRC-32 takes its key bit by bit; edits are found from the first row to the last, as the least (cost, initials) of each state.
+ORACLES["op13_dialogue_repair"] = r"""
+WITH RECURSIVE
+k AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    concat_ws(':', coalesce(conv_id::VARCHAR, ' '), coalesce(turn::VARCHAR, ' ')) AS name FROM conversations),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(name) + 1),
+      lambda i: [ascii(substr(name, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda x, b: xor(xor(x, b) >> 1, 3988292384::BIGINT * (xor(x, b) & 1))), 4294967295::BIGINT) % 20 AS kind FROM k),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM n),
+moves AS (SELECT * FROM (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')) AS m(s, t, said)),
+-- before a row: none, one or two inserted rows
+ways AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (1, 2, 1), (2, 3, 1), (3, 2, 1), (0, 3, 2), (1, 3, 2)) AS w(s, t, added)),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit, '' AS said FROM k
+  UNION ALL
+  SELECT conv_id, i, s, cost, audit, said FROM (
+    SELECT f.conv_id, f.i, e.s, p.cost + 2 * w.added + e.cost AS cost, p.audit || repeat('I', w.added) || e.initial AS audit,
+      p.said || CASE WHEN w.added = 0 THEN '' WHEN w.added = 2 THEN 'user:' || chr(10) || 'assistant:' || chr(10)
+        WHEN w.t = 2 THEN 'user:' || chr(10) ELSE 'assistant:' || chr(10) END || e.said AS said,
+      row_number() OVER (PARTITION BY f.conv_id, e.s ORDER BY p.cost + 2 * w.added + e.cost, p.audit || repeat('I', w.added) || e.initial) AS best
+    FROM walk p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN ways w ON w.s = p.s,
+    LATERAL (
+      SELECT w.t AS s, 3 AS cost, 'D' AS initial, '' AS said
+      UNION ALL SELECT m.t, CASE WHEN f.fault = 't' THEN 1 ELSE 0 END, 'K', f.role || ':' || f.text || chr(10)
+        FROM moves m WHERE m.s = w.t AND m.said = substr(f.role, 1, 1) AND f.fault IN ('', 't')
+      UNION ALL SELECT m.t, CASE WHEN f.fault = 't' THEN 3 ELSE 2 END, 'R', CASE m.said WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text || chr(10)
+        FROM moves m WHERE m.s = w.t AND m.said <> 's' AND f.fault IN ('', 't')) AS e) AS x
+  WHERE best = 1),
+finished AS (SELECT p.conv_id, p.cost + 2 * w.added AS cost, p.audit || repeat('I', w.added) AS audit,
+    p.said || CASE WHEN w.added = 0 THEN '' WHEN w.added = 2 THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE 'assistant:' || chr(10) END AS said,
+    row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + 2 * w.added, p.audit || repeat('I', w.added)) AS best
+  FROM walk p JOIN (SELECT conv_id, max(i) AS i FROM walk GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.i = p.i
+  JOIN ways w ON w.s = p.s AND (w.t = 3 OR w.t = 0)),
+counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT r.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, r.cost::BIGINT AS cost, audit,
+  sha256(CASE WHEN said = '' THEN '' ELSE left(said, len(said) - 1) END) AS repaired_sha256
+FROM finished r LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM r.conv_id WHERE best = 1"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, mixing, secrets, separators, sharding, simhash, toxicity, url_reputation
+from . import decontaminate, dialogue, exact_dedup, language, mixing, secrets, separators, sharding, simhash, toxicity, url_reputation
 from .common import read_table
 from .oracles import ORACLES  # noqa: F401
 
@@ -89,3 +89,9 @@ def op8_token_counts(spark, sf_dir):
     order = separators.write_tokens(read_table(spark, sf_dir, "documents"), root)
     counted = separators.scan(order.where("ordinal = 0"), root)
     return order.join(counted, ["file", "ordinal"]).select("doc_id", "ordinal", "start", "n_tokens")
+
+
+@query
+def op13_dialogue_repair(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogue.report(rows, dialogue.damaged(rows))
