@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, dialogue, exact_dedup, language, mixing, secrets, separators, sharding, simhash, toxicity, url_reputation
+from . import alignment, decontaminate, dialogue, exact_dedup, language, mixing, secrets, separators, sharding, simhash, toxicity, url_reputation
 from .common import read_table
 from .oracles import ORACLES  # noqa: F401
 
@@ -95,3 +95,8 @@ def op8_token_counts(spark, sf_dir):
 def op13_dialogue_repair(spark, sf_dir):
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return dialogue.report(rows, dialogue.damaged(rows))
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    return alignment.alignment(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
