@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, dialogue, exact_dedup, language, mixing, secrets, separators, sharding, simhash, toxicity, url_reputation
+from . import alignment, context_mixing, decontaminate, dialogue, exact_dedup, language, mixing, secrets, separators, sharding, simhash, toxicity, url_reputation
 from .common import read_table
 from .oracles import ORACLES  # noqa: F401
 
@@ -100,3 +100,12 @@ def op13_dialogue_repair(spark, sf_dir):
 @query
 def op12_token_alignment(spark, sf_dir):
     return alignment.alignment(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_context_mixing(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = context_mixing.held_out(F.col("doc_id")).alias("held_out")
+    model = context_mixing.fit(docs.where(~held))
+    scored = context_mixing.score(docs, model)
+    return scored.select("doc_id", held, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
