@@ -31,7 +31,7 @@ ORDERS = (2, 4)  # bytes of the contexts before that of the word
 SLOTS = (19, 19, 19)
 BLOCK = 1 << 12  # slots that are added up together
 CHUNK = 1 << 18  # bytes of texts that are scored side by side
-PART = 1 << 15  # symbols whose decisions are held at once
+PART = 1 << 13  # symbols whose decisions are held at once
 LIMIT = 8.0  # largest log odds of a predictor
 SCALE = 4000  # log odds are kept as 16-bit integers in parts of 1 / SCALE
 PRIOR = 0.4
