@@ -16,6 +16,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,16 +100,18 @@ def pieces(text: str, size: int) -> list[str]:
     return [*out, text[first:]]
 
 
-def tokens_of(texts: list[str], later: list[bool], vocabularies: tuple[Vocabulary, Vocabulary]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Ids by both vocabularies of space+text, or of the text itself where it is a `later` piece of one.
+def piece_ids(texts: list[str], later: list[bool], vocabulary: Vocabulary) -> list[bytes | None]:
+    """Ids of space+text, or of the text itself where it is a `later` piece of one; None where they do not give it back.
 
-    The second encoder adds a space. That is the one a later piece starts with, or else comes before a line feed, where it is
-    a token of its own and taken away again.
+    The encoder adds a space. That is the one a later piece starts with, or else comes before a line feed, where it is a
+    token of its own and taken away again.
     """
-    a = vocabularies[0].encode([t if x else f" {t}" for t, x in zip(texts, later, strict=True)])
-    b = vocabularies[1].encode([t[1:] if x and t[0] == " " else t for t, x in zip(texts, later, strict=True)])
-    b = [ids[1:] if x and t[0] == "\n" else ids for ids, t, x in zip(b, texts, later, strict=True)]
-    return tuple([np.array(ids, dtype=np.uint16) for ids in own] for own in (a, b))
+    found, out = vocabulary.encode([t[1:] if x and t[0] == " " else t for t, x in zip(texts, later, strict=True)]), []
+    for ids, text, x in zip(found, texts, later, strict=True):
+        ids = ids[1:] if x and text[0] == "\n" else ids
+        whole = b"".join(map(vocabulary.tokens.__getitem__, ids)) == (text if x else f" {text}").encode()
+        out.append(array("H", ids).tobytes() if whole else None)
+    return out
 
 
 # ---------------------------------------------------------------- alignment
@@ -204,6 +207,16 @@ def fragments(a: np.ndarray, b: np.ndarray, lengths: tuple, size: int) -> list[t
     return out
 
 
+def sizes(a: list[bytes], b: list[bytes], lengths: tuple) -> tuple[list[int], list[int]]:
+    """Groups and links of several texts, from their ids."""
+    owner = np.repeat(np.arange(len(b)), [len(x) // 2 for x in b])
+    own = align(*(v[np.frombuffer(b"".join(x), np.uint16)] for v, x in zip(lengths, (a, b), strict=True)))
+    if not len(owner):
+        return [0] * len(a), [0] * len(a)
+    text = owner[own.link_b]
+    return np.bincount(text[own.cut], minlength=len(a)).tolist(), np.bincount(text, minlength=len(a)).tolist()
+
+
 # ---------------------------------------------------------------- tasks
 def _chunks(rows: list, size) -> list:
     part, total = [], 0
@@ -217,44 +230,44 @@ def _chunks(rows: list, size) -> list:
         yield part
 
 
-def _encoded(texts: list[str], later: list[bool], paths: tuple[str, str]):
-    """Ids by both vocabularies, and whether each text comes out of both unchanged."""
-    both = byte_vocabulary(paths[0]), piece_vocabulary(paths[1])
-    found, ok = tokens_of(texts, later, both), []
-    for k, text in enumerate(texts):
-        wanted = (text if later[k] else f" {text}").encode()
-        ok.append(all(b"".join(map(v.tokens.__getitem__, ids[k].tolist())) == wanted for v, ids in zip(both, found, strict=True)))
-    return *found, ok
+def _encoded(texts: list[str], later: list[bool], paths: tuple[str, str]) -> list[tuple[bytes, bytes, bool]]:
+    """Ids by both vocabularies, and whether each text comes out of both unchanged.
+
+    The first has a token for every byte and no normalisation, so the number of bytes tells it.
+    """
+    vocabulary, out = byte_vocabulary(paths[0]), []
+    whole = [t if x else f" {t}" for t, x in zip(texts, later, strict=True)]
+    for text, ids, b in zip(whole, vocabulary.encode(whole), piece_ids(texts, later, piece_vocabulary(paths[1])), strict=True):
+        a = array("H", ids)
+        ok = b is not None and int(vocabulary.lengths[np.frombuffer(a, np.uint16)].sum()) == len(text.encode())
+        out.append((a.tobytes(), b or b"", ok))
+    return out
 
 
+#: Of whole texts; a piece of a long one has its text instead.
 TOKENS = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("piece", pa.string()), ("ok", pa.bool_()), ("groups", pa.int64()), ("links", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 PARTS = ("prefix_a", "prefix_b", "a", "b", "suffix_a", "suffix_b")
 FRAGMENTS = pa.schema([("row", pa.int64()), ("at", pa.int64()), ("ok", pa.bool_()), ("cut", pa.bool_()), *[(c, pa.binary()) for c in PARTS], ("groups", pa.int64()), ("links", pa.int64())])
 
 
 def _tokenised(paths: tuple[str, str], size: int):
-    """(row, text) to the whole fragment of each text, or to the pieces of a long one."""
+    """(doc_id, row, text) to the ids of each text, or to the pieces of a long one."""
 
     def run(batches):
         lengths = byte_vocabulary(paths[0]).lengths, piece_vocabulary(paths[1]).lengths
         for batch in batches:
-            rows = list(zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True))
-            for part in _chunks(rows, lambda r: len(r[1])):
-                long = [(row, k, x) for row, text in part if len(text) > size for k, x in _placed(pieces(text, size))]
-                if long:
-                    yield pa.RecordBatch.from_pylist([{"row": r, "at": k, "piece": x} for r, k, x in long], TOKENS)
-                short = [r for r in part if len(r[1]) <= size]
-                if not short:
-                    continue
-                a, b, ok = _encoded([t for _, t in short], [False] * len(short), paths)
-                out = []
-                for (row, _), x, y, good in zip(short, a, b, ok, strict=True):
-                    own = align(lengths[0][x], lengths[1][y]) if good else None
-                    out.append(
-                        {"row": row, "at": 0, "ok": good, "groups": int(own.cut.sum()) if good else 0, "links": len(own.cut) if good else 0}
-                        | {"a": x.tobytes() if good else b"", "b": y.tobytes() if good else b""}
-                    )
-                yield pa.RecordBatch.from_pylist(out, TOKENS)
+            schema = TOKENS.append(batch.schema.field("doc_id"))
+            rows = list(zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), (t or "" for t in batch["text"].to_pylist()), strict=True))
+            for part in _chunks(rows, lambda r: len(r[2])):
+                out = [{"doc_id": d, "row": row, "at": k, "piece": x} for d, row, text in part if len(text) > size for k, x in _placed(pieces(text, size))]
+                short = [r for r in part if len(r[2]) <= size]
+                found = _encoded([r[2] or "x" for r in short], [False] * len(short), paths)
+                good = [ok and bool(r[2]) for r, (_, _, ok) in zip(short, found, strict=True)]
+                a, b = ([x[k] if g else b"" for x, g in zip(found, good, strict=True)] for k in (0, 1))
+                groups, links = sizes(a, b, lengths)
+                columns = zip(short, good, a, b, groups, links, strict=True)
+                out += [{"doc_id": d, "row": row, "at": 0, "ok": g, "a": x, "b": y, "groups": n, "links": m} for (d, row, _), g, x, y, n, m in columns]
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
@@ -281,8 +294,8 @@ def _fragmented(paths: tuple[str, str], size: int):
         lengths = byte_vocabulary(paths[0]).lengths, piece_vocabulary(paths[1]).lengths
         for batch in batches:
             for row, at, text in zip(*(batch[c].to_pylist() for c in ("row", "at", "piece")), strict=True):
-                (a,), (b,), (ok,) = _encoded([text], [at > 0], paths)
-                found = fragments(a, b, lengths, size) if ok else [(0, Fragment(False, False, NONE, NONE, NONE, 0, 0))]
+                ((a, b, ok),) = _encoded([text], [at > 0], paths)
+                found = fragments(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), lengths, size) if ok else [(0, Fragment(False, False, NONE, NONE, NONE, 0, 0))]
                 yield pa.RecordBatch.from_pylist([_row(row, at + low, own) for low, own in found], FRAGMENTS)
 
     return run
@@ -320,21 +333,22 @@ def _kind(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def tokens(texts: DataFrame, paths: tuple[str, str] = (BYTE_LEVEL, PIECES), size: int = RANGE) -> DataFrame:
-    """(row, text) to (row, ok, groups, links, a, b), with the ids of both tokenisations as 16-bit numbers.
+def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tuple[str, str] = (BYTE_LEVEL, PIECES), size: int = RANGE) -> tuple[DataFrame, DataFrame]:
+    """(row, ok, groups, links, a, b) of every text, with the ids of both tokenisations as 16-bit numbers, and (row, doc_id).
 
-    Texts that are not NULL or empty have a row; `ok` is false for one that either vocabulary does not give back.
+    `ok` is false for a text that is NULL or empty, or that a vocabulary does not give back.
     """
-    rows = texts.where("text <> ''").select("row", "text")
-    first = stage(rows.mapInArrow(_tokenised(paths, size), _kind(TOKENS)))
+    rows = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
+    first = stage(rows.mapInArrow(_tokenised(paths, size), f"{_kind(TOKENS)}, doc_id {docs.schema[key].dataType.simpleString()}"))
     parts = first.where("piece IS NOT NULL").select("row", "at", "piece").repartition("row", "at")
     level = stage(parts.mapInArrow(_fragmented(paths, size), _kind(FRAGMENTS)))
     most, span = level.agg(F.max("at")).first()[0], size
     while most is not None and span <= most:  # one range for all that a text has
         span *= FAN
         level = stage(level.groupBy("row", F.floor(F.col("at") / span)).applyInPandas(_reduced(paths), _kind(FRAGMENTS)))
-    roots = level.mapInArrow(_roots(paths), _kind(TOKENS))
-    return stage(first.where("piece IS NULL").unionByName(roots).select("row", "ok", "groups", "links", "a", "b"))
+    roots = stage(level.mapInArrow(_roots(paths), _kind(TOKENS)))
+    own = ["row", "ok", "groups", "links", "a", "b"]
+    return first.where("piece IS NULL").select(*own).unionByName(roots.select(*own)), first.where("at = 0").select("row", "doc_id")
 
 
 def _whole(batches, lengths):
@@ -421,8 +435,7 @@ def alignment(
     a vocabulary does not give back, have zeros and an empty string. Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = stage(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")))
-    found = tokens(rows, paths, size)
+    found, rows = tokens(docs, key, text, paths, size)
     counts = stage(found.mapInArrow(_counted(paths), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     best = np.zeros(1 << 16, np.int64)
     tops = counts.groupBy(F.shiftright("key", 16).alias("b")).agg(F.max("n").alias("n"))
@@ -438,7 +451,7 @@ def alignment(
     rest = rest.join(others.select("key", "n", (F.col("n") == F.col("top")).alias("is_top")), "key")
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("more_sum"), F.sum(F.when(F.col("is_top"), F.col("times"))).alias("more_best"))
     zero = F.lit(0).cast("long")
-    out = rows.select("doc_id", "row").join(scored.drop("rest"), "row", "left").join(rest, "row", "left")
+    out = rows.join(scored.drop("rest"), "row", "left").join(rest, "row", "left")
     return out.select(
         "doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links")],
         (F.coalesce("n_best", zero) + F.coalesce("more_best", zero)).alias("n_best"),

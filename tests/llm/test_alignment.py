@@ -92,9 +92,14 @@ def test_pieces_are_tokenised_like_the_whole(spark):
     for text in texts:
         parts = alignment.pieces(text, 10)
         assert "".join(parts) == text
-        found = alignment.tokens_of(parts, [k > 0 for k in range(len(parts))], both)
-        whole = alignment.tokens_of([text], [False], both)
-        assert all((np.concatenate(x) == y[0]).all() for x, y in zip(found, whole))
+        later = [k > 0 for k in range(len(parts))]
+        whole = both[0].encode([f" {text}"])[0], both[1].encode([text])[0]
+        assert sum(both[0].encode([p if x else f" {p}" for p, x in zip(parts, later)]), []) == whole[0]
+        pieces = alignment.piece_ids(parts, later, both[1])
+        (joined,) = alignment.piece_ids([text], [False], both[1])
+        assert (None if None in pieces else b"".join(pieces)) == joined and (joined is None) == ("▁" in text)
+        ((a, b, ok),) = alignment._encoded([text], [False], PATHS)
+        assert a == np.array(whole[0], np.uint16).tobytes() and ok == (joined is not None) and b == (joined or b"")
 
 
 def test_long_runs_are_tokenised(spark):
