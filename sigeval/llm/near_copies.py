@@ -1,9 +1,10 @@
 """Near copies: fingerprints within two bits (operator 6), and all pairs of texts whose shingle sets are similar.
 
 The second search is an exact prefix-filtered set join. Sets with Jaccard >= `at` share one of the first
-|s| - ceil(at |s|) + 1 shingles of each in any order that is common to all sets. The order used puts shingles that are
-frequent in a sample of documents last, so that a common passage makes no long lists; the sample decides the order only,
-never a result. Postings are packed and shuffled once; lists of a single document end there.
+|s| - ceil(at |s|) + 1 shingles of each in any order that is common to all sets. The order used puts frequent shingles last, so
+that a common passage makes no long lists: all shingles of all texts are counted in a fixed number of hashed counters, and shingles go by
+the size of theirs. The counters decide the order only, never a result. Postings are packed and shuffled once; lists of a single
+document end there.
 
 Only components matter, so pairs that are linked already are not compared: each list first compares its members
 with one of them, and then what is still in different components pairwise. Equal sets are one node.
@@ -20,13 +21,13 @@ from . import bytewords as B
 from . import simhash
 from .common import stage
 from .components import components
+from .decontaminate import bitmap
 
 WORDS = 5
 SIMILAR = 0.8
-SAMPLE = 2000  # documents whose shingles are counted for the order
-OFTEN = 3
-MOST = 1 << 18  # shingles put last
-BITS = 24  # bitmap of the sets that are compared; a fuller one only lets more through to the join
+COUNTERS = 20  # counters of shingles, as a power of two: a byte each is broadcast
+BLOCK = 1 << 12  # counters that are added up together
+BITS = 24  # bitmap of the rows whose sets are compared; a fuller one only lets more through to the join
 
 
 def _sets(chunk: B.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,29 +76,61 @@ def _nodes(n: int):
     return run
 
 
-def _members(n: int, bits=None):
-    """(row, text) to (node, shingles) with the shingles as bytes, of the nodes in the bitmap or of all."""
+def _members(n: int, bits):
+    """(row, place, text) to (row, shingles) with the shingles as bytes, of the rows whose place is in the bitmap."""
 
     def run(batches):
         for batch in batches:
+            place = batch["place"].to_numpy().astype(np.uint64)
+            known = (bits.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+            batch = batch.filter(pa.array(known.astype(bool)))
+            rows = batch["row"].to_numpy()
             for chunk in B.chunks(batch["text"]):
-                owner, value = _sets(chunk, n)
-                full, first, sizes, digest = _digests(owner, value)
-                place = digest >> np.uint64(64 - BITS)
-                keep = np.arange(len(full)) if bits is None else np.flatnonzero(bits.value[place.astype(np.int64)])
-                parts = [value[first[k] : first[k] + sizes[k]].tobytes() for k in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(digest[keep].view(np.int64)), pa.array(parts, pa.binary())], ["node", "shingles"])
+                full, first, sizes, _ = _digests(*(found := _sets(chunk, n)))
+                parts = [found[1][a : a + k].tobytes() for a, k in zip(first.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[chunk.first + full]), pa.array(parts, pa.binary())], ["row", "shingles"])
+
+    return run
+
+
+def _counted(n: int):
+    """Counters of the shingles of a task, by blocks."""
+
+    def run(batches):
+        counts = np.zeros(1 << COUNTERS, dtype=np.uint32)
+        for batch in batches:
+            for chunk in B.chunks(batch["text"]):
+                counts += np.bincount((_sets(chunk, n)[1] >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+        for block in range(len(counts) // BLOCK):
+            part = counts[block * BLOCK : (block + 1) * BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
 
     return run
 
 
-def _exploded(batches):
+def _levels(batches):
+    """Sums of blocks of counters as eighths of powers of two. There are 2^COUNTERS / BLOCK blocks, whatever the input."""
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        found = [np.frombuffer(x, dtype=np.int64) for x in batch["shingles"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["shingle"])
+        for block, counts in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            own = sums.setdefault(block, np.zeros(BLOCK, dtype=np.int64))
+            own += np.frombuffer(counts, dtype=np.uint32)
+    for block, own in sums.items():
+        level = np.minimum(np.log2(own + 1.0) * 4, 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "levels"])
+
 
+def levels(texts: DataFrame, n: int) -> np.ndarray:
+    """How frequent the shingles of each counter are in all texts."""
+    counted = texts.select("text").mapInArrow(_counted(n), "block int, counts binary").repartition("block")
+    out = np.zeros(1 << COUNTERS, dtype=np.uint8)
+    for row in counted.mapInArrow(_levels, "block int, levels binary").collect():  # one byte for each counter
+        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.levels, dtype=np.uint8)
+    return out
 
-def _postings(n: int, at: float, last, parts: int):
+
+def _postings(n: int, at: float, level, parts: int):
     """(row, text) to packed postings (part, high, low, token): 16 bits of the row and 32 of the shingle for each."""
 
     def run(batches):
@@ -107,9 +140,7 @@ def _postings(n: int, at: float, last, parts: int):
                 owner, value = _sets(chunk, n)
                 if not len(owner):
                     continue
-                common = last.value
-                where = np.minimum(np.searchsorted(common, value), max(len(common) - 1, 0))
-                late = common[where] == value if len(common) else np.zeros(len(value), bool)
+                late = level.value[(value >> np.uint64(64 - COUNTERS)).astype(np.int64)]
                 order = np.lexsort((value, late, owner))
                 owner, value = owner[order], value[order]
                 _, first, sizes = np.unique(owner, return_index=True, return_counts=True)
@@ -133,22 +164,31 @@ def _postings(n: int, at: float, last, parts: int):
 
 
 def _lists(batches):
-    """Packed postings of whole parts to (list, row), without the lists of one row."""
-    names, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    """Packed postings, sorted by part, to (list, row), without the lists of one row. One part is held at a time."""
+    part, names, rows = None, [], []
+
+    def done():
+        name, row = np.concatenate(names), np.concatenate(rows)
+        order = np.argsort(name, kind="stable")
+        name, row = name[order], row[order]
+        shared = np.zeros(len(name), bool)
+        same = name[1:] == name[:-1]
+        shared[1:] |= same
+        shared[:-1] |= same
+        name, row = (part << 32) + name[shared].astype(np.int64), row[shared]
+        for k in range(0, len(name), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(name[k : k + (1 << 16)]), pa.array(row[k : k + (1 << 16)])], ["list", "row"])
+
     for batch in batches:
-        for part, high, low, token in zip(*(batch[c].to_pylist() for c in ("part", "high", "low", "token")), strict=True):
-            names.append((part << 32) + np.frombuffer(token, dtype=np.uint32).astype(np.int64))
+        for next_part, high, low, token in zip(*(batch[c].to_pylist() for c in ("part", "high", "low", "token")), strict=True):
+            if next_part != part and names:
+                yield from done()
+                names, rows = [], []
+            part = next_part
+            names.append(np.frombuffer(token, dtype=np.uint32))
             rows.append((high << 16) + np.frombuffer(low, dtype=np.uint16).astype(np.int64))
-    names, rows = np.concatenate(names), np.concatenate(rows)
-    order = np.argsort(names, kind="stable")
-    names, rows = names[order], rows[order]
-    same = names[1:] == names[:-1]
-    shared = np.zeros(len(names), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    names, rows = names[shared], rows[shared]
-    for k in range(0, len(names), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(names[k : k + (1 << 16)]), pa.array(rows[k : k + (1 << 16)])], ["list", "row"])
+    if names:
+        yield from done()
 
 
 def _similar(at: float):
@@ -164,14 +204,13 @@ def _similar(at: float):
     return run
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, n: int, at: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    places = ends.select(F.shiftrightunsigned("node", 64 - BITS).alias("p")).distinct().toPandas()["p"].to_numpy(dtype=np.int64)
-    bits = np.zeros(1 << BITS, dtype=bool)
-    bits[places] = True
-    marked = texts.sparkSession.sparkContext.broadcast(bits)
-    sets = stage(texts.mapInArrow(_members(n, marked), "node long, shingles binary").dropDuplicates(["node"]))
+def _verified(texts: DataFrame, first: DataFrame, pairs: DataFrame, n: int, at: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar. `first` has one row of each node, and only those are read again."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stage(ends.join(first, "node").select("node", "row"))
+    marked = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("row").alias("shingle"))))
+    placed = texts.select("row", F.shiftrightunsigned(F.xxhash64("row"), 64 - BITS).alias("place"), "text")
+    sets = stage(placed.mapInArrow(_members(n, marked), "row long, shingles binary").join(wanted, "row").select("node", "shingles"))
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     return stage(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_similar(at), "a long, b long"))
@@ -203,15 +242,11 @@ def similar_links(texts: DataFrame, labelled: DataFrame, n: int = WORDS, at: flo
     equal = own.select("node", F.col("lab").alias("a")).join(labels.select("node", F.col("lab").alias("b")), "node")
     links = stage(equal.where("a <> b").select("a", "b").distinct())
 
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    seen = sample.mapInArrow(_members(n), "node long, shingles binary").mapInArrow(_exploded, "shingle long")
-    often = seen.groupBy("shingle").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "shingle").limit(MOST)
-    last = spark.sparkContext.broadcast(np.sort(often.toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64)))
-
+    first = stage(nodes.groupBy("node").agg(F.min("row").alias("row")))
+    level = spark.sparkContext.broadcast(levels(texts, n))
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = texts.mapInArrow(_postings(n, at, last, parts), "part int, high long, low binary, token binary")
-    lists = packed.repartition("part").mapInArrow(_lists, "list long, row long")
+    packed = texts.mapInArrow(_postings(n, at, level, parts), "part int, high long, low binary, token binary")
+    lists = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_lists, "list long, row long")
     lists = stage(lists.join(nodes.select("row", "node"), "row").select("list", "node").distinct())
 
     fits = (F.col("x.size") >= F.col("y.size") * F.lit(at) - 1e-9) & (F.col("y.size") >= F.col("x.size") * F.lit(at) - 1e-9)
@@ -241,14 +276,14 @@ def similar_links(texts: DataFrame, labelled: DataFrame, n: int = WORDS, at: flo
     rest = open_lists(labels)
     head = rest.groupBy("list").agg(F.min(F.struct("node", "size", "lab")).alias("y")).select("list", "y.*")
     tested = stage(candidates(rest.alias("x").join(head.alias("y"), "list").where("x.lab <> y.lab")))
-    links = stage(links.union(_ends(_verified(texts, tested, n, at), labels)))
+    links = stage(links.union(_ends(_verified(texts, first, tested, n, at), labels)))
 
     # what is still apart, pairwise
     labels = stage(_relabelled(labels, links))
     rest = open_lists(labels)
     both = rest.alias("x").join(rest.alias("y"), "list").where("x.node < y.node AND x.lab <> y.lab")
     more = stage(candidates(both).join(tested, ["a", "b"], "left_anti"))
-    return links.union(_ends(_verified(texts, more, n, at), labels))
+    return links.union(_ends(_verified(texts, first, more, n, at), labels))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, at: float = SIMILAR) -> DataFrame:

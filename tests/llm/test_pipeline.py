@@ -17,7 +17,7 @@ from sigeval.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     rel = con.execute(ORACLES[name])
@@ -28,7 +28,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
@@ -40,6 +40,19 @@ def test_scoring_queries_return_every_row(spark, prefix):
     assert got.score.between(0, 1).all()
 
 
+def near_groups(texts):
+    """Lowest position each text is linked to: fingerprints within two bits, or 0.8 of the shingles of five words."""
+    w = [plain((t or "").translate(LOW)) for t in texts]
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in w]
+    fps = [fingerprint(t) for t in texts]
+    alike = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = [[j for j in range(len(texts)) if (fps[i] ^ fps[j]).bit_count() <= 2 or alike(i, j)] for i in range(len(texts))]
+    label = list(range(len(texts)))
+    while label != (new := [min(label[j] for j in near[i]) for i in range(len(texts))]):
+        label = new
+    return label
+
+
 def test_pipeline_matches_a_plain_version(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 90").withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3))
     odd = [(1000, None, "en", "s0", 0), (1001, "", "en", "s1", 0), (1002, "123", "en", "s1", 3), (1003, f"x {PASSAGE} y", "en", "s2", 9)]
@@ -52,7 +65,7 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
     kept = [r for r in table.collect() if r.text and re.search(r"[^\W\d_]", r.text)]
-    label = groups_within([fingerprint(r.text) for r in kept])
+    label = near_groups([r.text for r in kept])
     best = {}
     for g, r in zip(label, kept):
         best[g] = min(best.get(g, r), r, key=lambda x: x.doc_id)
@@ -62,6 +75,10 @@ def test_pipeline_matches_a_plain_version(spark, tmp_path):
     assert 1003 not in {r.doc_id for r in clean} and 7 not in {r.doc_id for r in clean}
 
     assert {r.doc_id for r in got} <= {r.doc_id for r in clean}
+    docs = table
+    for _, stage in corpus_pipeline.STAGES[:3]:  # exactly the clean documents come to the mixing stage
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in clean)
     size, taken = defaultdict(int), defaultdict(int)
     for r in clean:
         size[r.source] += len(plain(r.text))
@@ -99,14 +116,7 @@ def test_near_copies_above_a_shingle_similarity(spark):
     texts += ["one two three", "One  two\tthree", "one two", "", None, "   "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
-    w = [plain((t or "").translate(LOW)) for t in texts]
-    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} if x else set() for x in w]
-    fps = [fingerprint(t) for t in texts]
-    alike = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    near = [[j for j in range(len(texts)) if (fps[i] ^ fps[j]).bit_count() <= 2 or alike(i, j)] for i in range(len(texts))]
-    label = list(range(len(texts)))
-    while label != (new := [min(label[j] for j in near[i]) for i in range(len(texts))]):
-        label = new
+    label = near_groups(texts)
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
     assert got == set(label)
-    assert len(got) < len(set(groups_within(fps)))  # two bits alone keep more
+    assert len(got) < len(set(groups_within([fingerprint(t) for t in texts])))  # two bits alone keep more
