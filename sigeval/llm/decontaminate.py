@@ -4,7 +4,8 @@ A window is a number of consecutive words of a benchmark item, and a document th
 shingles. So it is enough to join the documents on one shingle of each window, and the rarest one gives the fewest
 candidates (for full containment the necessary prefix has length one). The scan of the documents keeps only stretches of
 words whose shingles may be in the benchmark, which a bitmap of fixed size tells, and drops stretches shorter than
-the shortest window. The frequencies, the join, its positional bounds and the exact comparison of words run on those.
+the shortest window. A long stretch is cut into pieces that overlap by a window, so that no row grows with the text. The
+frequencies, the join, its positional bounds and the exact comparison of words run on those.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .url_reputation import LOWER, UPPER
 
 WINDOW = 10
 SHINGLE = 5
+PIECE = 64  # words of a stretch that are in one row
 BITS = 24  # the bitmap has 2^BITS bits whatever the size of the benchmark; a fuller one only lets more through
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -65,9 +67,15 @@ def bitmap(shingles: DataFrame) -> np.ndarray:
 RUN = pa.struct([("start", pa.int32()), ("words", pa.string()), ("at", pa.list_(pa.int32())), ("shingle", pa.list_(pa.int64()))])
 
 
+def _pieces(first: int, last: int, longest: int) -> list[tuple[int, int]]:
+    """[first, last) as ranges of bounded size that together hold every range of at most `longest`."""
+    size = max(PIECE, 4 * longest)
+    return [(a, min(a + size, last)) for a in range(first, max(last - longest + 1, first + 1), size - longest + 1)]
+
+
 def _stretches(bits, lengths: list[int], shortest: int):
     """Scan of (doc_id, k1, k2, text): adds n_words and the stretches of words that may hold a window."""
-    sizes = sorted({min(SHINGLE, n) for n in lengths})
+    sizes, longest = sorted({min(SHINGLE, n) for n in lengths}), max(lengths, default=0)
 
     def run(batches):
         for batch in batches:
@@ -98,7 +106,8 @@ def _stretches(bits, lengths: list[int], shortest: int):
                 order = np.argsort(at, kind="stable")
                 at, shingle = at[order], shingle[order].view(np.int64)
                 begin = np.searchsorted(doc, np.arange(len(chunk.starts)))
-                for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
+                ranges = [p for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True) for p in _pieces(a, b, longest)]
+                for a, b in ranges:
                     base = begin[doc[a]]
                     i, j = np.searchsorted(at, [a, b])
                     text = b" ".join(data[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)).decode()
