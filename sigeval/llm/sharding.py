@@ -102,7 +102,8 @@ def shard(
     # an item is what is placed as a whole: a bundle, a large group, or one piece of a split group
     item = F.col("unit") * (1 << 20) + F.when(F.col("split"), F.col("piece")).otherwise(0)
     units = tagged.select("own.*", "unit", "piece", item.alias("item")).groupBy("item", "unit", "piece").agg(*sums)
-    placed = units.coalesce(1).mapInPandas(_pack(shards), "unit long, piece int, shard int, base long")
+    # summed up before it is one task's: at most 7 x shards x bundles rows
+    placed = stage(units).coalesce(1).mapInPandas(_pack(shards), "unit long, piece int, shard int, base long")
     placed = stage(placed)
     joined = tagged.join(F.broadcast(placed), ["unit", "piece"])  # at most 7 x shards x bundles rows
     inside = Window.partitionBy("unit", "piece").orderBy("own.doc_id", "own.digest")
