@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import uuid
 
 import numpy as np
@@ -36,17 +37,32 @@ def encoder(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Long runs of white space (the characters that the pattern's \\s means), which the pattern's search would follow too deep.
+_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{256,}")
+
+
+def encoded(own: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text. By the pattern a run of white space is one part, but for its last character if a text follows it."""
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        last = run.end() if run.end() == len(text) else run.end() - 1
+        out += own.encode_ordinary(text[at : run.start()])
+        out += own._encode_single_piece(text[run.start() : last].encode())
+        at = last
+    return [*out, *own.encode_ordinary(text[at:])]
+
+
 # ---------------------------------------------------------------- writing
 def _written(root: str, vocabulary: str, end: int):
     def run(batches):
-        encode = encoder(vocabulary).encode_ordinary
+        own = encoder(vocabulary)
         files, folder = pyarrow.fs.FileSystem.from_uri(root)
         path, sink, ordinal = f"{folder}/{uuid.uuid4().hex}.tokens", None, 0
         try:
             for batch in batches:
                 sink = sink or files.open_output_stream(path)
                 for text in batch["text"]:
-                    sink.write(np.array([*encode(text.as_py()), end], dtype="<u2").tobytes())
+                    sink.write(np.array([*encoded(own, text.as_py()), end], dtype="<u2").tobytes())
                 number = pa.array(np.arange(ordinal, ordinal + batch.num_rows))
                 ordinal += batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([path] * batch.num_rows), number, batch["doc_id"]], ["file", "ordinal", "doc_id"])

@@ -134,6 +134,22 @@ def test_contamination_matches_a_plain_version(spark, docs, none):
     assert {r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_a_long_passage_in_item_and_document(spark):
+    words = [f"w{k % 4999}x{k % 31}" for k in range(50_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "before " + " ".join(words[100:109])), (3, "a b " + " ".join(words[40_000:40_300]) + " c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (50_000, 50_000, ["7"]), 2: (10, 0, []), 3: (303, 300, ["7"])}
+
+
+def test_pieces_hold_every_window():
+    for first, last, longest in ((0, 5, 10), (3, 70, 10), (0, 64, 10), (0, 65, 10), (7, 1000, 10), (0, 300, 40), (0, 10, 1)):
+        ranges = decontaminate._pieces(first, last, longest)
+        assert max(b - a for a, b in ranges) <= max(decontaminate.PIECE, 4 * longest) and ranges[0][0] == first and ranges[-1][1] == last
+        for n in range(1, longest + 1):
+            assert all(any(a <= k and k + n <= b for a, b in ranges) for k in range(first, last - n + 1))
+
+
 def test_host_reputation(spark):
     rows = [(k, f"http://bad.org/en/{k}") for k in range(5)] + [(5, None), (6, "no scheme"), (7, "HTTP://A.B.Example.COM:80/en/x?q#f"), (8, "http://x.com"), (8, "http://x.com")]
     rows += [(9, "http://x.net/es/1"), (10, "http://x.net/de/1"), (11, "https://www.example.com/en/"), (None, "a://b://c/d")]
@@ -304,6 +320,18 @@ def test_separator_scan_matches_the_tokenizer(spark, docs, none):
     assert separators.scan(separators.write_tokens(none, root).select("file"), root).count() == 0
 
 
+def test_long_runs_are_encoded_as_by_the_pattern(spark):
+    own = separators.encoder(separators.VOCABULARY)
+    for run in (" " * 300, "\n" * 257, " \n" * 200, "\t\u3000 " * 100, " " * 255):
+        for text in (run, f"a{run}", f"{run}b", f"a{run}b 1{run}{run}!", f"a{run}\x1cb"):
+            assert separators.encoded(own, text) == own.encode_ordinary(text)
+    rows = spark.createDataFrame([(1, " " * 1_000_000), (2, "=" * 1_000_000), (3, "x" + "\n " * 500_000 + "y")], "doc_id long, text string")
+    root = separators.token_folder(spark)
+    order = separators.write_tokens(rows, root)
+    got = order.join(separators.scan(order.select("file"), root), ["file", "ordinal"]).collect()
+    assert len(got) == 3 and all(r.n_tokens > 1000 for r in got)
+
+
 def test_separator_scan_of_odd_files(spark, monkeypatch):
     monkeypatch.setattr(separators, "SPAN", 3)
     root = separators.token_folder(spark)
