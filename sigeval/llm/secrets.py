@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import filled, row_keys, stage
 
+STRIDE = 256  # hits whose places are found one after another
 MAX_STRINGS = 64  # literal runs with more spellings are cut into shorter runs, which only widens the candidates
 
 
@@ -151,8 +152,17 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
         long = F.when(x["part"] >= rule.least, F.array(span)).otherwise(empty)
         return F.struct(F.coalesce(end, start).alias("at"), F.concat(acc["out"], long).alias("out"))
 
-    seed = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.aggregate(F.filter(lengths, lambda x: x["hit"].isNotNull()), seed, step, lambda acc: acc["out"])
+    # appending to an array copies it, so the hits of STRIDE are joined first
+    hits = F.filter(lengths, lambda x: x["hit"].isNotNull())
+    strides = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / STRIDE).cast("int")), lambda i: F.slice(hits, i * STRIDE + 1, STRIDE))
+
+    def stride(acc, own):
+        seed = F.struct(acc["at"].alias("at"), empty.alias("out"))
+        return F.aggregate(own, seed, step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,end:int>>>").alias("out"))
+    found = F.aggregate(strides, seed, stride, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(hits) > 0, found).otherwise(empty)
 
 
 def _long_only(rule: Rule) -> Rule:

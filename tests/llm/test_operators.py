@@ -394,6 +394,12 @@ def test_secrets_match_python_regexes(docs, none):
     assert [tuple(map(tuple, r.spans)) for r in secrets.scan(docs.where("doc_id = 12"), rules=RULES[2:3]).collect()] == [tuple(s[:1] + (0,) + s[2:] for s in want(TEXTS[14][1]) if s[1] == 2)]
 
 
+def test_many_secrets_in_a_text(spark):
+    text = " ".join(f"{k:024x}" for k in range(40_000))
+    (got,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s.start, s.end) for s in got.spans] == [(25 * k, 25 * k + 24) for k in range(40_000)]
+
+
 def test_trigram_queries_never_miss():
     alphabet = {"assign": "password = abcdef", "access": "AKIA" + "Z" * 16, "repo_token": "gho_" + "x" * 36, "chat_token": "xoxb-" + "1" * 12}
     alphabet |= {"map_key": "AIza" + "q" * 35, "web_token": "eyJh" + "a" * 20 + ".eyJ" + "b" * 20 + ".c", "private_key": "-----BEGIN RSA PRIVATE KEY-----"}
