@@ -459,3 +459,60 @@ def _(spark, d):
     w = fx.windows(spark, d)
     parents = S.stratified_split(w.select("item", "label").distinct(), "label", "item")
     return w.join(parents.where("split = 'validation'"), "item", "left_semi").select("item", "label", "logit")
+
+
+LINKED = f"""{PLANTED},
+  cand AS (SELECT item AS item_a, neighbour AS item_b FROM nn WHERE item < neighbour AND cosine >= 0.995),
+  ce AS (SELECT item, list_transform(v, lambda x: x - list_avg(v)) AS c FROM planted),
+  lg AS (SELECT item_a, item_b, a.c AS a, b.c AS b, unnest(range(-63, 64)) AS lag FROM cand JOIN ce a ON a.item = item_a JOIN ce b ON b.item = item_b),
+  linked AS (SELECT item_a, item_b FROM lg GROUP BY item_a, item_b
+    HAVING max(list_dot_product(a[greatest(1, 1 - lag):least(64, 64 - lag)], b[greatest(1, 1 + lag):least(64, 64 + lag)])
+      / sqrt(list_dot_product(a, a) * list_dot_product(b, b))) >= 0.95),
+  reps AS (SELECT item, min(item) OVER (PARTITION BY v) AS representative FROM planted)"""
+
+
+def confirmed(spark, v):
+    """Pairs of different vectors whose cross-correlation confirms them, none left out."""
+    pairs = stage(N.all_pairs(v, "item", "v", 64, 0.995))
+    return stage(N.confirm(pairs, v, "item", "v", 0.95).where("confirmed").select("item_a", "item_b"))
+
+
+@query(
+    "near_dup_clusters",
+    f"""WITH RECURSIVE {LINKED},
+      rl AS (SELECT a.representative AS x, b.representative AS y FROM linked JOIN reps a ON a.item = item_a JOIN reps b ON b.item = item_b
+        WHERE a.representative <> b.representative),
+      both_ways AS (SELECT x, y FROM rl UNION SELECT y, x FROM rl),
+      reach AS (SELECT DISTINCT representative AS x, representative AS y FROM reps UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON e.x = r.y),
+      least_of AS (SELECT x, min(y) AS cluster FROM reach GROUP BY x),
+      degree AS (SELECT x, count(*) AS n_links FROM both_ways GROUP BY x)
+      SELECT item, representative, cluster, coalesce(n_links, 0) AS n_links
+      FROM reps JOIN least_of l ON l.x = representative LEFT JOIN degree d ON d.x = representative""",
+)
+def _(spark, d):
+    v = planted(spark, d)
+    return N.clusters(v, "item", "v", confirmed(spark, v))
+
+
+@query(
+    "near_dup_summary",
+    f"""WITH {LINKED},
+      own AS (SELECT item, CASE WHEN item >= 1000000 THEN 'copy' ELSE 'original' END AS corpus,
+        CASE WHEN item % 7 = 0 THEN 1 ELSE 0 END AS label FROM reps)
+      SELECT (SELECT count(*) FROM own) AS n_items_checked, count(*) AS confirmed_pairs,
+        count(*) FILTER (WHERE a.label <> b.label) AS confirmed_cross_label, count(*) FILTER (WHERE a.corpus <> b.corpus) AS confirmed_cross_dataset
+      FROM linked JOIN own a ON a.item = item_a JOIN own b ON b.item = item_b""",
+)
+def _(spark, d):
+    v = planted(spark, d)
+    links = confirmed(spark, v)
+    members = N.clusters(v, "item", "v", links).select(
+        "representative", "item", (F.col("item") % 7 == 0).cast("int").alias("label"), F.when(F.col("item") >= 1000000, "copy").otherwise("original").alias("corpus")
+    )
+    return N.link_counts(stage(members), links, {"confirmed_cross_label": "label", "confirmed_cross_dataset": "corpus"})
+
+
+@query("near_dup_lsh")
+def _(spark, d):
+    """Pairs at a cosine of 0.9, at which the grid compares most of all pairs. tests measure the recall against all pairs."""
+    return rnd(N.lsh_pairs(planted(spark, d), "item", "v", 64, 0.9), "cosine")

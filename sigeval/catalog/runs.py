@@ -251,8 +251,8 @@ def conditions(spark, d):
 
 @query(
     "condition_shift",
-    f"""WITH {CONDITIONS} SELECT a.split, a.item, a.condition, round(a.score - c.score, 6) AS shift, (a.score >= 4) <> (c.score >= 4) AS flipped
-      FROM fc a JOIN fc c ON a.split = c.split AND a.item = c.item AND c.condition = 'clean'""",
+    f"""WITH {CONDITIONS} SELECT split, item, condition, round(score - clean, 6) AS shift, (score >= 4) <> (clean >= 4) AS flipped
+      FROM (SELECT *, max(score) FILTER (WHERE condition = 'clean') OVER (PARTITION BY split, item) AS clean FROM fc)""",
     ("fx_scores",),
 )
 def _(spark, d):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from sigeval.operators.components import components
 from sigeval.session import stage
 
 BLOCK_ROWS = 4096
@@ -109,7 +110,11 @@ def _compared(one_each: DataFrame, dim: int, threshold: float, k: int | None, ax
         one_each.select("item", "v").mapInPandas(_grid(dim, axes, r, width), "item long, u array<double>, home string, reach array<string>")
     )
     homes = base.select("item", "u", F.col("home").alias("cell"))
-    probes = base.select("item", "u", F.explode("reach").alias("cell"))
+    return _by_cells(homes, base.select("item", "u", F.explode("reach").alias("cell")), threshold, k, block_rows)
+
+
+def _by_cells(homes: DataFrame, probes: DataFrame, threshold: float, k: int | None, block_rows: int) -> DataFrame:
+    """The pairs of a home and a probe (item, u, cell) of the same cell, in blocks of a cell."""
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
@@ -175,6 +180,81 @@ def copies(df: DataFrame, item: str, vec: str) -> DataFrame:
     return df.select(F.col(item).alias("member"), vec).join(groups, vec).select("representative", "member")
 
 
+def _polytopes(dim: int, tables: int, width: int, seed: int):
+    """Kernel that gives each vector its cells: per table the corners of `width` turned cross-polytopes it is nearest to."""
+    turns = np.linalg.qr(np.random.default_rng(seed).normal(size=(tables, width, dim, dim)))[0]
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            u = x / np.linalg.norm(x, axis=1, keepdims=True)
+            cells = []
+            for table in range(tables):
+                code = np.full(len(u), table, dtype=np.int64)
+                for turn in turns[table]:
+                    y = u @ turn.T
+                    at = np.abs(y).argmax(axis=1)
+                    code = code * (2 * dim) + 2 * at + (y[np.arange(len(u)), at] < 0)
+                cells.append(code)
+            yield pd.DataFrame({"item": pdf["item"].to_numpy(), "u": list(u), "cells": list(np.stack(cells, axis=1).astype(str))})
+
+    return kernel
+
+
+def lsh_pairs(
+    df: DataFrame, item: str, vec: str, dim: int, threshold: float, tables: int = 8, width: int = 2, block_rows: int = BLOCK_ROWS, seed: int = 1
+) -> DataFrame:
+    """Pairs of distinct vectors with cosine >= threshold, found by cross-polytope hashing: (item_a, item_b, cosine).
+
+    For thresholds at which the grid of `all_pairs` prunes nothing. Vectors meet if `width` hashes of one of `tables` tables agree; what
+    meets is compared exactly, so nothing wrong is returned, but a pair that meets in no table is missed. Two unit vectors at distance t
+    agree in one hash with a probability of about dim ** (-t^2 / (4 - t^2)); more hashes make smaller cells for more vectors, more
+    tables raise the recall. No list is cut: a crowded cell is compared in blocks.
+    """
+    one_each = _one_each(df, item, vec)
+    hashed = stage(one_each.select("item", "v").mapInPandas(_polytopes(dim, tables, width, seed), "item long, u array<double>, cells array<string>"))
+    cells = hashed.select("item", "u", F.explode("cells").alias("cell"))
+    found = _by_cells(cells, cells, threshold, None, block_rows)
+    pairs = found.select(F.least("item", "neighbour").alias("item_a"), F.greatest("item", "neighbour").alias("item_b"), "cosine")
+    return pairs.where("item_a <> item_b").groupBy("item_a", "item_b").agg(F.max("cosine").alias("cosine"))
+
+
+def clusters(df: DataFrame, item: str, vec: str, links: DataFrame) -> DataFrame:
+    """One row per item: item, representative (smallest item of its vector), cluster (smallest item that links reach), n_links.
+
+    `links` are pairs (item_a, item_b) of representatives, as of `all_pairs` or `lsh_pairs`; `n_links` counts those of the
+    representative. Copies are members of their vector and not expanded into pairs.
+    """
+    reps = distinct_vectors(df, item, vec).select(F.col(item).alias("representative"), vec)
+    own = df.select(F.col(item).alias("item"), vec).join(reps, vec).select("item", "representative")
+    ends = links.select(F.explode(F.array("item_a", "item_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    known = components(links).join(ends, "node").withColumnRenamed("node", "representative")
+    out = own.join(known, "representative", "left")
+    return out.select("item", "representative", F.coalesce("component", "representative").alias("cluster"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def link_counts(members: DataFrame, links: DataFrame, by: dict[str, str]) -> DataFrame:
+    """One row: confirmed pairs of items, and for each name in `by` those whose items differ in that column.
+
+    `members` has (representative, item) with the columns, `links` pairs of representatives. Pairs of items are counted from the sizes of
+    the groups: copies of a vector are linked to each other and to the copies of a linked vector.
+    """
+
+    def pairs_of(columns: list[str]) -> DataFrame:
+        """Linked pairs of items that agree in the columns."""
+        sizes = members.groupBy("representative", *columns).agg(F.count(F.lit(1)).alias("n"))
+        inside = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n"))
+        a = sizes.select(F.col("representative").alias("item_a"), *columns, F.col("n").alias("na"))
+        b = sizes.select(F.col("representative").alias("item_b"), *columns, F.col("n").alias("nb"))
+        across = links.select("item_a", "item_b").join(a, "item_a").join(b, ["item_b", *columns]).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+        return inside.unionByName(across).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+
+    out = members.agg(F.count(F.lit(1)).alias("n_items_checked"))
+    whole = pairs_of([]).scalar()
+    cols = {"confirmed_pairs": whole} | {name: whole - pairs_of([column]).scalar() for name, column in by.items()}
+    return out.select("n_items_checked", *[c.alias(n) for n, c in cols.items()])
+
+
 def candidate_pairs(found: DataFrame) -> DataFrame:
     """Unordered pairs from the neighbour lists."""
     return (
