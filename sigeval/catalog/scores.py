@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigeval.catalog import fixtures as fx
 from sigeval.catalog.inference import draws_sql
-from sigeval.catalog.registry import AUC, double, eer_ctes, query, score_points, seed32
+from sigeval.catalog.registry import ORACLES, AUC, double, eer_ctes, query, score_points, seed32
 from sigeval.functions.columns import (
     auc_verdict,
     balance_verdict,
@@ -359,7 +359,7 @@ _TWO, _ONE = "tp+fn>0 AND tn+fp>0", "NOT (tp+fn>0 AND tn+fp>0)"
 
 @query(
     "split_report",
-    f"""WITH sr AS (SELECT * FROM fx_scores WHERE split <> 'external_B' OR label = 1),
+    f"""WITH sr AS (SELECT * FROM fx_scores),
       {score_points('sp', 'sr', 'split', 'score')}, {eer_ctes('se', 'sp', 'split')},
       c AS (SELECT split, {COUNTS_SQL.format(p='score >= thr')}, max(thr) AS thr FROM sr, thr GROUP BY split),
       a AS (SELECT split, {AUC} AS auc FROM sp GROUP BY split),
@@ -382,11 +382,20 @@ _TWO, _ONE = "tp+fn>0 AND tn+fp>0", "NOT (tp+fn>0 AND tn+fp>0)"
     ("thr",),
 )
 def split_report(spark, d):
-    """With intervals; one split is reduced to one class."""
-    s = fx.scores(spark, d).where("split <> 'external_B' OR label = 1")
-    return E.rounded(E.split_report(s, n_boot=DRAWS))
+    """With intervals, over all items of every split."""
+    return E.rounded(E.split_report(fx.scores(spark, d), n_boot=DRAWS))
 
 
+@query("one_class_report")
+def _(spark, d):
+    """The same report where a split has one class: its rates of one class and their interval, and no ranking."""
+    return E.rounded(E.split_report(fx.scores(spark, d).where("split <> 'external_B' OR label = 1"), n_boot=DRAWS))
+
+
+ORACLES["one_class_report"] = ORACLES["split_report"].replace(
+    "sr AS (SELECT * FROM fx_scores)", "sr AS (SELECT * FROM fx_scores WHERE split <> 'external_B' OR label = 1)"
+)
+
 TIERS = {"validation": "Tier 0: validation", "internal_test": "Tier 1: internal", "external_A": "Tier 2: independent", "external_B": "Tier 3: external"}
 
 
