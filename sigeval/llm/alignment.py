@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 from array import array
 from dataclasses import dataclass
@@ -55,6 +56,7 @@ class Vocabulary:
 
 @functools.lru_cache(maxsize=2)
 def byte_vocabulary(path: str) -> Vocabulary:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait would take those of others
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
