@@ -9,6 +9,7 @@ from sigeval.catalog import fixtures as fx
 from sigeval.catalog import signals as SG
 from sigeval.catalog.registry import ORACLES, query
 from sigeval.functions.columns import stable_seed
+from sigeval.operators import audit as A
 from sigeval.operators import metrics as M
 from sigeval.operators import probes as P
 from sigeval.operators.errors import unpivot
@@ -38,6 +39,35 @@ def _(spark, d):
     )
 
 
+LONG, LONG_STEP, FRAMES = 72, 64, 10
+MIDDLES = (4, 5)  # frames around which nine frames lie
+
+# power spectra, filterbanks as (filter, bin, weight), and the features (rec, window, feature, bin, t, x)
+CEPSTRA = f"""{SG.repeat_ctes(LONG, LONG_STEP)},
+  fr AS (SELECT rec, "window", t, pos + 8 - 8 * t AS m, v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (pos + 8 - 8 * t) / 16)) AS x
+         FROM (SELECT *, unnest(range({FRAMES})) AS t FROM wn) WHERE pos + 8 - 8 * t BETWEEN 0 AND 15),
+  pw AS (SELECT rec, "window", t, k, pow(sum(x * cos(2 * pi() * k * m / 16)), 2) + pow(sum(x * sin(2 * pi() * k * m / 16)), 2) AS p
+         FROM (SELECT *, unnest(range(9)) AS k FROM fr) GROUP BY 1, 2, 3, 4),
+  mb AS (SELECT n, i, k, greatest(0, least((k * 1.25::DOUBLE - i * w) / w, ((i + 2) * w - k * 1.25::DOUBLE) / w)) / w AS weight
+         FROM (SELECT n, w, unnest(range(n)) AS i FROM (VALUES (6, 10::DOUBLE / 7), (4, 10::DOUBLE / 5)) AS b(n, w)) f, (SELECT unnest(range(9)) AS k) g),
+  lc AS (SELECT i, i * 8 // 5 AS lo, (i + 1) * 8 // 5 AS mid, (i + 2) * 8 // 5 AS hi FROM (SELECT unnest(range(4)) AS i)),
+  lb AS (SELECT i, k, CASE WHEN k < lo OR k >= hi THEN 0 WHEN k < mid THEN (k - lo)::DOUBLE / (mid - lo) ELSE (hi - k)::DOUBLE / (hi - mid) END AS weight
+         FROM lc, (SELECT unnest(range(9)) AS k) g),
+  wide AS (SELECT rec, "window", i, t, 10 * log10(greatest(sum(weight * p), 1e-10::DOUBLE)) AS db FROM pw JOIN mb USING (k) WHERE n = 6 GROUP BY 1, 2, 3, 4),
+  logs AS (SELECT 'mfcc' AS feature, rec, "window", i, t, ln(sum(weight * p) + 1e-9::DOUBLE) AS e FROM pw JOIN mb USING (k) WHERE n = 4 GROUP BY 2, 3, 4, 5
+           UNION ALL SELECT 'lfcc', rec, "window", i, t, ln(sum(weight * p) + 1e-9::DOUBLE) FROM pw JOIN lb USING (k) GROUP BY 2, 3, 4, 5),
+  c0 AS (SELECT 'mel' AS feature, rec, "window", i AS bin, t, greatest(db - max(db) OVER (PARTITION BY rec, "window"), -80) AS x FROM wide
+         UNION ALL SELECT feature, rec, "window", j, t, sum(e * sqrt(CASE WHEN j = 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END) * cos(pi() * j * (2 * i + 1) / 8))
+           FROM (SELECT *, unnest(range(4)) AS j FROM logs) GROUP BY 1, 2, 3, 4, 5),
+  sk AS (SELECT c, c + j AS t, j / 60::DOUBLE AS w1, (3 * j * j - 20) / 462::DOUBLE AS w2
+         FROM (SELECT c, unnest(range(-4, 5)) AS j FROM (SELECT unnest({list(MIDDLES)}) AS c))),
+  sl AS (SELECT feature, rec, "window", bin, c, sum(x * w1) AS s1, sum(x * w2) AS s2 FROM c0 JOIN sk USING (t) GROUP BY 1, 2, 3, 4, 5),
+  ft AS (SELECT feature, rec, "window", 0 AS channel, bin, t, x FROM c0
+         UNION ALL SELECT feature, rec, "window", channel, bin, t, CASE channel WHEN 1 THEN s1 ELSE s2 END
+           FROM sl, (SELECT unnest([1, 2]) AS channel) h, (SELECT unnest(range({FRAMES})) AS t) f
+           WHERE c = CASE WHEN t <= {MIDDLES[0]} THEN {MIDDLES[0]} ELSE {MIDDLES[1]} END)"""
+
+
 SPECTRUM = f"""{SG.REPEAT},
   fr AS (SELECT rec, "window", t, pos + 8 - 8 * t AS m, v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (pos + 8 - 8 * t) / 16)) AS x
          FROM (SELECT *, unnest(range(3)) AS t FROM wn) WHERE pos + 8 - 8 * t BETWEEN 0 AND 15),
@@ -57,6 +87,58 @@ def _(spark, d):
     return t.select("rec", "window", *[F.round(c, 6).alias(c) for c in ("lf_ratio", "hf_ratio", "centroid_hz")])
 
 
+def cepstra(spark, d):
+    """All kinds of every window of ten frames, in double precision."""
+    return S.spectral_features(arrays(spark, d, LONG), ["mel", "lfcc", "mfcc"], SMALL, cell="double")
+
+
+@query(
+    "spectral_values",
+    f"""WITH {CEPSTRA} SELECT rec, "window", feature, cast(channel AS integer) AS channel, cast(bin AS integer) AS bin, round(avg(x), 6) + 0.0 AS mean,
+        round(max(x) FILTER (WHERE t = 0), 6) + 0.0 AS first, round(max(x) FILTER (WHERE t = {FRAMES - 1}), 6) + 0.0 AS last FROM ft GROUP BY 1, 2, 3, 4, 5""",
+    ("fx_signal",),
+)
+def _(spark, d):
+    """Mean over frames, first and last frame of every bin of every feature, its slope and its curvature."""
+    rows = cepstra(spark, d).select("rec", "window", "feature", F.posexplode("values").alias("channel", "m"))
+    bins = rows.select("rec", "window", "feature", "channel", F.posexplode("m").alias("bin", "x"))
+    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
+    values = {"mean": mean, "first": F.element_at("x", 1), "last": F.element_at("x", -1)}
+    return bins.select("rec", "window", "feature", "channel", "bin", *[(F.round(v, 6) + 0.0).alias(c) for c, v in values.items()])
+
+
+CHANNELS = """chs AS (SELECT feature, channel, avg(x) AS mean, stddev_pop(x) AS std, count(*) AS n_cells, count(DISTINCT (rec, "window")) AS n_windows
+  FROM ft WHERE rec % 4 <> 0 GROUP BY 1, 2)"""
+
+
+@query(
+    "channel_norm_stats",
+    f"""WITH {CEPSTRA}, {CHANNELS} SELECT feature, cast(channel AS integer) AS channel, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std, n_cells, n_windows FROM chs""",
+    ("fx_signal",),
+)
+def _(spark, d):
+    """Statistics of each feature's channels over all training windows."""
+    t = A.channel_stats(cepstra(spark, d).where("rec % 4 <> 0"), ["feature"], "values")
+    return t.withColumns({"mean": F.round("mean", 6) + 0.0, "std": F.round("std", 6)})
+
+
+@query(
+    "channel_normalize",
+    f"""WITH {CEPSTRA}, {CHANNELS}, z AS (SELECT rec, "window", feature, channel, (x - mean) / (std + 1e-8::DOUBLE) AS z FROM ft JOIN chs USING (feature, channel))
+        SELECT rec, "window", feature, cast(channel AS integer) AS channel, round(avg(z), 5) + 0.0 AS mean, round(min(z), 5) + 0.0 AS lowest,
+          round(max(z), 5) + 0.0 AS highest FROM z GROUP BY 1, 2, 3, 4""",
+    ("fx_signal",),
+)
+def _(spark, d):
+    """All windows, normalised by the statistics of the training windows; mean and extremes of each channel."""
+    t = stage(cepstra(spark, d))
+    z = A.channel_normalised(t, ["feature"], "values", A.channel_stats(t.where("rec % 4 <> 0"), ["feature"], "values"))
+    rows = z.select("rec", "window", "feature", F.posexplode("z").alias("channel", "m")).withColumn("x", F.flatten("m"))
+    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
+    values = {"mean": mean, "lowest": F.array_min("x"), "highest": F.array_max("x")}
+    return rows.select("rec", "window", "feature", "channel", *[(F.round(v, 5) + 0.0).alias(c) for c, v in values.items()])
+
+
 SPECTRAL_NAMES = ("lf_ratio", "hf_ratio", "centroid_hz")
 TABLE_NAMES = (*SG.DESCRIPTOR_NAMES, *SPECTRAL_NAMES)
 TABLE_SQL = f"""SELECT * FROM ({ORACLES['window_descriptors']}) a JOIN ({ORACLES['spectral_descriptors']}) b USING (rec, "window")"""

@@ -74,18 +74,23 @@ def _(spark, d):
     return rnd(G.segment(signal(spark, d), "original", WINDOW), "pad_fraction", "v")
 
 
-REPEAT = f"""{LEN}, sn AS (SELECT s.rec, i, CASE WHEN peak > 0 THEN v / peak ELSE v END AS v FROM fx_signal s JOIN ln USING (rec)),
+def repeat_ctes(window: int = WINDOW, step: int = STEP) -> str:
+    """Windows of the trimmed signals as `wn`, the last one ending with its signal."""
+    return f"""{LEN}, sn AS (SELECT s.rec, i, CASE WHEN peak > 0 THEN v / peak ELSE v END AS v FROM fx_signal s JOIN ln USING (rec)),
   {bounds_ctes('sn')},
   tr AS (SELECT sn.rec, i - s AS i, v, t - s AS n FROM sn JOIN bd USING (rec) WHERE i >= s AND i < t),
   tl AS (SELECT rec, t - s AS n FROM bd),
-  st AS (SELECT rec, n, unnest(CASE WHEN n <= {WINDOW} THEN [0] ELSE list_distinct(list_concat(list_transform(range(0, (n - {WINDOW}) // {STEP} + 1), lambda x: x * {STEP}), [n - {WINDOW}])) END) AS start FROM tl),
+  st AS (SELECT rec, n, unnest(CASE WHEN n <= {window} THEN [0] ELSE list_distinct(list_concat(list_transform(range(0, (n - {window}) // {step} + 1), lambda x: x * {step}), [n - {window}])) END) AS start FROM tl),
   wx AS (SELECT rec, n, start, row_number() OVER (PARTITION BY rec ORDER BY start) - 1 AS w FROM st),
-  wr AS (SELECT x.rec, w AS "window", start, CASE WHEN n <= {WINDOW} THEN 1.0::DOUBLE - n / {WINDOW}.0::DOUBLE ELSE 0.0 END AS pad_fraction, pos, v
-         FROM (SELECT *, unnest(range({WINDOW})) AS pos FROM wx) x JOIN (SELECT rec, i, v FROM tr) s ON s.rec = x.rec AND s.i = CASE WHEN n <= {WINDOW} THEN pos % n ELSE start + pos END),
+  wr AS (SELECT x.rec, w AS "window", start, CASE WHEN n <= {window} THEN 1.0::DOUBLE - n / {window}.0::DOUBLE ELSE 0.0 END AS pad_fraction, pos, v
+         FROM (SELECT *, unnest(range({window})) AS pos FROM wx) x JOIN (SELECT rec, i, v FROM tr) s ON s.rec = x.rec AND s.i = CASE WHEN n <= {window} THEN pos % n ELSE start + pos END),
   wm AS (SELECT *, max(abs(v)) OVER (PARTITION BY rec, "window") AS m FROM wr),
   wn AS (SELECT * REPLACE (CASE WHEN m > 0 THEN v / m ELSE v END AS v) FROM wm)"""
 
 
+REPEAT = repeat_ctes()
+
+
 @query(
     "windows_repeat",
     f"""WITH {REPEAT} SELECT rec, "window", start, round(pad_fraction, 6) AS pad_fraction, pos, round(v, 6) AS v FROM wn""",

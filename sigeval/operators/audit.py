@@ -181,25 +181,35 @@ def normalised(df: DataFrame, features: str, stats: DataFrame, name: str = "z")
 
 
 def channel_stats(df: DataFrame, keys: Sequence[str], channels: str) -> DataFrame:
-    """Mean and population SD per channel of an array<array<array<float>>> feature, by running sums over all cells."""
-    cells = df.select(*keys, F.posexplode(channels).alias("channel", "m")).withColumn("x", F.flatten("m"))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    sums = cells.withColumn(
-        "a",
-        F.aggregate(
-            "x", zero, lambda t, v: F.struct((t.s + v).alias("s"), (t.q + v.cast("double") * v).alias("q"))
-        ),
-    )
-    g = sums.groupBy(*keys, "channel").agg(
-        F.sum("a.s").alias("_s"), F.sum("a.q").alias("_q"), F.sum(F.size("x")).alias("n_cells"), F.count(F.lit(1)).alias("n_windows")
-    )
-    mean = F.col("_s") / F.col("n_cells")
-    return g.select(
-        *keys, "channel", mean.alias("mean"), F.sqrt(F.greatest(F.col("_q") / F.col("n_cells") - mean * mean, F.lit(0.0))).alias("std"),
-        "n_windows",
+    """Mean and population SD per channel of an array<array<array<float>>> feature over all its cells.
+
+    Cells stay in the map task: what is shuffled is a (count, mean, squared deviations) triple for each key and channel,
+    which merge without the cancellation of E[x^2] - E[x]^2. NULL cells are not counted.
+    """
+    cells = df.select(*keys, F.posexplode(channels).alias("channel", "_m")).select(
+        *keys, "channel", F.posexplode(F.flatten("_m")).alias("_at", "_x")
+    )
+    x = F.col("_x").cast("double")
+    return cells.groupBy(*keys, "channel").agg(
+        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count(x).alias("n_cells"), F.count(F.when(F.col("_at") == 0, 1)).alias("n_windows")
     )
 
 
+def channel_normalised(df: DataFrame, keys: Sequence[str], channels: str, stats: DataFrame, name: str = "z") -> DataFrame:
+    """Adds (x - mean) / (SD + 1e-8) of every cell by the statistics of its key and channel, in the shape of the feature.
+
+    Statistics are one row for each key and channel, far fewer than windows. A key or channel without any gives NULL.
+    """
+    one = stats.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("mean", "std")))).alias("_stats"))
+
+    def scaled(cells, channel):
+        s = F.try_element_at("_stats", channel)
+        return F.transform(cells, lambda row: F.transform(row, lambda x: (x.cast("double") - s["mean"]) / (s["std"] + F.lit(1e-8))))
+
+    joined = df.join(one, list(keys), "left")
+    return joined.withColumn(name, F.transform(channels, scaled)).drop("_stats")
+
+
 def class_residual(df: DataFrame, features: str, label: str) -> DataFrame:
     """Class means, absolute mean gap and variance of every position of a feature array."""
     cells = df.select(label, F.posexplode(features).alias("pos", "x"))

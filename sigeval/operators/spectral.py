@@ -107,12 +107,13 @@ def extractors(s: Spectrum) -> dict[str, Extractor]:
 
 def spectral_features(
     windows: DataFrame, kinds: Sequence[str], spectrum: Spectrum = Spectrum(),
-    make: Callable[[Spectrum], dict[str, Extractor]] = extractors,
+    make: Callable[[Spectrum], dict[str, Extractor]] = extractors, cell: str = "float",
 ) -> DataFrame:
-    """Features of (rec, window, samples): one row per window and kind with `values` [3][F][T].
+    """Features of (rec, window, samples): one row per window and kind with `values` [3][F][T] of the type `cell`.
 
     `make` returns the kinds by name, so other extractors can be supplied.
     """
+    dtype = {"float": np.float32, "double": np.float64}[cell]
     kinds = list(kinds)
     unknown = set(kinds) - set(make(spectrum))
     if unknown:
@@ -125,13 +126,13 @@ def spectral_features(
             for rec, window, y in zip(pdf["rec"], pdf["window"], pdf["samples"]):
                 power = power_spectrum(np.asarray(y, dtype=float), spectrum)
                 for k in kinds:
-                    values = stack_slopes(by_name[k](power)).astype(np.float32)
+                    values = stack_slopes(by_name[k](power)).astype(dtype)
                     rows.append((rec, window, k, [list(channel) for channel in values]))
             yield pd.DataFrame(rows, columns=["rec", "window", "feature", "values"])
 
     rec = dict(windows.dtypes)["rec"]
     return windows.select("rec", "window", "samples").mapInPandas(
-        kernel, f"rec {rec}, window long, feature string, values array<array<array<float>>>"
+        kernel, f"rec {rec}, window long, feature string, values array<array<array<{cell}>>>"
     )
 
 

@@ -150,3 +150,24 @@ def test_channel_stats(spark):
     got = {r["channel"]: r for r in A.channel_stats(df, ["feature"], "values").collect()}
     for c in range(3):
         assert got[c]["mean"] == pytest.approx(x[:, c].mean()) and got[c]["std"] == pytest.approx(x[:, c].std()) and got[c]["n_windows"] == 4
+
+
+def test_channel_stats_far_from_zero(spark):
+    """Mean 1e6 and SD 1: running sums of squares would lose the SD. NULL cells and channels without statistics."""
+    rng = np.random.default_rng(3)
+    cells = 1e6 + rng.normal(size=(40, 2, 3, 5))
+    rows = [("a", i, x.tolist()) for i, x in enumerate(cells)] + [("b", 99, [[[None, 1.0]]])]
+    df = spark.createDataFrame(rows, "feature string, i int, values array<array<array<double>>>")
+    stats = A.channel_stats(df, ["feature"], "values")
+    got = {(r.feature, r.channel): r for r in stats.collect()}
+    for c in range(2):
+        r = got["a", c]
+        assert abs(r["mean"] - cells[:, c].mean()) < 1e-8 and abs(r["std"] - cells[:, c].std()) < 1e-8
+        assert (r.n_cells, r.n_windows) == (600, 40)
+    assert (got["b", 0].n_cells, got["b", 0].n_windows, got["b", 0]["mean"]) == (1, 1, 1.0)
+
+    z = {r.i: r.z for r in A.channel_normalised(df, ["feature"], "values", stats.where("feature = 'a' AND channel = 1")).collect()}
+    want = (cells[:, 1] - cells[:, 1].mean()) / (cells[:, 1].std() + 1e-8)
+    assert np.allclose([z[i][1] for i in range(40)], want, atol=1e-7)
+    assert z[0][0][0][0] is None and z[99][0][0][1] is None
+    assert A.channel_stats(df.limit(0), ["feature"], "values").count() == 0
