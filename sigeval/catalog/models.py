@@ -11,6 +11,7 @@ from sigeval.catalog.registry import ORACLES, query
 from sigeval.functions.columns import stable_seed
 from sigeval.operators import audit as A
 from sigeval.operators import metrics as M
+from sigeval.operators import mixtures as X
 from sigeval.operators import probes as P
 from sigeval.operators.errors import unpivot
 from sigeval.operators.ordering import quantiles
@@ -192,6 +193,17 @@ def _(spark, d):
     return ranked(stage(P.mixture_llr(v, "embedding", models).select("item", "label", "split", "logit")), ["split"])
 
 
+@query("gmm_frames")
+def _(spark, d):
+    """Two mixtures of 256 components over all cepstral frames of the training recordings; mean ratio of each recording."""
+    h = stable_seed("rec") % 10
+    f = S.frame_vectors(S.spectral_features(arrays(spark, d, LONG), ["lfcc"], SMALL, cell="double"))
+    split = F.when(h < 6, "train").when(h < 8, "validation").otherwise("test")
+    f = stage(f.select("rec", (F.col("rec") % 2).cast("int").alias("label"), split.alias("split"), "x"))
+    fitted = X.fit(f.where("split = 'train'"), "x", "label")
+    return X.item_ratio(f, ["rec", "label", "split"], "x", fitted.models)
+
+
 @query(
     "score_windows",
     "SELECT vec_id AS item, round(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(range(64), lambda j: (j - 31.5)::DOUBLE / 64)), 5) AS logit FROM embeddings",

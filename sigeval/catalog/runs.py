@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sigeval.catalog import fixtures as fx
@@ -11,7 +13,7 @@ from sigeval.functions.columns import run_name, run_part, transfer_label
 from sigeval.operators import metrics as M
 from sigeval.operators import sweep as W
 from sigeval.plans import runs as R
-from sigeval.session import stage
+from sigeval.session import stage, stage_root
 from sigeval.sources import documents as D
 
 RUN_KEYS = ["model", "protocol", "seed", "split"]
@@ -225,6 +227,34 @@ def _(spark, d):
     return rnd(D.flatten(docs).select("run", "split", *cols), "accuracy", "auc", "eer", "recall_spoof_sensitivity")
 
 
+TRIP = (
+    "accuracy", "balanced_accuracy", "precision_spoof", "recall_spoof_sensitivity", "specificity_bonafide_recall", "f1_spoof", "f1_macro",
+    "fpr", "fnr", "auc", "eer", "brier", "ece",
+)
+TRIP_CI = ("accuracy_ci95_lo", "accuracy_ci95_hi")
+
+
+@query(
+    "result_docs_roundtrip",
+    f"""WITH {RESULTS.replace(', 6) AS', ', 15) AS')}, ru AS (SELECT run, sum(n_spoof) % 3 = 0 AS is_placeholder FROM res GROUP BY run)
+      SELECT run, split, concat('eer on validation of ', protocol) AS threshold_rule, 4.0::DOUBLE AS threshold_logit, is_placeholder, n, n_spoof, n_bonafide,
+        tp, tn, fp, fn, {', '.join(f'round({c}, 6) AS {c}' for c in TRIP)}, round(accuracy - sqrt(accuracy * (1 - accuracy) / n) * 1.96::DOUBLE, 6) AS accuracy_ci95_lo,
+        round(accuracy + sqrt(accuracy * (1 - accuracy) / n) * 1.96::DOUBLE, 6) AS accuracy_ci95_hi FROM res JOIN ru USING (run)""",
+    ("fx_runs",),
+)
+def _(spark, d):
+    """Whole result documents of all runs, written as one file per run and read again."""
+    t = stage(results(spark, d))
+    flags = t.groupBy("run").agg((F.sum("n_spoof") % 3 == 0).alias("is_placeholder"))
+    rule = F.concat(F.lit("eer on validation of "), "protocol")
+    nan = F.lit(float("nan"))
+    whole = t.join(flags, "run").withColumns({"threshold_rule": rule, "threshold_logit": F.lit(4.0), **{c: F.coalesce(c, nan) for c in ("auc", "eer")}})
+    path = f"{stage_root(spark)}/documents-{uuid.uuid4().hex}"
+    D.write_runs(D.as_documents(whole), path)
+    kept = ["run", "split", "threshold_rule", "threshold_logit", "is_placeholder", "n", "n_spoof", "n_bonafide", "tp", "tn", "fp", "fn"]
+    return rnd(D.read_runs(spark, path).select(*kept, *TRIP, *TRIP_CI), *TRIP, *TRIP_CI)
+
+
 # ---------------------------------------------------------------- perturbation scores
 CONDITIONS = """fc AS (SELECT split, item, label, 'clean' AS condition, score, false AS input_changed, false AS clipped FROM fx_scores
   UNION ALL SELECT split, item, label, 'noise_snr10', score_b, true, false FROM fx_scores

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -136,6 +137,14 @@ def spectral_features(
     )
 
 
+def frame_vectors(features: DataFrame) -> DataFrame:
+    """One row per frame of [C][F][T] features: (rec, window, feature, frame, x) with the C x F numbers of the frame."""
+    lines = F.flatten("values")
+    steps = F.sequence(F.lit(0), F.size(lines[0]) - 1)
+    frames = F.transform(steps, lambda t: F.transform(lines, lambda line: line[t].cast("double")))
+    return features.where(F.size(lines[0]) > 0).select("rec", "window", "feature", F.posexplode(frames).alias("frame", "x"))
+
+
 def spectral_descriptors(windows: DataFrame, spectrum: Spectrum = Spectrum(), low_hz: float = 80.0, high_hz: float = 4000.0) -> DataFrame:
     """Share of power below low_hz and above high_hz, spectral centroid, 95 % and 99 % roll-off and the
     highest band within 60 dB of the peak, per window."""

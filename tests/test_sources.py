@@ -1,4 +1,5 @@
 import json
+import math
 import wave
 
 import numpy as np
@@ -96,6 +97,23 @@ def test_result_documents(spark, tmp_path):
     assert rows["internal"]["accuracy"] is None and rows["internal"]["threshold_logit"] == -0.5
 
 
+def test_result_documents_are_written_whole(spark, tmp_path):
+    rows = [("007", "a", 3, float("nan"), 0.5, 0.1, 0.9, "eer \"NaN\"", -0.5, True), ("007", "b", 1, 0.25, None, None, None, "eer \"NaN\"", -0.5, True)]
+    schema = "run string, split string, n long, auc double, accuracy double, accuracy_ci95_lo double, accuracy_ci95_hi double, threshold_rule string, threshold_logit double, is_placeholder boolean"
+    df = spark.createDataFrame(rows, schema)
+    doc = json.loads(D.as_documents(df).first()["value"])
+    assert (doc["threshold_rule"], doc["threshold_logit"], doc["PLACEHOLDER"]) == ('eer "NaN"', -0.5, True)
+    assert math.isnan(doc["splits"]["a"]["auc"]) and doc["splits"]["a"]["accuracy_ci95"] == [0.1, 0.9]
+    assert doc["splits"]["b"] == {"n": 1, "auc": 0.25}
+    D.write_runs(D.as_documents(df), str(tmp_path / "runs"))
+    back = {r.split: r for r in D.read_runs(spark, str(tmp_path / "runs")).collect()}
+    assert (back["a"].run, back["a"].auc, back["a"].accuracy_ci95_hi, back["b"].auc, back["b"].is_placeholder) == ("007", None, 0.9, 0.25, True)
+    with pytest.raises(Exception, match="disagree on the threshold"):
+        D.as_documents(df.withColumn("threshold_logit", F.col("n") * 1.0)).collect()
+    bare = D.as_documents(df.withColumns({c: F.lit(None) for c in ("threshold_rule", "threshold_logit", "is_placeholder")})).first()["value"]
+    assert set(json.loads(bare)) == {"splits"}
+
+
 def test_placeholder_in_real_store(spark):
     reg = spark.createDataFrame([("m", "P1", [42])], "model string, protocol string, seeds array<int>")
     real = spark.createDataFrame([("m__P1__seed42", "runs/m", True)], "run string, path string, is_placeholder boolean")
