@@ -13,6 +13,7 @@ SAMPLE = {
     "group_split", "windows_controlled", "window_descriptors", "perturb_sweep", "robustness_summary", "multiseed_summary", "result_docs_flatten",
     "near_dup_pairs", "near_dup_confirm", "norm_stats", "normalize", "perturb_reverb", "parent_id", "confusion_percent", "status_rollup", "midranks",
     "auc_exact", "multiseed_status", "window_table_medians", "boot_row_ci", "paired_table",
+    "spectral_values", "channel_norm_stats", "channel_normalize", "result_docs_roundtrip", "stream_windows", "stream_late",
 }
 
 
