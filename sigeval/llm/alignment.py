@@ -7,7 +7,8 @@ text. A token belongs to the range in which it ends.
 
 Texts of more than `RANGE` bytes are dealt out as pieces before they are tokenised. A piece ends between a character and a space or a
 line feed: no token of either vocabulary spans such a place (the vocabularies are checked for that), nor do the rules that split texts
-look back across it. A text without such a place is tokenised as a whole.
+look back across it. A text without such a place is tokenised as a whole. For the same reason the stretches between two such places,
+mostly a space and a word, have the same tokens wherever they stand, and a task tokenises each of them once.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ RANGE = 1 << 16
 FAN = 16
 CHUNK = 1 << 20  # bytes of texts that are aligned at once
 _PLACE = re.compile(r"(?<=\S)(?=[ \n])")
+#: What lies between two such places: white space, then all up to the next one.
+_UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*)?|\s+")
+HELD = 1 << 21  # characters of units whose tokens are remembered
 
 
 # ---------------------------------------------------------------- vocabularies
@@ -106,11 +110,14 @@ def piece_ids(texts: list[str], later: list[bool], vocabulary: Vocabulary) -> li
     """Ids of space+text, or of the text itself where it is a `later` piece of one; None where they do not give it back.
 
     The encoder adds a space. That is the one a later piece starts with, or else comes before a line feed, where it is a
-    token of its own and taken away again.
+    token of its own and taken away again. It adds none to an empty text, so a piece of one space is what comes before a line feed.
     """
-    found, out = vocabulary.encode([t[1:] if x and t[0] == " " else t for t, x in zip(texts, later, strict=True)]), []
+    found, out = vocabulary.encode([(t[1:] or "\n") if x and t[0] == " " else t for t, x in zip(texts, later, strict=True)]), []
     for ids, text, x in zip(found, texts, later, strict=True):
-        ids = ids[1:] if x and text[0] == "\n" else ids
+        if x and text in (" ", "\n"):
+            ids = ids[:1] if text == " " else ids[1:]
+        elif x and text[0] == "\n":
+            ids = ids[1:]
         whole = b"".join(map(vocabulary.tokens.__getitem__, ids)) == (text if x else f" {text}").encode()
         out.append(array("H", ids).tobytes() if whole else None)
     return out
@@ -232,17 +239,42 @@ def _chunks(rows: list, size) -> list:
         yield part
 
 
-def _encoded(texts: list[str], later: list[bool], paths: tuple[str, str]) -> list[tuple[bytes, bytes, bool]]:
-    """Ids by both vocabularies, and whether each text comes out of both unchanged.
+class Units:
+    """Ids of the units met so far, by both vocabularies; forgets them all before it holds more than HELD characters and a chunk.
 
-    The first has a token for every byte and no normalisation, so the number of bytes tells it.
+    The first vocabulary has a token for every byte and no normalisation, so the number of bytes tells that it gives a unit back.
     """
-    vocabulary, out = byte_vocabulary(paths[0]), []
-    whole = [t if x else f" {t}" for t, x in zip(texts, later, strict=True)]
-    for text, ids, b in zip(whole, vocabulary.encode(whole), piece_ids(texts, later, piece_vocabulary(paths[1])), strict=True):
-        a = array("H", ids)
-        ok = b is not None and int(vocabulary.lengths[np.frombuffer(a, np.uint16)].sum()) == len(text.encode())
-        out.append((a.tobytes(), b or b"", ok))
+
+    def __init__(self, paths: tuple[str, str]):
+        self.bytes, self.pieces = byte_vocabulary(paths[0]), piece_vocabulary(paths[1])
+        self.a, self.b, self.bad, self.held = {}, {}, set(), 0
+
+    def learn(self, units: set[str]) -> None:
+        if self.held > HELD:
+            self.a, self.b, self.bad, self.held = {}, {}, set(), 0
+        new = [u for u in units if u not in self.a]
+        for unit, ids, b in zip(new, self.bytes.encode(new), piece_ids(new, [True] * len(new), self.pieces), strict=True):
+            a = array("H", ids)
+            self.a[unit], self.b[unit] = a.tobytes(), b
+            if b is None or int(self.bytes.lengths[np.frombuffer(a, np.uint16)].sum()) != len(unit.encode()):
+                self.bad.add(unit)
+            self.held += len(unit)
+
+
+@functools.lru_cache(maxsize=1)
+def _units(paths: tuple[str, str]) -> Units:
+    return Units(paths)
+
+
+def _encoded(texts: list[str], later: list[bool], paths: tuple[str, str]) -> list[tuple[bytes, bytes, bool]]:
+    """Ids by both vocabularies, and whether each text comes out of both unchanged."""
+    own = _units(paths)
+    split = [_UNIT.findall(t if x else f" {t}") for t, x in zip(texts, later, strict=True)]
+    own.learn(set().union(*split))
+    out = []
+    for units in split:
+        ok = own.bad.isdisjoint(units)
+        out.append((b"".join(map(own.a.__getitem__, units)), b"".join(map(own.b.__getitem__, units)) if ok else b"", ok))
     return out
 
 

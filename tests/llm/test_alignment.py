@@ -102,6 +102,23 @@ def test_pieces_are_tokenised_like_the_whole(spark):
         assert a == np.array(whole[0], np.uint16).tobytes() and ok == (joined is not None) and b == (joined or b"")
 
 
+def test_units_are_tokenised_like_the_whole(monkeypatch):
+    """Texts of few kinds of characters, white space of all sorts among them, with a memory that forgets at once and one that does not."""
+    va, vb = alignment.byte_vocabulary(PATHS[0]), alignment.piece_vocabulary(PATHS[1])
+    rng = np.random.default_rng(5)
+    kinds = ["a", "b", "The", "'s", "9", ".", "é", "日", "\u2581", " ", " ", "\n", "\t", "\r", "\xa0", "\x85", "\x1c", "\u3000", "<s>", "<|endoftext|>"]
+    texts = ["".join(rng.choice(kinds, size=int(n))) for n in rng.integers(1, 12, size=3000)] + ["a ", "a \n", " a\t ", "a \n ", "\n", " "]
+    for held in (0, 1 << 21):
+        monkeypatch.setattr(alignment, "HELD", held)
+        for first in range(0, len(texts), 500):
+            part = texts[first : first + 500]
+            wholes = zip(va.encode([f" {t}" for t in part]), alignment.piece_ids(part, [False] * len(part), vb))
+            for text, got, (a, b) in zip(part, alignment._encoded(part, [False] * len(part), PATHS), wholes):
+                units = alignment._UNIT.findall(f" {text}")
+                assert units == alignment._PLACE.split(f" {text}") and "".join(units) == f" {text}"
+                assert got == (np.array(a, np.uint16).tobytes(), b or b"", b is not None), text
+
+
 def test_long_runs_are_tokenised(spark):
     rows = spark.createDataFrame([(1, " " * 1_000_000), (2, "=" * 1_000_000), (3, "word " * 200_000)], "doc_id long, text string")
     got = {r.doc_id: r for r in alignment.alignment(rows).collect()}
