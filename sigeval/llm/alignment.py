@@ -39,6 +39,7 @@ _PLACE = re.compile(r"(?<=\S)(?=[ \n])")
 #: What lies between two such places: white space, then all up to the next one.
 _UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*)?|\s+")
 HELD = 1 << 21  # characters of units whose tokens are remembered
+GROUP = 64  # units that are tokenised as one text
 
 
 # ---------------------------------------------------------------- vocabularies
@@ -253,12 +254,37 @@ class Units:
         if self.held > HELD:
             self.a, self.b, self.bad, self.held = {}, {}, set(), 0
         new = [u for u in units if u not in self.a]
-        for unit, ids, b in zip(new, self.bytes.encode(new), piece_ids(new, [True] * len(new), self.pieces), strict=True):
-            a = array("H", ids)
-            self.a[unit], self.b[unit] = a.tobytes(), b
-            if b is None or int(self.bytes.lengths[np.frombuffer(a, np.uint16)].sum()) != len(unit.encode()):
+        self.held += sum(map(len, new))
+        # a text of several units has the tokens of each, unless white space at an end runs into the next
+        alone, plain = [u for u in new if u[-1].isspace()], [u for u in new if not u[-1].isspace()]
+        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
+        for group, text, a, b in zip(groups, *self._encode(["".join(g) for g in groups]), strict=True):
+            if self._whole(text, a, b):
+                ends = np.cumsum([len(u.encode()) for u in group])
+                self.a.update(zip(group, _cut(a, ends, self.bytes.lengths), strict=True))
+                self.b.update(zip(group, _cut(b, ends, self.pieces.lengths), strict=True))
+            else:
+                alone += group
+        for unit, a, b in zip(*self._encode(alone), strict=True):
+            self.a[unit], self.b[unit] = a, b
+            if not self._whole(unit, a, b):
                 self.bad.add(unit)
-            self.held += len(unit)
+
+    def _encode(self, texts: list[str]) -> tuple[list[str], list[bytes], list[bytes | None]]:
+        return texts, [array("H", ids).tobytes() for ids in self.bytes.encode(texts)], piece_ids(texts, [True] * len(texts), self.pieces)
+
+    def _whole(self, text: str, a: bytes, b: bytes | None) -> bool:
+        return b is not None and int(self.bytes.lengths[np.frombuffer(a, np.uint16)].sum()) == len(text.encode())
+
+
+def _cut(ids: bytes, ends: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """Ids of a text to those of its units, that end at these bytes."""
+    own = np.cumsum(lengths[np.frombuffer(ids, np.uint16)])
+    at = np.searchsorted(own, ends)
+    if (own[at] != ends).any():
+        raise ValueError("a token spans a place where texts are cut")
+    places = [0, *(2 * (at + 1)).tolist()]
+    return [ids[x:y] for x, y in zip(places, places[1:])]
 
 
 @functools.lru_cache(maxsize=1)
