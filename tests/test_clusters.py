@@ -75,3 +75,23 @@ def test_clusters_and_cross_counts(spark, cloud):
     members = found.selectExpr("representative", "item", "item % 2 AS label", "item % 3 AS corpus")
     (counts,) = N.link_counts(members, links, {"cross_label": "label", "cross_corpus": "corpus"}).collect()
     assert tuple(counts) == (len(rows), len(near), sum((a - b) % 2 != 0 for a, b in near), sum((a - b) % 3 != 0 for a, b in near))
+
+
+def test_vectors_reach_few_cells_and_no_pair_is_missed(spark):
+    """A grid lets a vector of many independent coordinates reach dozens of cells; near copies all lie in one cell."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 64))
+    x = np.vstack([x, x + rng.normal(size=x.shape) * rng.uniform(0.02, 0.2, size=(1500, 1)), x[:1] + rng.normal(size=(300, 64)) * 0.005])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, v array<double>").repartition(4).cache()
+    one_each = N._one_each(df, "item", "v")
+    r = np.sqrt(0.02)
+    pivots = N._pivots(one_each, r, N.PIVOTS)
+    home, near = N._reached(u, pivots, N._gaps(pivots, r))
+    assert near.sum() <= N.REACH * len(x) and len(pivots) > 50
+    assert len(set(home[3000:])) == 1 and (pivots @ u[3000] > 0.99).sum() <= 1
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.99, 1)), strict=True)}
+    got = [(q.item_a, q.item_b) for q in N.all_pairs(df, "item", "v", 64, 0.99, block_rows=64).collect()]
+    assert set(got) == want and len(got) == len(want) > 45000
+    assert all(near[a, home[b]] or near[b, home[a]] for a, b in want)
+    df.unpersist()
