@@ -1,7 +1,8 @@
 """Seeded samples and group-disjoint splits.
 
 Every choice is the order of a stable hash. A split is decided by comparing a row's own group hash with
-one cut value, so rows are never joined back to a list of groups.
+one cut value, so rows are never joined back to a list of groups. The cuts, a row for each label, are broadcast: a
+shuffle by label would put a label that holds most rows into one task.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def stratified_sample(df: DataFrame, label: str, item: str, per_label: int, seed
     """
     work = df.withColumn("_h", order_hash(seed, item))
     cuts = _cut_values(work.select(label, "_h"), [label], {"_c": F.lit(per_label)})
-    return work.join(cuts, label).where(F.col("_c").isNull() | (F.col("_h") < F.col("_c"))).select(*df.columns)
+    return work.join(F.broadcast(cuts), label).where(F.col("_c").isNull() | (F.col("_h") < F.col("_c"))).select(*df.columns)
 
 
 def first_per_class(df: DataFrame, label: str, item: str, n: int = 30) -> DataFrame:
@@ -68,7 +69,7 @@ def group_split(
         positions[f"_c{i}"] = F.floor(F.lit(round(cum, 10)) * total)
     cuts = _cut_values(work.select(*keys, "_h").distinct(), keys, positions)
     # without keys the cuts are scalars of the plan: a join on a constant has no key to hash by
-    out = work.join(cuts, list(keys)) if keys else work.withColumns({c: cuts.select(c).scalar() for c in positions})
+    out = work.join(F.broadcast(cuts), list(keys)) if keys else work.withColumns({c: cuts.select(c).scalar() for c in positions})
     split = None
     for i, (label, _) in enumerate(shares[:-1]):
         # no group at that position: every group lies before the cut

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -171,3 +173,22 @@ def test_channel_stats_far_from_zero(spark):
     assert np.allclose([z[i][1] for i in range(40)], want, atol=1e-7)
     assert z[0][0][0][0] is None and z[99][0][0][1] is None
     assert A.channel_stats(df.limit(0), ["feature"], "values").count() == 0
+
+
+def joined_by(df, column):
+    """Joins of the plan that shuffle both sides by one column alone."""
+    return re.findall(rf"SortMergeJoin \[{column}#\d+\], ", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rows_are_not_shuffled_by_label(spark):
+    """Nearly all rows have one label; a shuffle by label would put them into one task."""
+    t = spark.range(3000).selectExpr("id AS item", "CASE WHEN id < 20 THEN 1 ELSE 0 END AS label")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sample, split = S.stratified_sample(t, "label", "item", 50), S.stratified_split(t, "label", "item")
+        assert not joined_by(sample, "label") and not joined_by(split, "label")
+        assert {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()} == {0: 50, 1: 20}
+        got = {(r["label"], r["split"]): r["count"] for r in split.groupBy("label", "split").count().collect()}
+        assert got == {(0, "validation"): 447, (0, "train"): 2533, (1, "validation"): 3, (1, "train"): 17}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
