@@ -24,12 +24,22 @@ from sigeval.operators.sampling import order_hash
 from sigeval.session import stage
 
 
+FIT_ROWS = 500_000
+
+
 def _log_odds(pred: DataFrame, name: str) -> DataFrame:
     """Log-odds of class 1 from the predicted probability, kept finite."""
     p = F.greatest(F.least(vector_to_array("probability")[1], F.lit(1 - 1e-12)), F.lit(1e-12))
     return pred.withColumn(name, F.log(p / (1 - p))).drop("features_raw", "features", "rawPrediction", "probability", "prediction")
 
 
+def _dealt(train: DataFrame, n: int) -> DataFrame:
+    """The n rows in partitions of about FIT_ROWS: MLlib caches a partition as objects, and compressed files may hold many rows."""
+    if n <= FIT_ROWS:
+        return train
+    return train.repartition(max(-(-n // FIT_ROWS), int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def linear_probe(train: DataFrame, test: DataFrame, features: str, label: str = "label", c: float = 1.0, name: str = "logit") -> DataFrame:
     """Standardise, fit L2 logistic regression of strength C, and add the log-odds to `test`.
 
@@ -41,7 +51,7 @@ def linear_probe(train: DataFrame, test: DataFrame, features: str, label: str =
         LogisticRegression(labelCol=label, regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=200),
     ]
     as_vector = lambda df: df.withColumn("features_raw", array_to_vector(F.col(features)))
-    model = Pipeline(stages=stages).fit(as_vector(train))
+    model = Pipeline(stages=stages).fit(as_vector(_dealt(train, n)))
     return _log_odds(model.transform(as_vector(test)), name)
 
 
@@ -51,7 +61,8 @@ def tree_probe(train: DataFrame, test: DataFrame, columns: Sequence[str], label:
         VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep"),
         GBTClassifier(labelCol=label, maxIter=trees, maxDepth=5, seed=seed),
     ]
-    return _log_odds(Pipeline(stages=stages).fit(train).transform(test), name)
+    model = Pipeline(stages=stages).fit(_dealt(train.select(label, *columns), train.count()))
+    return _log_odds(model.transform(test), name)
 
 
 def shortcut_probes(
@@ -89,7 +100,8 @@ def shortcut_probes(
     by = ["features", "model"]
     thr = select_threshold(scores.where(F.col(split) == train), by, "label", "logit").withColumnRenamed("threshold", "_t")
     pred = F.col("logit") >= F.col("_t")
-    acc = scores.join(thr, by).groupBy(*by, split).agg(
+    # one threshold for each model: a shuffle by model would put all its scores into one task
+    acc = scores.join(F.broadcast(thr), by).groupBy(*by, split).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("label").alias("n_spoof"),
         F.avg((pred.cast("int") == F.col("label")).cast("int")).alias("acc_at_train_eer_thr"),

@@ -192,3 +192,14 @@ def test_rows_are_not_shuffled_by_label(spark):
         assert got == {(0, "validation"): 447, (0, "train"): 2533, (1, "validation"): 3, (1, "train"): 17}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_probes_fit_partitions_of_bounded_size(spark, monkeypatch):
+    """Many rows in one compressed file are dealt out; few rows stay as they are."""
+    t = spark.range(0, 1000, 1, 1).selectExpr("CAST(id % 2 AS int) AS label", "id % 2 + (id % 7) / 10.0 AS x")
+    assert P._dealt(t, 1000) is t
+    monkeypatch.setattr(P, "FIT_ROWS", 50)
+    sizes = [len(p) for p in P._dealt(t, 1000).rdd.glom().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 60 and P._dealt(t, 1000).exceptAll(t).count() == 0
+    got = P.tree_probe(t, t, ["x"], trees=2).where("(logit > 0) <> (label = 1)")
+    assert got.count() == 0
