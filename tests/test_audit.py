@@ -203,3 +203,12 @@ def test_probes_fit_partitions_of_bounded_size(spark, monkeypatch):
     assert sum(sizes) == 1000 and max(sizes) <= 60 and P._dealt(t, 1000).exceptAll(t).count() == 0
     got = P.tree_probe(t, t, ["x"], trees=2).where("(logit > 0) <> (label = 1)")
     assert got.count() == 0
+
+
+@pytest.mark.parametrize("name", ["seeded_sample", "stratified_sample", "stratified_split", "split_semi"])
+def test_samples_compute_their_items_once(spark, name):
+    """The cut and the rows it selects read one staged table, not the joins below it again."""
+    from __spark_entry__ import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "stage-" in plan
