@@ -93,6 +93,8 @@ def cepstra(power: np.ndarray, bank: np.ndarray, basis: np.ndarray) -> np.ndarra
     return basis @ np.log(bank @ power + 1e-9)
 
 
+WINDOWS = 64  # features of so many windows are held by a task at a time
+
 Extractor = Callable[[np.ndarray], np.ndarray]
 
 
@@ -123,13 +125,14 @@ def spectral_features(
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_name = make(spectrum)
         for pdf in batches:
-            rows = []
-            for rec, window, y in zip(pdf["rec"], pdf["window"], pdf["samples"]):
-                power = power_spectrum(np.asarray(y, dtype=float), spectrum)
-                for k in kinds:
-                    values = stack_slopes(by_name[k](power)).astype(dtype)
-                    rows.append((rec, window, k, [list(channel) for channel in values]))
-            yield pd.DataFrame(rows, columns=["rec", "window", "feature", "values"])
+            for lo in range(0, len(pdf), WINDOWS):
+                rows, part = [], pdf.iloc[lo : lo + WINDOWS]
+                for rec, window, y in zip(part["rec"], part["window"], part["samples"]):
+                    power = power_spectrum(np.asarray(y, dtype=float), spectrum)
+                    for k in kinds:
+                        values = stack_slopes(by_name[k](power)).astype(dtype)
+                        rows.append((rec, window, k, [list(channel) for channel in values]))
+                yield pd.DataFrame(rows, columns=["rec", "window", "feature", "values"])
 
     rec = dict(windows.dtypes)["rec"]
     return windows.select("rec", "window", "samples").mapInPandas(

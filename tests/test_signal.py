@@ -177,3 +177,21 @@ def test_sweep_reports_only_real_changes(spark):
     assert not t.loc[(1, "clean"), "input_changed"] and not t.loc[(6, "append_silence_0.44"), "input_changed"]
     with pytest.raises(ValueError):
         condition_scores(frame(spark, data), items, ["clip_+6dB"], lambda x: x[:, 0])
+
+
+def test_spectral_features_leave_a_task_in_small_parts():
+    """The features of a whole Arrow batch are never held as lists."""
+
+    class Windows:
+        dtypes = [("rec", "bigint")]
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, kernel, schema):
+            return kernel
+
+    rng = np.random.default_rng(3)
+    batch = pd.DataFrame({"rec": range(300), "window": 0, "samples": list(rng.normal(size=(300, 8000)))})
+    parts = list(S.spectral_features(Windows(), ["lfcc"])(iter([batch])))
+    assert [r for p in parts for r in p["rec"]] == list(range(300)) and max(len(p) for p in parts) <= 64
