@@ -39,6 +39,16 @@ def test_bootstrap_equals_resampled_rows(spark, scored, monkeypatch):
             assert got[b] == pytest.approx(want[b])
 
 
+def test_chunks_hold_no_more_draws_than_asked(spark, scored):
+    """Six draws used to travel, and be summed, as 64 columns."""
+    n = scored.select("cluster").distinct().count()
+    for n_boot, width in ((6, 6), (70, 35)):
+        drawn = I.multiplicities(scored, ["k"], "cluster", n_boot, 5, every=1).toPandas()
+        assert {len(m) for m in drawn["m"]} == {width}
+        total = np.concatenate([np.stack(g["m"].to_numpy()).sum(axis=0) for _, g in drawn.groupby("chunk")])
+        assert total.tolist() == [n] * n_boot
+
+
 def test_user_statistic(spark, scored):
     got = I.bootstrap_statistic(scored, ["k"], "cluster", lambda m: F.sum(m * F.col("score")) / F.sum(m), 5, 5)
     assert got.count() == 5
