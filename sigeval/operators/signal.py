@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigeval.functions.columns import hash_normal
+from sigeval.session import spread, stage
 
 EPS = 1e-12
 
@@ -174,8 +175,11 @@ def segment(
         return normalise_windows(cut_windows(scale_to_peak(sig), win, overlap))
     if scheme not in ("trim_repeat", "controlled"):
         raise ValueError(f"no such windowing: {scheme}")
-    trimmed = trim_silence(scale_to_peak(sig), frame, frame_hop, top_db)
-    w = normalise_windows(cut_windows(trimmed, win, overlap, repeat=True))
+    # every step joins and sorts by recording: in one plan they share a task, and its memory is the sum of all of them
+    scaled = stage(scale_to_peak(sig))
+    bounds = stage(trim_bounds(spread(scaled, "rec"), frame, frame_hop, top_db))
+    trimmed = stage(cut_to(spread(scaled, "rec"), bounds))
+    w = normalise_windows(cut_windows(spread(trimmed, "rec"), win, overlap, repeat=True))
     return condition_windows(w, dither_dbfs, seed) if scheme == "controlled" else w
 
 

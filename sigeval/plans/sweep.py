@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigeval.operators import signal as G
 from sigeval.operators import sweep as W
 from sigeval.operators.probes import score_windows
-from sigeval.session import stage
+from sigeval.session import spread, stage
 
 
 def condition_scores(
@@ -30,7 +30,7 @@ def condition_scores(
     y = W.perturb(sig, conditions, rate, frame, frame_hop, top_db, seed)
     keyed = stage(y.select(F.struct("rec", "condition").alias("rec"), "i", "v"))
     # dither depends on the recording and window alone, so that clean and changed inputs share it
-    w = G.segment(keyed, "original" if scheme == "original" else "trim_repeat", win, overlap, frame, frame_hop, top_db)
+    w = G.segment(spread(keyed, "rec"), "original" if scheme == "original" else "trim_repeat", win, overlap, frame, frame_hop, top_db)
     w = w.select(F.col("rec.rec").alias("rec"), F.col("rec.condition").alias("condition"), "window", "start", "pad_fraction", "pos", "v")
     if scheme == "controlled":
         mean = G.window_mean("rec", "condition", "window")
