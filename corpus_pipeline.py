@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigeval.llm import decontaminate, language, mixing, near_copies, sharding
-from sigeval.llm.common import read_table, stage_root
+from sigeval.llm.common import drop_staged, read_table, stage_root, staged_tables
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     root = f"{stage_root(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, step) in enumerate(STAGES):
-        path = f"{root}/{number}"
+        path, before = f"{root}/{number}", staged_tables()
         step(spark, docs, sf_dir).write.parquet(path)
+        drop_staged(before)
         docs = spark.read.parquet(path)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigeval.session import stage, stage_root  # noqa: F401  (re-exported)
+from sigeval.session import drop_staged, stage, stage_root, staged_tables  # noqa: F401  (re-exported)
 
 #: Fixed values of the contracts.
 SPACES = r"[\x20\x09-\x0D]+"

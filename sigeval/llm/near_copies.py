@@ -6,8 +6,12 @@ that a common passage makes no long lists: all shingles of all texts are counted
 the size of theirs. The counters decide the order only, never a result. Postings are packed and shuffled once; lists of a single
 document end there.
 
+A posting carries the shingle's position in its set. At the first shingle that two sets share, neither can have fewer shingles
+left than they must share; pairs and members of lists that fail this are never candidates.
+
 Only components matter, so pairs that are linked already are not compared: each list first compares its members
-with one of them, and then what is still in different components pairwise. Equal sets are one node.
+with the one that has the fewest rarer shingles (of the copies of a text that is the one changed least), and then what is still
+in different components pairwise. Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as B
 from . import simhash
-from .common import stage
+from .common import drop_staged, stage, staged_tables
 from .components import components
 from .decontaminate import bitmap
 
@@ -131,7 +135,10 @@ def levels(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _postings(n: int, at: float, level, parts: int):
-    """(row, text) to packed postings (part, high, low, token): 16 bits of the row and 32 of the shingle for each."""
+    """(row, text) to packed postings (part, high, low, token, at): 16 bits of the row, 32 of the shingle and its position for each.
+
+    Positions from 65,535 on are kept as that, which only lets more pairs through.
+    """
 
     def run(batches):
         for batch in batches:
@@ -146,46 +153,44 @@ def _postings(n: int, at: float, level, parts: int):
                 _, first, sizes = np.unique(owner, return_index=True, return_counts=True)
                 rank = np.arange(len(owner)) - np.repeat(first, sizes)
                 keep = rank < np.repeat(sizes - np.ceil(at * sizes - 1e-9).astype(np.int64) + 1, sizes)
-                row, token = rows[chunk.first + owner[keep]], value[keep]
+                row, token, place = rows[chunk.first + owner[keep]], value[keep], np.minimum(rank[keep], 0xFFFF).astype(np.uint16)
                 part = (token >> np.uint64(32)) % np.uint64(parts)
                 order = np.lexsort((row, part))
-                row, token, part = row[order], token[order], part[order].astype(np.int32)
+                row, token, place, part = row[order], token[order], place[order], part[order].astype(np.int32)
                 high = row >> 16
                 cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(high) != 0)) + 1
                 begin = np.concatenate([[0], cuts]).astype(np.int64)
-                low = np.split((row & 0xFFFF).astype(np.uint16), cuts)
-                token = np.split(token.astype(np.uint32), cuts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[begin]), pa.array(high[begin]), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() for x in token], pa.binary())],
-                    ["part", "high", "low", "token"],
-                )
+                packed = ((row & 0xFFFF).astype(np.uint16), token.astype(np.uint32), place)
+                packed = [pa.array([x.tobytes() for x in np.split(own, cuts)], pa.binary()) for own in packed]
+                yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(high[begin]), *packed], ["part", "high", "low", "token", "at"])
 
     return run
 
 
 def _lists(batches):
-    """Packed postings, sorted by part, to (list, row), without the lists of one row. One part is held at a time."""
-    part, names, rows = None, [], []
+    """Packed postings, sorted by part, to (list, row, at), without the lists of one row. One part is held at a time."""
+    part, names, rows, places = None, [], [], []
 
     def done():
-        name, row = np.concatenate(names), np.concatenate(rows)
+        name, row, at = np.concatenate(names), np.concatenate(rows), np.concatenate(places)
         order = np.argsort(name, kind="stable")
-        name, row = name[order], row[order]
+        name, row, at = name[order], row[order], at[order]
         shared = np.zeros(len(name), bool)
         same = name[1:] == name[:-1]
         shared[1:] |= same
         shared[:-1] |= same
-        name, row = (part << 32) + name[shared].astype(np.int64), row[shared]
-        for k in range(0, len(name), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(name[k : k + (1 << 16)]), pa.array(row[k : k + (1 << 16)])], ["list", "row"])
+        columns = [(part << 32) + name[shared].astype(np.int64), row[shared], at[shared].astype(np.int32)]
+        for k in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in columns], ["list", "row", "at"])
 
     for batch in batches:
-        for next_part, high, low, token in zip(*(batch[c].to_pylist() for c in ("part", "high", "low", "token")), strict=True):
+        for next_part, high, low, token, at in zip(*(batch[c].to_pylist() for c in ("part", "high", "low", "token", "at")), strict=True):
             if next_part != part and names:
                 yield from done()
-                names, rows = [], []
+                names, rows, places = [], [], []
             part = next_part
             names.append(np.frombuffer(token, dtype=np.uint32))
+            places.append(np.frombuffer(at, dtype=np.uint16))
             rows.append((high << 16) + np.frombuffer(low, dtype=np.uint16).astype(np.int64))
     if names:
         yield from done()
@@ -245,42 +250,42 @@ def similar_links(texts: DataFrame, labelled: DataFrame, n: int = WORDS, at: flo
     first = stage(nodes.groupBy("node").agg(F.min("row").alias("row")))
     level = spark.sparkContext.broadcast(levels(texts, n))
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = texts.mapInArrow(_postings(n, at, level, parts), "part int, high long, low binary, token binary")
-    lists = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_lists, "list long, row long")
-    lists = stage(lists.join(nodes.select("row", "node"), "row").select("list", "node").distinct())
-
-    fits = (F.col("x.size") >= F.col("y.size") * F.lit(at) - 1e-9) & (F.col("y.size") >= F.col("x.size") * F.lit(at) - 1e-9)
-    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-
-    def rest_of(side: str):
-        """Shingles of a set behind its prefix."""
-        return F.ceil(F.col(f"{side}.size") * F.lit(at) - 1e-9) - 1
-
-    # shared shingles are on a shared list or behind the prefix that ends first; one more for equal names of two lists
-    lacking = F.col("x.size") + F.col("y.size")
-    lacking = F.ceil(lacking * F.lit(at / (1 + at)) - 1e-6) - F.greatest(rest_of("x"), rest_of("y")) - 1
-
-    def candidates(found: DataFrame) -> DataFrame:
-        """Pairs of members (x, y) of a list that share enough lists."""
-        pairs = found.where(fits).select(*pair, lacking.alias("lacking")).groupBy("a", "b", "lacking").agg(F.count(F.lit(1)).alias("lists"))
-        return pairs.where("lists >= lacking").select("a", "b")
-
-    def open_lists(labels: DataFrame) -> DataFrame:
+    packed = texts.mapInArrow(_postings(n, at, level, parts), "part int, high long, low binary, token binary, at binary")
+    lists = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_lists, "list long, row long, at int")
+    lists = stage(lists.join(nodes.select("row", "node"), "row").groupBy("list", "node").agg(F.min("at").alias("at")))
+
+    def shared(size, other):
+        """Least number of shingles that similar sets of these sizes share."""
+        return F.ceil((size + other) * F.lit(at / (1 + at)) - 1e-6)
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """Pairs of members (x, y) of a list that have enough shingles left from its shingle on."""
+        x, y = F.col("x.size"), F.col("y.size")
+        fits = (x >= y * F.lit(at) - 1e-9) & (y >= x * F.lit(at) - 1e-9)
+        left = F.least(x - F.col("x.at"), y - F.col("y.at")) >= shared(x, y)
+        return pairs.where(fits & left).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    def mixed(members: DataFrame) -> DataFrame:
         """Members of the lists that hold more than one label."""
-        whole = lists.join(labels, "node")
-        mixed = whole.groupBy("list").agg(F.min("lab").alias("low"), F.max("lab").alias("high")).where("low < high").select("list")
-        return stage(whole.join(mixed, "list"))
+        held = members.groupBy("list").agg(F.min("lab").alias("low"), F.max("lab").alias("high")).where("low < high").select("list")
+        return members.join(held, "list")
+
+    def reaching(members: DataFrame) -> DataFrame:
+        """Members with enough shingles left for the smallest set of their list that fits them."""
+        least = members.groupBy("list").agg(F.min("size").alias("least"))
+        smallest = F.greatest("least", F.ceil(F.col("size") * F.lit(at) - 1e-9))
+        return members.join(least, "list").where(F.col("size") - F.col("at") >= shared(F.col("size"), smallest)).drop("least")
 
     # each member with one of its list
     labels = stage(_relabelled(labels, links))
-    rest = open_lists(labels)
-    head = rest.groupBy("list").agg(F.min(F.struct("node", "size", "lab")).alias("y")).select("list", "y.*")
+    rest = stage(mixed(lists.join(labels, "node")))
+    head = rest.groupBy("list").agg(F.min(F.struct("at", "node", "size", "lab")).alias("y")).select("list", "y.*")
     tested = stage(candidates(rest.alias("x").join(head.alias("y"), "list").where("x.lab <> y.lab")))
     links = stage(links.union(_ends(_verified(texts, first, tested, n, at), labels)))
 
     # what is still apart, pairwise
     labels = stage(_relabelled(labels, links))
-    rest = open_lists(labels)
+    rest = stage(mixed(reaching(mixed(lists.join(labels, "node")))))
     both = rest.alias("x").join(rest.alias("y"), "list").where("x.node < y.node AND x.lab <> y.lab")
     more = stage(candidates(both).join(tested, ["a", "b"], "left_anti"))
     return links.union(_ends(_verified(texts, first, more, n, at), labels))
@@ -292,6 +297,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     Linked are fingerprints within two bits, as in operator 6, and sets of n-word shingles with Jaccard >= `at`.
     """
     tagged = stage(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    before = staged_tables()
     source = tagged.select(F.col(f"doc.{key}").alias("doc_id"), F.col(f"doc.{text}").cast("string").alias("text"), "row")
     rows = stage(simhash.fingerprints(source, row=F.col("row")))
     near = components(simhash.links(stage(rows.select("fp").distinct())))
@@ -302,5 +308,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     found = found.select(F.col("node").alias("lab"), "root")
     whole = labelled.join(found, "lab", "left").select("doc_id", "row", F.coalesce("root", "lab").alias("lab"))
     lead = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    used = staged_tables()
     firsts = stage(whole.groupBy("lab").agg(F.min(lead).alias("lead")).select("lead.row"))
+    drop_staged(before, used)  # the result reads `tagged` and `firsts` only
     return tagged.join(firsts, "row", "left_semi").select("doc.*")

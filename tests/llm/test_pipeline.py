@@ -11,6 +11,8 @@ from test_operators import LOW, PASSAGE, fingerprint, groups_within, plain
 from test_queries import SF, plain as rounded, rows
 
 import corpus_pipeline
+from sigeval import session
+from sigeval.llm import near_copies
 from sigeval.llm.queries import ORACLES, QUERIES
 
 
@@ -120,3 +122,27 @@ def test_near_copies_above_a_shingle_similarity(spark):
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
     assert got == set(label)
     assert len(got) < len(set(groups_within([fingerprint(t) for t in texts])))  # two bits alone keep more
+
+
+def test_near_copies_of_one_text_are_not_compared_pairwise(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(100000)}"
+    base, texts = [word() for _ in range(150)], []
+    for k in range(160):  # from 4 changes on copies are linked neither to the text nor to most others
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), 1 + k % 6):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    verified, compared, before = near_copies._verified, [], session.staged_tables()
+
+    def counted(texts, first, pairs, *rest):
+        compared.append(pairs.count())
+        return verified(texts, first, pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    got = sorted(r.doc_id for r in near_copies.deduplicated(docs).collect())
+    label = near_groups(texts)
+    assert got == sorted(k for k, own in enumerate(label) if own == k)
+    assert len(set(label)) > 20 and sum(compared) < 4 * len(texts)
+    assert session.staged_tables() == before + 2  # only what the result reads stays on disk
