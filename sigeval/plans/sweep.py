@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigeval.operators import signal as G
 from sigeval.operators import sweep as W
 from sigeval.operators.probes import score_windows
-from sigeval.session import spread, stage
+from sigeval.session import spread, stage, tasks_for
 
 
 def condition_scores(
@@ -35,8 +35,9 @@ def condition_scores(
     if scheme == "controlled":
         mean = G.window_mean("rec", "condition", "window")
         w = w.withColumn("v", F.col("v") - mean + F.lit(1e-3) * G.hash_normal(F.lit(str(seed)), "rec", "window", "pos"))
+    tasks = tasks_for(keyed)  # windows hold about as many samples as the signals
     arrays = stage(
-        w.groupBy("rec", "condition", "window")
+        w.repartition(tasks, "rec", "condition", "window").groupBy("rec", "condition", "window")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_s"))
         .select("rec", "condition", "window", F.transform("_s", lambda s: s.v).alias("samples"))
     )
@@ -45,7 +46,7 @@ def condition_scores(
     wanted = clean.withColumn("condition", F.explode(F.array(*[F.lit(c) for c in conditions])))
     both = arrays.select(F.struct("rec", "condition").alias("rec"), "window", "samples")
     same = wanted.select(F.struct("rec", "condition").alias("rec"), "window", "samples")
-    diff = G.input_difference(both, same).select("rec.rec", "rec.condition", "input_max_abs_diff")
+    diff = G.input_difference(both.repartition(tasks, "rec", "window"), same.repartition(tasks, "rec", "window")).select("rec.rec", "rec.condition", "input_max_abs_diff")
     out = scored.join(diff, ["rec", "condition"]).join(peaks, "rec").join(items, "rec")
     return out.withColumns(
         {

@@ -154,3 +154,12 @@ def test_staged_tables_are_dropped(spark):
     with pytest.raises(Exception):
         spark.read.schema(t.schema).parquet(t.inputFiles()[0]).count()
     session._STAGED[:] = kept
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, monkeypatch):
+    from sigeval import session
+
+    assert session.ROWS_PER_TASK <= 1 << 17
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 1000)
+    staged = session.stage(spark.range(11500))
+    assert session.tasks_for(staged) == 12 and session.spread(staged, "id").rdd.getNumPartitions() == 12
