@@ -12,6 +12,9 @@ left than they must share; pairs and members of lists that fail this are never c
 Only components matter, so pairs that are linked already are not compared: each list first compares its members
 with the one that has the fewest rarer shingles (of the copies of a text that is the one changed least), and then what is still
 in different components pairwise. Equal sets are one node.
+
+Before the sets of a pair are moved, their sketches are compared: a bit that one sketch has and the other lacks stands for at least
+one shingle that the other set lacks, so pairs whose sketches rule the similarity out never ask for their sets.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ SIMILAR = 0.8
 COUNTERS = 20  # counters of shingles, as a power of two: a byte each is broadcast
 BLOCK = 1 << 12  # counters that are added up together
 BITS = 24  # bitmap of the rows whose sets are compared; a fuller one only lets more through to the join
+SKETCH = 1 << 10  # bits of a set's sketch; a full one rules nothing out
+SKETCHED = 1 << 12  # sets that are sketched at once
+KEPT = 1 << 28  # kept rows up to which they are looked up in a broadcast table of 64 a row; beyond, documents are shuffled
 
 
 def _sets(chunk: B.Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,17 +71,33 @@ def _digests(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return full, first, sizes, B.mixed(sums + sizes.astype(np.uint64))
 
 
+def _sketches(value: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The bits that the shingles of each set have in SKETCH."""
+    place, out = (value & np.uint64(SKETCH - 1)).astype(np.int64), []
+    for a in range(0, len(first), SKETCHED):
+        own = sizes[a : a + SKETCHED]
+        bits = np.zeros(len(own) * SKETCH, dtype=bool)
+        bits[np.repeat(np.arange(len(own)) * SKETCH, own) + place[first[a] : first[a] + own.sum()]] = True
+        packed = np.packbits(bits).tobytes()
+        out += [packed[k : k + SKETCH // 8] for k in range(0, len(packed), SKETCH // 8)]
+    return out
+
+
 def _nodes(n: int):
-    """(row, text) to (row, node, size)."""
+    """(row, text) to (row, node, size, sketch)."""
 
     def run(batches):
         for batch in batches:
             rows = batch["row"].to_numpy()
             for chunk in B.chunks(batch["text"]):
-                full, _, sizes, digest = _digests(*_sets(chunk, n))
+                full, first, sizes, digest = _digests(*(found := _sets(chunk, n)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[chunk.first + full]), pa.array(digest.view(np.int64)), pa.array(sizes.astype(np.int32))], ["row", "node", "size"]
-                )
+                    [
+                        pa.array(rows[chunk.first + full]), pa.array(digest.view(np.int64)), pa.array(sizes.astype(np.int32)),
+                        pa.array(_sketches(found[1], first, sizes), pa.binary()),
+                    ],
+                    ["row", "node", "size", "sketch"],
+                )
 
     return run
 
@@ -196,6 +218,19 @@ def _lists(batches):
         yield from done()
 
 
+def _possible(at: float):
+    """(a, b, na, nb, ka, kb) to the pairs (a, b) that sizes n and sketches k do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint64).reshape(-1, SKETCH // 64) for c in ("ka", "kb"))
+            na, nb = (batch[c].to_numpy().astype(np.int64) for c in ("na", "nb"))
+            both = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(both >= at * (na + nb - both) - 1e-9))
+
+    return run
+
+
 def _similar(at: float):
     def run(batches):
         for batch in batches:
@@ -210,9 +245,12 @@ def _similar(at: float):
 
 
 def _verified(texts: DataFrame, first: DataFrame, pairs: DataFrame, n: int, at: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar. `first` has one row of each node, and only those are read again."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stage(ends.join(first, "node").select("node", "row"))
+    """The pairs (a, b) of nodes whose sets are similar. `first` has one row of each node, with its size and sketch, and only those are read again."""
+    held = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node"))
+    a, b = (held.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
+    sketched = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ka", "kb")
+    pairs = stage(sketched.mapInArrow(_possible(at), "a long, b long"))
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(held.select("node", "row"), "node"))
     marked = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("row").alias("shingle"))))
     placed = texts.select("row", F.shiftrightunsigned(F.xxhash64("row"), 64 - BITS).alias("place"), "text")
     sets = stage(placed.mapInArrow(_members(n, marked), "row long, shingles binary").join(wanted, "row").select("node", "shingles"))
@@ -241,13 +279,13 @@ def similar_links(texts: DataFrame, labelled: DataFrame, n: int = WORDS, at: flo
     64-bit hashes of shingles of n lower-cased words.
     """
     spark = texts.sparkSession
-    nodes = stage(texts.mapInArrow(_nodes(n), "row long, node long, size int"))
+    nodes = stage(texts.mapInArrow(_nodes(n), "row long, node long, size int, sketch binary"))
     own = stage(nodes.join(labelled, "row").groupBy("node", "size", "lab").agg(F.count(F.lit(1)).alias("copies")))
     labels = stage(own.groupBy("node", "size").agg(F.min("lab").alias("lab")))
     equal = own.select("node", F.col("lab").alias("a")).join(labels.select("node", F.col("lab").alias("b")), "node")
     links = stage(equal.where("a <> b").select("a", "b").distinct())
 
-    first = stage(nodes.groupBy("node").agg(F.min("row").alias("row")))
+    first = stage(nodes.groupBy("node").agg(F.min(F.struct("row", "size", "sketch")).alias("least")).select("node", "least.*"))
     level = spark.sparkContext.broadcast(levels(texts, n))
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = texts.mapInArrow(_postings(n, at, level, parts), "part int, high long, low binary, token binary, at binary")
@@ -283,9 +321,9 @@ def similar_links(texts: DataFrame, labelled: DataFrame, n: int = WORDS, at: flo
     tested = stage(candidates(rest.alias("x").join(head.alias("y"), "list").where("x.lab <> y.lab")))
     links = stage(links.union(_ends(_verified(texts, first, tested, n, at), labels)))
 
-    # what is still apart, pairwise
+    # what is still apart, pairwise; labels only merge, so lists of one label stay so
     labels = stage(_relabelled(labels, links))
-    rest = stage(mixed(reaching(mixed(lists.join(labels, "node")))))
+    rest = stage(mixed(reaching(mixed(rest.select("list", "node", "at").join(labels, "node")))))
     both = rest.alias("x").join(rest.alias("y"), "list").where("x.node < y.node AND x.lab <> y.lab")
     more = stage(candidates(both).join(tested, ["a", "b"], "left_anti"))
     return links.union(_ends(_verified(texts, first, more, n, at), labels))
@@ -311,4 +349,16 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     used = staged_tables()
     firsts = stage(whole.groupBy("lab").agg(F.min(lead).alias("lead")).select("lead.row"))
     drop_staged(before, used)  # the result reads `tagged` and `firsts` only
-    return tagged.join(firsts, "row", "left_semi").select("doc.*")
+    return _those(tagged, firsts).select("doc.*")
+
+
+def _those(tagged: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of `tagged` whose number `row` is in the staged `firsts`.
+
+    Numbers are dense within a partition, so 64 of them share a long and the documents stay where they are.
+    """
+    if firsts.count() > KEPT:
+        return tagged.join(firsts, "row", "left_semi")
+    words = firsts.groupBy(F.shiftright("row", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row & 63L AS int))")).alias("bits"))
+    inside = F.expr("shiftrightunsigned(bits, cast(row & 63L AS int)) & 1L") == 1
+    return tagged.withColumn("word", F.shiftright("row", 6)).join(F.broadcast(words), "word").where(inside).select(tagged.columns)

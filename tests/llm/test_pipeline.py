@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import LOW, PASSAGE, fingerprint, groups_within, plain
@@ -146,3 +148,43 @@ def test_near_copies_of_one_text_are_not_compared_pairwise(spark, monkeypatch):
     assert got == sorted(k for k, own in enumerate(label) if own == k)
     assert len(set(label)) > 20 and sum(compared) < 4 * len(texts)
     assert session.staged_tables() == before + 2  # only what the result reads stays on disk
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(4)
+    at, drawn = near_copies.SIMILAR, rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = []
+    for size in [1, 5, 80, 330, 3000]:
+        for changed in (0.0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.9):
+            kept = int(round(size * (1 - changed)))
+            sets.append(np.unique(np.concatenate([drawn[:kept], rng.integers(0, 1 << 63, size - kept).astype(np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    first = np.cumsum(sizes) - sizes
+    sketches = near_copies._sketches(np.concatenate(sets), first, sizes)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j]
+    left, right = (np.array(x) for x in zip(*pairs))
+    columns = [left, right, sizes[left].astype(np.int32), sizes[right].astype(np.int32)]
+    columns += [pa.array([sketches[k] for k in x], pa.binary()) for x in (left, right)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "na", "nb", "ka", "kb"])
+    got = {(r["a"], r["b"]) for out in near_copies._possible(at)([batch]) for r in out.to_pylist()}
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    similar = {(i, j) for i, j in pairs if both(i, j) >= at * (sizes[i] + sizes[j] - both(i, j))}
+    assert similar <= got
+    assert len(similar) < len(got) < len(pairs) / 2
+
+
+@pytest.mark.parametrize("most", [1 << 28, 0])
+def test_kept_documents_stay_in_their_partitions(spark, monkeypatch, most):
+    monkeypatch.setattr(near_copies, "KEPT", most)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(0, 5000, 1, 7).select(F.struct("id").alias("doc"), F.monotonically_increasing_id().alias("row"))
+        docs = session.stage(docs)
+        firsts = session.stage(docs.where("doc.id % 3 = 0").select("row"))
+        found = near_copies._those(docs, firsts)
+        assert sorted(r.id for r in found.select("doc.*").collect()) == list(range(0, 5000, 3))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (most == 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
