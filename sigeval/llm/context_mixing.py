@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
-A text is a sequence of bytes and an end. Each symbol is a path of binary decisions in a Huffman tree over the training bytes, and
-each decision is predicted from several contexts: the last two bytes, the last four, and the word so far. A predictor is a slot of a
+A text is a sequence of bytes and an end. Each symbol is a path of binary decisions in a Huffman tree over the training bytes that
+follow the byte before it, if that is frequent, else over all of them; fewer decisions are left where the last byte tells much. Each decision is predicted from several contexts: the last two bytes, the last four, and the word so far. A predictor is a slot of a
 hashed table with the counts of both outcomes in all training texts; tasks add up their own tables, and their sums meet
 by blocks of slots. While a text is scored the tables stay as they are and the mixer learns: the log odds of
 the predictors are added with weights, a set of them chosen by how many of the long contexts are known, and the sum is refined by an offset of its
@@ -32,6 +32,8 @@ SLOTS = (19, 19, 19)
 BLOCK = 1 << 12  # slots that are added up together
 CHUNK = 1 << 18  # bytes of texts that are scored side by side
 PART = 1 << 13  # symbols whose decisions are held at once
+HELD = 1 << 21  # decisions of a predictor that are counted at once
+TREE = 1 << 15  # training symbols after a byte from which that byte has a tree of its own
 LIMIT = 8.0  # largest log odds of a predictor
 SCALE = 4000  # log odds are kept as 16-bit integers in parts of 1 / SCALE
 PRIOR = 0.4
@@ -48,16 +50,20 @@ SPREAD = 0x9E3779B1
 # ---------------------------------------------------------------- decisions
 @dataclass
 class Codes:
-    """The decisions of each symbol: `nodes` and `bits` from `start`, `length` of them."""
+    """The decisions of each symbol: `nodes` and `bits` from `start`, `length` of them.
+
+    There are 257 symbols to a tree; `trees` has the tree after each byte, and at END that of first symbols.
+    """
 
     start: np.ndarray
     length: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
+    trees: np.ndarray
 
 
-def huffman(counts: np.ndarray) -> Codes:
-    """Decisions of the 257 symbols; a floor under the counts bounds the depth of the tree."""
+def huffman(counts: np.ndarray, number: int = 0) -> Codes:
+    """Decisions of the 257 symbols in one tree; a floor under the counts bounds its depth. `number` tells its nodes from those of others."""
     weights = np.maximum(np.asarray(counts, dtype=np.float64), counts.sum() / (1 << 20)) + 1.0
     heap = [(w, k, (k,)) for k, w in enumerate(weights.tolist())]
     heapq.heapify(heap)
@@ -71,23 +77,47 @@ def huffman(counts: np.ndarray) -> Codes:
     length = np.array([len(p) for p in paths])
     flat = [step for p in paths for step in reversed(p)]
     nodes, bits = (np.array([step[k] for step in flat]) for k in (0, 1))
-    return Codes(np.cumsum(length) - length, length, (nodes * SPREAD).astype(np.uint32), bits)
+    nodes = ((nodes + number * END) * SPREAD).astype(np.uint32)
+    return Codes(np.cumsum(length) - length, length, nodes, bits.astype(np.int8), np.zeros(END + 1, dtype=np.int64))
+
+
+def forest(counts: np.ndarray) -> Codes:
+    """Decisions of the 257 symbols in a tree for all of them and in one after each byte with TREE symbols; `counts` is by (byte before, symbol)."""
+    own = np.flatnonzero(counts.sum(axis=1) >= TREE)
+    trees = [huffman(counts.sum(axis=0)), *(huffman(counts[k], number) for number, k in enumerate(own.tolist(), 1))]
+    after = np.zeros(END + 1, dtype=np.int64)
+    after[own] = np.arange(1, len(own) + 1)
+    begin = np.cumsum([0, *(len(t.nodes) for t in trees)])
+    start = np.concatenate([t.start + at for t, at in zip(trees, begin, strict=False)])
+    length, nodes, bits = (np.concatenate([getattr(t, k) for t in trees]) for k in ("length", "nodes", "bits"))
+    return Codes(start, length, nodes, bits, after)
 
 
 #: The last bytes of eight, as a mask.
 LAST = np.array([(1 << 64) - (1 << (64 - 8 * k)) for k in range(9)], dtype=np.uint64)
 
 
-def contexts(chunk: B.Chunk) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Symbols (each text's bytes and its end), their place in their text, and a 32-bit hash of each context of each.
+def symbols(chunk: B.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (each text's bytes and its end), and the byte before each, END at the start."""
+    data = np.frombuffer(chunk.data, dtype=np.uint8)
+    symbol = data.astype(np.int64)
+    before = np.empty_like(symbol)
+    before[1:] = symbol[:-1]
+    before[chunk.starts] = END
+    symbol[np.append(chunk.starts[1:], len(data)) - 1] = END
+    return symbol, before
+
+
+def contexts(chunk: B.Chunk, codes: Codes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Symbols in their trees, their place in their text, and a 32-bit hash of each context of each.
 
     The word so far is what follows the last white space or the start, eight bytes of it at most.
     """
     data = np.frombuffer(chunk.data, dtype=np.uint8)
     starts = chunk.starts.astype(np.int64)
     place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    symbol = data.astype(np.int64)
-    symbol[np.append(starts[1:], len(data)) - 1] = END
+    symbol, before = symbols(chunk)
+    symbol += codes.trees[before] * (END + 1)
     padded = np.concatenate([np.zeros(8, np.uint8), data])
     eight = np.ndarray(len(data), dtype="<u8", buffer=padded.data, strides=(1,)).copy()  # the bytes before each symbol, the last one highest
     begins = np.where(B.NOT_SPACE[data], 0, np.arange(1, len(data) + 1))  # a word begins behind white space
@@ -103,16 +133,16 @@ class Decisions:
 
     lengths: np.ndarray  # decisions of each symbol
     bits: np.ndarray
-    slots: list[np.ndarray]
+    slots: list[np.ndarray]  # as 32-bit integers
 
 
 def decisions(symbol: np.ndarray, context: list[np.ndarray], codes: Codes) -> Decisions:
     length = codes.length[symbol]
-    ends = np.cumsum(length)
-    flat = np.repeat(codes.start[symbol] - (ends - length), length)
+    of = np.repeat(np.arange(len(symbol)), length)
+    flat = (codes.start[symbol] - (np.cumsum(length) - length))[of]
     flat += np.arange(len(flat))
     node = codes.nodes[flat]
-    slots = [((np.repeat(own, length) + node) >> np.uint32(32 - size)).astype(np.int64) for own, size in zip(context, SLOTS, strict=True)]
+    slots = [(own[of] + node) >> np.uint32(32 - size) for own, size in zip(context, SLOTS, strict=True)]
     return Decisions(length, codes.bits[flat], slots)
 
 
@@ -121,14 +151,14 @@ OFFSETS = np.cumsum([0, *[1 << s for s in SLOTS]])
 
 
 def _byte_counts(batches):
-    """Symbol counts of the training texts of a task."""
-    counts = np.zeros(END + 1, dtype=np.int64)
+    """Counts of symbols after each byte, in the training texts of a task; `symbol` is both in one number."""
+    counts = np.zeros((END + 1) ** 2, dtype=np.int64)
     for batch in batches:
-        for chunk in B.chunks(batch["text"]):
-            counts[:END] += np.bincount(np.frombuffer(chunk.data, dtype=np.uint8), minlength=END)
-            counts[32] -= len(chunk.starts)
-            counts[END] += len(chunk.starts)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(END + 1)), pa.array(counts)], ["symbol", "n"])
+        for chunk in B.chunks(batch["text"], CHUNK):
+            symbol, before = symbols(chunk)
+            counts += np.bincount(before * (END + 1) + symbol, minlength=len(counts))
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["symbol", "n"])
 
 
 def _words(chunk: B.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -147,21 +177,29 @@ def _gathered(codes):
     def run(batches):
         tally, table = Tally(), np.zeros((OFFSETS[-1], 2), dtype=np.uint32)
         hand = lambda key, n: pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())], schema=schema)
+        held, size = [[] for _ in SLOTS], 0
+
+        def counted():
+            for k, parts in enumerate(held):
+                if parts:
+                    table[OFFSETS[k] : OFFSETS[k + 1]] += np.bincount(np.concatenate(parts), minlength=2 << SLOTS[k]).reshape(-1, 2).astype(np.uint32)
+                    parts.clear()
+
         for batch in batches:
             for chunk in B.chunks(batch["text"], CHUNK):
                 _, words = _words(chunk)
                 for key, n in tally.add(words):
                     yield hand(key, n)
-                symbol, _, context = contexts(chunk)
-                held = [[] for _ in SLOTS]
+                symbol, _, context = contexts(chunk, codes.value)
                 for at in range(0, len(symbol), PART):
                     own = decisions(symbol[at : at + PART], [c[at : at + PART] for c in context], codes.value)
                     for slot, parts in zip(own.slots, held, strict=True):
-                        parts.append(slot * 2 + own.bits)
-                    if at + PART >= len(symbol) or len(held[0]) == 64:
-                        for k, parts in enumerate(held):
-                            table[OFFSETS[k] : OFFSETS[k + 1]] += np.bincount(np.concatenate(parts), minlength=2 << SLOTS[k]).reshape(-1, 2).astype(np.uint32)
-                            parts.clear()
+                        parts.append(slot * np.uint32(2) + own.bits.view(np.uint8))
+                    size += len(own.bits)
+                    if size >= HELD:
+                        counted()
+                        size = 0
+        counted()
         for key, n in tally.rest():
             yield hand(key, n)
         for block in range(0, len(table), BLOCK):
@@ -201,10 +239,11 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     """Learns from all texts of `train` (NULL: empty)."""
     spark = train.sparkSession
     rows = train.select(filled(text).alias("text"))
-    counts = rows.mapInArrow(_byte_counts, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()  # 257 rows
-    symbols = np.zeros(END + 1, dtype=np.int64)
-    symbols[counts["symbol"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
-    codes = huffman(symbols)
+    counts = rows.mapInArrow(_byte_counts, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()  # at most 257 x 257 rows
+    pairs = np.zeros((END + 1) ** 2, dtype=np.int64)
+    pairs[counts["symbol"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
+    pairs = pairs.reshape(END + 1, END + 1)
+    codes = forest(pairs)
     gathered = stage(rows.mapInArrow(_gathered(spark.sparkContext.broadcast(codes)), "key long, n long, block int, counts binary"))
     blocks = gathered.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_odds, "block int, odds binary")
     odds = np.zeros(OFFSETS[-1], dtype=np.int16)
@@ -213,7 +252,7 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     words = stage(gathered.where("block IS NULL").groupBy("key").agg(F.sum("n").alias("n")))
     total = words.agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     frequent, others = divided(words)
-    texts = int(symbols[END])
+    texts = int(pairs[:, END].sum())
     return Model(codes, odds, frequent, others, texts, total.n + texts, total.distinct + (texts > 0))
 
 
@@ -231,25 +270,31 @@ class Mixer:
         self.offsets = np.zeros(texts * RANGES, dtype=np.float32)
 
     def step(self, text: np.ndarray, bits: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
-        """Natural logarithm of the probability of each outcome, negated; learns from all of them afterwards."""
-        own = text * GATES
-        for x in odds[1:]:
-            own += x != 0
-        total = self.weights[0][own] * odds[0]
+        """Natural logarithm of the probability of each outcome, negated; learns from all of them afterwards. `text` ascends."""
+        gate = (odds[1] != 0).astype(np.int8)
+        for x in odds[2:]:
+            gate += x != 0
+        own = text * GATES + gate
+        total = self.weights[0].take(own, mode="clip") * odds[0]
         for k in range(1, len(odds)):
-            total += self.weights[k][own] * odds[k]
+            total += self.weights[k].take(own, mode="clip") * odds[k]
         sign = bits.astype(np.float32)
         sign += sign - 1
         error = sign / (1 + np.exp(np.minimum(total * sign, 30)))
         place = np.maximum(np.minimum(total * np.float32(STEP) + np.float32(RANGES / 2), RANGES - 1), 0).astype(np.int64)
         place += text * RANGES
-        refined = np.exp(np.minimum(-sign * (total + self.offsets[place]), 30))
+        refined = np.exp(np.minimum(-sign * (total + self.offsets.take(place, mode="clip")), 30))
         late = sign * (refined / (1 + refined))
 
-        count = np.bincount(own, minlength=self.weights.shape[1])
-        rate = RATE / np.sqrt(1 + count / 64)
-        for k, x in enumerate(odds):
-            self.weights[k] += rate * np.bincount(own, error * x, minlength=len(count))
+        # the decisions of a text follow each other, so sums by text and gate are sums of runs, of what is left of each gate
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        lanes = text[first] * GATES
+        for g in range(len(odds)):
+            mask = (gate == g).astype(np.float32)
+            rate = (RATE / np.sqrt(1 + np.add.reduceat(mask, first) / 64)).astype(np.float32)
+            mask *= error
+            for k, x in enumerate(odds if g else odds[:1]):  # the long contexts are all unknown at the first gate
+                self.weights[k, lanes + g] += rate * np.add.reduceat(mask * x, first)
         count = np.bincount(place, minlength=len(self.offsets))
         rate = OFFSET_RATE / np.sqrt(1 + count / 64)
         self.offsets += rate * np.bincount(place, late, minlength=len(count))
@@ -258,7 +303,7 @@ class Mixer:
 
 def log_probabilities(chunk: B.Chunk, codes: Codes, odds: np.ndarray) -> np.ndarray:
     """log10 of the probability of each text of a chunk, given the log odds of all slots. Texts do not influence each other."""
-    symbol, place, context = contexts(chunk)
+    symbol, place, context = contexts(chunk, codes)
     sizes = np.diff(np.append(chunk.starts, len(symbol)))
     out = np.zeros(len(sizes))
     # text by text, block by block: the n-th blocks of all texts come together
@@ -279,7 +324,7 @@ def log_probabilities(chunk: B.Chunk, codes: Codes, odds: np.ndarray) -> np.ndar
         a, b = turns[k], turns[upto]
         at = np.repeat(first[a:b] - (np.cumsum(length[a:b]) - length[a:b]), length[a:b]) + np.arange(length[a:b].sum())
         own = decisions(symbol[at], [c[at] for c in context], codes)
-        found = [odds[OFFSETS[j] : OFFSETS[j + 1]][slot] for j, slot in enumerate(own.slots)]
+        found = [odds[OFFSETS[j] : OFFSETS[j + 1]].take(slot, mode="clip") for j, slot in enumerate(own.slots)]
         ends = np.concatenate([[0], np.cumsum(own.lengths)])  # of the decisions of each symbol
         marks = ends[np.concatenate([[0], np.cumsum(length[a:b])])]  # of each block
         lane = np.repeat(text[a:b], np.diff(marks))

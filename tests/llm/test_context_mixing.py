@@ -133,3 +133,33 @@ def test_probabilities_of_all_next_symbols_add_up_to_one():
     # of the texts of one ASCII character the first symbol's odds are those with an end taken away
     assert 0 < (10.0**whole).sum() < 1
     assert (2.0 ** -codes.length).sum() == pytest.approx(1.0)
+
+
+def test_frequent_bytes_have_trees_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(M, "TREE", 40)
+    counts = np.zeros((257, 257), np.int64)
+    for key, text in ROWS:
+        if trains(key):
+            own = symbols(text)
+            np.add.at(counts, ([M.END, *own[:-1]], own), 1)
+    codes = M.forest(counts)
+    frequent = np.flatnonzero(counts.sum(axis=1) >= 40)
+    assert len(frequent) > 5 and codes.trees[frequent].tolist() == list(range(1, len(frequent) + 1))
+    assert codes.trees.sum() == sum(range(1, len(frequent) + 1))
+    length = codes.length.reshape(-1, 257)
+    assert length.tolist() == [M.huffman(c).length.tolist() for c in [counts.sum(axis=0), *counts[frequent]]]
+    assert (counts * length[codes.trees]).sum() < 0.8 * (counts * length[0]).sum()
+
+    plain, each = steps, [M.Codes(codes.start[k : k + 257], codes.length[k : k + 257], codes.nodes, codes.bits, codes.trees) for k in range(0, len(codes.start), 257)]
+
+    def of_trees(text, _):
+        after = [M.END, *(text or "").encode()]
+        return sorted((s for tree, own in enumerate(each) for s in plain(text, own) if codes.trees[after[s[2]]] == tree), key=lambda s: s[2])
+
+    monkeypatch.setitem(globals(), "steps", of_trees)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(4)
+    model = M.fit(docs.where(~M.held_out(F.col("doc_id"))))
+    assert model.codes.trees.tolist() == codes.trees.tolist()
+    want = {key: score for (key, _), score in zip(ROWS, plain_scores(ROWS), strict=True)}
+    for r in M.score(docs, model).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=2e-3, abs=2e-3)
