@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -97,6 +98,15 @@ def test_holm(spark):
     np.testing.assert_allclose([got[i] for i in (3, 0, 2, 1, 5)], [0.025, 0.04, 0.09, 0.09, 0.09])
 
 
+def test_holm_keeps_rows_whose_p_varies_in_its_last_digits(spark):
+    """Sums that meet in another order give another last digit; rows then found no adjusted value and got NULL."""
+    shaken = F.udf(lambda p: p * (1 + random.random() * 1e-9), "double").asNondeterministic()
+    df = spark.createDataFrame([("f", i, (i + 1) / 1000) for i in range(20)], "fam string, i int, p double")
+    got = {r["i"]: r["p_holm"] for r in I.holm(df.withColumn("p", shaken("p")), ["fam"], "p").collect()}
+    np.testing.assert_allclose([got[i] for i in range(10)], [(20 - i) * (i + 1) / 1000 for i in range(10)], rtol=1e-6)
+    assert len(got) == 20 and None not in got.values()
+
+
 def test_mann_whitney(spark):
     a, b = [1.0, 2.0, 2.0, 5.0], [2.0, 3.0, 4.0, 6.0, 7.0]
     df = spark.createDataFrame([("k", 1, x) for x in a] + [("k", 0, x) for x in b], "k string, g int, v double")
