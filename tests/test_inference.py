@@ -50,6 +50,19 @@ def test_chunks_hold_no_more_draws_than_asked(spark, scored):
         assert total.tolist() == [n] * n_boot
 
 
+@pytest.mark.parametrize("name", ["boot_row_ci"])
+def test_intervals_rest_on_as_many_draws_as_the_method_asks(spark, monkeypatch, name):
+    """They rested on six, whose percentiles are about the least and the largest of them."""
+    import __spark_entry__ as entry
+
+    values, plain = [], I.percentile_ci
+    monkeypatch.setattr(I, "percentile_ci", lambda v, *args: (values.append(v), plain(v, *args))[1])
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert values
+    for v in values:
+        assert {(r["n"], r["draws"]) for r in v.groupBy("split").agg(F.count("b").alias("n"), F.countDistinct("b").alias("draws")).collect()} == {(1000, 1000)}
+
+
 def test_user_statistic(spark, scored):
     got = I.bootstrap_statistic(scored, ["k"], "cluster", lambda m: F.sum(m * F.col("score")) / F.sum(m), 5, 5)
     assert got.count() == 5
