@@ -50,7 +50,7 @@ def test_chunks_hold_no_more_draws_than_asked(spark, scored):
         assert total.tolist() == [n] * n_boot
 
 
-@pytest.mark.parametrize("name", ["boot_row_ci"])
+@pytest.mark.parametrize("name", ["boot_row_ci", "compact_report"])
 def test_intervals_rest_on_as_many_draws_as_the_method_asks(spark, monkeypatch, name):
     """They rested on six, whose percentiles are about the least and the largest of them."""
     import __spark_entry__ as entry
