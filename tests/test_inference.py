@@ -1,11 +1,14 @@
+import hashlib
 import math
 import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sigeval.functions.hashing import numbered_seeds
 from sigeval.functions.pvalues import _binomial_two_sided
 from sigeval.operators import inference as I
 from sigeval.operators import metrics as M
@@ -50,6 +53,32 @@ def test_chunks_hold_no_more_draws_than_asked(spark, scored):
         assert total.tolist() == [n] * n_boot
 
 
+def _seed(text):
+    return int(hashlib.sha1(text.encode()).hexdigest()[:8], 16)
+
+
+def test_numbered_seeds():
+    for prefix in ("", "0|a|5|", "x" * 54 + "|", "y" * 130):  # the last ones fill more than a block
+        for first, last in ((0, 1200), (99_000, 101_000), (7, 7)):
+            assert numbered_seeds(prefix.encode(), first, last).tolist() == [_seed(f"{prefix}{i}") for i in range(first, last + 1)]
+
+
+def test_picks_of_all_blocks_and_parts(monkeypatch):
+    """Slots are hashed in blocks and counted in parts; each draw picks as single hashes do."""
+    monkeypatch.setattr(I, "SLOTS_OF_TASK", 700)
+    monkeypatch.setattr(I, "SLOTS_OF_PART", 300)
+    g, width, n_boot = 1500, 3, 5
+    blocks = pd.DataFrame([{"k": "x", "_g": g, "_prefix": "5|x", "_block": b, "chunk": c} for b in range(3) for c in range(2)])
+    picks = pd.concat(I._picks(["k"], width, n_boot)([blocks]))
+    got, want = np.zeros((2 * width, g), dtype=int), np.zeros((2 * width, g), dtype=int)
+    for _, part in picks.groupby(["chunk", "_part"]):
+        for r in I._picked(["k"], width)(pa.Table.from_pandas(part, preserve_index=False)).to_pylist():
+            got[r["chunk"] * width : (r["chunk"] + 1) * width, r["slot"]] += r["m"]
+    for b in range(n_boot):
+        np.add.at(want[b], [_seed(f"5|x|{b}|{slot}") % g for slot in range(g)], 1)
+    assert (got == want).all()
+
+
 @pytest.mark.parametrize("name", ["boot_row_ci", "compact_report"])
 def test_intervals_rest_on_as_many_draws_as_the_method_asks(spark, monkeypatch, name):
     """They rested on six, whose percentiles are about the least and the largest of them."""
